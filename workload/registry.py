@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from workload import documents
+from workload import documents, metadata
 
-MODULES = (documents,)
+MODULES = (documents, metadata)
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
     QUERIES.update(_m.QUERIES)
