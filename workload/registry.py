@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from workload import documents, metadata
+from workload import documents, metadata, store
 
-MODULES = (documents, metadata)
+MODULES = (documents, metadata, store)
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
     QUERIES.update(_m.QUERIES)
