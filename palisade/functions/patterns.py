@@ -9,7 +9,11 @@ reads those classes as ASCII (and its ``(?U)`` mode adds combining marks to
 from __future__ import annotations
 
 SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE_CHARS = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 WORD = r"\p{L}\p{N}_"
+# The same class for Java: two range tests turn away most characters at once.
+_JAVA_SPACE = rf"[\x{{00}}-\x{{20}}\x{{85}}-\x{{3000}}&&[{SPACE}]]"
 _CLASSES = {"s": SPACE, "w": WORD, "d": r"\p{Nd}"}
 _ANY_EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
@@ -17,7 +21,7 @@ _ANY_EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 def compile_pattern(pattern: str, *, ignore_case: bool = False, edges: str = "word",
                     atomic_space: bool = False, engine: str = "java") -> str:
     """``pattern`` as a Java regular expression (``engine="re2"``: for a SQL engine on RE2)."""
-    out, in_class, i = [], False, 0
+    out, in_class, negated, i = [], False, False, 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\":
@@ -25,7 +29,10 @@ def compile_pattern(pattern: str, *, ignore_case: bool = False, edges: str = "wo
             i += 2
             if code in _CLASSES:
                 body = _CLASSES[code]
-                out.append(body if in_class else f"[{body}]")
+                if code == "s" and engine == "java" and not negated:
+                    out.append(_JAVA_SPACE)
+                else:
+                    out.append(body if in_class else f"[{body}]")
                 if code == "s" and not in_class and atomic_space and engine == "java" and pattern[i:i + 1] in ("*", "+"):
                     out.append(pattern[i] + "+")
                     i += 1
@@ -37,9 +44,9 @@ def compile_pattern(pattern: str, *, ignore_case: bool = False, edges: str = "wo
                 out.append("\\" + code)
             continue
         if ch == "[" and not in_class:
-            in_class = True
+            in_class, negated = True, pattern[i + 1:i + 2] == "^"
         elif ch == "]" and in_class:
-            in_class = False
+            in_class = negated = False
         out.append(ch)
         i += 1
     flags = ("(?iu)" if engine == "java" else "(?i)") if ignore_case else ""

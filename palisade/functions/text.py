@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from palisade.functions.patterns import SPACE
+from palisade.functions.patterns import SPACE_CHARS
 
 
 def strip(col: Column) -> Column:
-    """Remove white space of any kind from both ends.
+    """Remove white space of any kind from both ends; only the ends are looked at."""
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
-    The look-behind lets the tail pattern start only where a run starts, so a
-    long run inside the text costs one pass, not one pass per character.
-    """
-    return F.regexp_replace(col, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\\z", "")
+
+def sql_string(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def let(value: Column, body) -> Column:

@@ -94,13 +94,13 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
                          "second": pd.Series(kept, dtype="int64")})
 
 
-def apply_cooldown(alerts: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+def apply_cooldown(alerts: DataFrame, chunk_seconds: int = 604800) -> DataFrame:
     """Alerts that are sent: each at least ``cooldown_minutes`` after the last one sent.
 
     Needs ``config_id, source_id, sent_at, cooldown_minutes``.  Time counts in
     whole seconds; of several alerts in one second the least row stands for
     all.  The decision depends on the previous one, yet no key is handled by
-    one task: a key's time is cut into chunks of a day (a bounded number of
+    one task: a key's time is cut into chunks of a week (a bounded number of
     seconds each), every chunk is summarised on its own, only the summaries
     are walked in order, and the chunks are then replayed in parallel.
     """

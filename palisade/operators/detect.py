@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.functions import risk
 from palisade.functions.patterns import compile_rule, gate_pattern, literal_pattern
-from palisade.functions.text import first_per_key, let, running_sum, strip
+from palisade.functions.text import first_per_key, let, running_sum, sql_string, strip
 from palisade.rules import ABUSE_PHRASES, ABUSE_SIGNALS, PII_RULES, SECRET_RULES, TextRule
 
 FINDING = T.StructType([
@@ -28,6 +28,7 @@ FINDING = T.StructType([
     T.StructField("note", T.StringType()),
 ])
 FINDINGS_TYPE = f"array<{FINDING.simpleString()}>"
+MATCHES_TYPE = "array<struct<family:int,rule_order:int,start:int,end:int,raw:string,context:string>>"
 REDACTED = "[REDACTED]"
 
 
@@ -41,17 +42,19 @@ def _gated(rule: TextRule) -> bool:
     return rule.ignore_case and not rule.guard
 
 
-def _guarded(rule: TextRule, text: Column, has_digit: Column, gate: Column) -> Column:
+def _guarded(rule: TextRule, gate: str) -> Column:
     """All hits of one rule, tried only on pages that pass the rule's cheap test."""
-    hits = F.regexp_extract_all(text, F.lit(compile_rule(rule)), F.lit(0))
+    test = "true"
     if rule.guard == "digit":
-        return F.when(has_digit, hits)
-    if rule.guard:
-        return F.when(text.contains(rule.guard.split(":", 1)[1]), hits)
-    return F.when(gate, hits) if _gated(rule) else hits
+        test = "_digit"
+    elif rule.guard:
+        test = f"contains(_text, {sql_string(rule.guard.split(':', 1)[1])})"
+    elif _gated(rule):
+        test = gate
+    return F.expr(f"CASE WHEN {test} THEN regexp_extract_all(_text, {sql_string(compile_rule(rule))}, 0) END")
 
 
-def _context(hits: Column, gaps: Column, i: Column, start: Column, end: Column, total: Column, width: int) -> Column:
+def _context(hits: Column, gaps: Column, i: Column, start: Column, end: Column, total: Column, width: Column) -> Column:
     """``width`` characters either side of hit ``i``.
 
     The text beside a hit is put together from the gaps between hits (trimmed
@@ -63,13 +66,13 @@ def _context(hits: Column, gaps: Column, i: Column, start: Column, end: Column,
         return F.substring(s, -width, width)
 
     def head(s):
-        return F.substring(s, 1, width)
+        return F.substring(s, F.lit(1), width)
 
     near_left, near_right = F.get(gaps, i)["tail"], F.get(gaps, i + 1)["head"]
-    back = F.least(i, F.lit(width))
+    back = F.least(i, width)
     before = F.zip_with(F.slice(gaps, i - back + 1, back), F.slice(hits, i - back + 1, back),
                         lambda g, h: F.concat(g["tail"], tail(h)))
-    ahead = F.least(n - i - 1, F.lit(width))
+    ahead = F.least(n - i - 1, width)
     after = F.zip_with(F.slice(hits, i + 2, ahead), F.slice(gaps, i + 3, ahead),
                        lambda h, g: F.concat(head(h), g["head"]))
     left = F.when((i == 0) | (F.length(near_left) >= width), near_left).otherwise(
@@ -81,23 +84,20 @@ def _context(hits: Column, gaps: Column, i: Column, start: Column, end: Column,
                     F.when(total - end > width, "…").otherwise(""))
 
 
-def _locator(width: int):
-    return lambda group: _locate(group, width)
-
-
-def _locate(group: Column, width: int) -> Column:
-    """All hits of one rule as structs: rule, raw match, offsets and context."""
-    hits, gaps, order = group["hits"], group["gaps"], group["rule_order"]
+def _locate(group: Column) -> Column:
+    """All hits of one rule as structs: family, rule, raw match, offsets and context."""
+    hits, gaps, width = group["hits"], group["gaps"], group["width"]
     lengths = F.zip_with(F.transform(gaps, F.length), F.transform(hits, F.length),
                          lambda g, h: g + F.coalesce(h, F.lit(0)))
     trimmed = F.transform(gaps, lambda g: F.struct(
-        F.substring(g, -width, width).alias("tail"), F.substring(g, 1, width).alias("head")))
+        F.substring(g, -width, width).alias("tail"), F.substring(g, F.lit(1), width).alias("head")))
 
     def rows(ends):
         total = F.element_at(ends, -1)
         return let(trimmed, lambda parts: F.transform(hits, lambda h, i: let(
             F.get(ends, i), lambda end: F.struct(
-                order.alias("rule_order"), (end - F.length(h)).alias("start"), end.alias("end"), h.alias("raw"),
+                group["family"].alias("family"), group["rule_order"].alias("rule_order"),
+                (end - F.length(h)).alias("start"), end.alias("end"), h.alias("raw"),
                 _context(hits, parts, i, end - F.length(h), end, total, width).alias("context")))))
 
     return let(let(lengths, running_sum), rows)
@@ -107,33 +107,36 @@ def locate_matches(pages: DataFrame, rules: dict, text: str = "text") -> DataFra
     """Add one array column of located matches per rule family.
 
     ``rules`` maps the new column's name to ``(rule tuples, context width)``.
+    Three narrow steps: cheap tests, then hits per rule, then offsets and
+    contexts of whatever was hit.
     """
     base = pages.withColumn("_text", scannable_text(F.col(text)))
     tests = {"_digit": F.col("_text").rlike(r"\p{Nd}")}
-    hit_cols, gap_groups = {}, {}
-    for name, (family, _) in rules.items():
+    hit_cols, groups = {}, []
+    for n, (name, (family, width)) in enumerate(rules.items()):
         gated = [r for r in family if _gated(r)]
         if gated:
-            tests[f"_gate_{name}"] = F.col("_text").rlike(gate_pattern(gated))
+            tests[f"_gate{n}"] = F.col("_text").rlike(gate_pattern(gated))
         for k, rule in enumerate(family):
-            hit_cols[f"_{name}_{k}"] = _guarded(rule, F.col("_text"), F.col("_digit"), F.col(f"_gate_{name}"))
+            hits = f"_hits{n}_{k}"
+            hit_cols[hits] = _guarded(rule, f"_gate{n}")
+            groups.append(F.expr(
+                f"CASE WHEN size({hits}) > 0 THEN struct({n} AS family, {k} AS rule_order, {width} AS width, {hits} AS hits, "
+                f"split(_text, {sql_string(compile_rule(rule))}, -1) AS gaps) END"))
+    if not groups:
+        return pages.withColumns({name: F.array().cast(MATCHES_TYPE) for name in rules})
     base = base.withColumns(tests).withColumns(hit_cols)
-    for name, (family, _) in rules.items():
-        groups = [F.when(F.size(f"_{name}_{k}") > 0, F.struct(
-            F.lit(k).alias("rule_order"), F.col(f"_{name}_{k}").alias("hits"),
-            F.split("_text", compile_rule(rule), -1).alias("gaps"))) for k, rule in enumerate(family)]
-        gap_groups[f"_{name}"] = F.array_compact(F.array(*groups)) if groups else None
-    base = base.withColumns({k: v for k, v in gap_groups.items() if v is not None}).drop(*hit_cols)
-    empty = F.array().cast("array<struct<rule_order:int,start:int,end:int,raw:string,context:string>>")
+    base = base.withColumn("_groups", F.array_compact(F.array(*groups))).drop(*hit_cols, *tests, "_text")
+    base = base.withColumn("_matches", F.flatten(F.transform("_groups", _locate))).drop("_groups")
     return base.withColumns({
-        name: F.flatten(F.transform(F.col(f"_{name}"), _locator(width))) if family else empty
-        for name, (family, width) in rules.items()
-    }).drop(*gap_groups, "_text", *tests)
+        name: F.expr(f"filter(_matches, m -> m.family = {n})") for n, name in enumerate(rules)}).drop("_matches")
 
 
 def _meta(rules: tuple, field: str, order: Column) -> Column:
     """A rule attribute looked up by rule number."""
-    return F.get(F.array(*[F.lit(getattr(r, field)) for r in rules]), order)
+    values = [getattr(r, field) for r in rules]
+    items = ", ".join(sql_string(v) if isinstance(v, str) else f"{v}D" for v in values)
+    return F.get(F.expr(f"array({items})"), order)
 
 
 def _finding(match: Column, rules: tuple, key: Column, value: Column, context: Column, method: str) -> Column:
@@ -250,12 +253,16 @@ def keyword_findings(text: Column, keywords) -> Column:
 
 
 def explode_findings(pages: DataFrame, checks: dict, keys=("doc_id", "page_num")) -> DataFrame:
-    """The long findings table from per-page arrays; ``checks`` maps check type to column."""
+    """The long findings table from per-page arrays; ``checks`` maps check type to column.
+
+    The outer form of explode is used because the inner one makes the optimizer
+    add a filter on the array's size, which would evaluate the detectors twice.
+    """
     def tagged(name):
         return lambda f: F.struct(F.lit(name).alias("check_type"), f.alias("f"))
 
     rows = F.flatten(F.array(*[F.transform(F.col(c), tagged(name)) for name, c in checks.items()]))
-    return (pages.select(*keys, F.explode(rows).alias("r"))
+    return (pages.select(*keys, F.explode_outer(rows).alias("r")).where(F.col("r").isNotNull())
             .select(*keys, "r.check_type", "r.f.*"))
 
 

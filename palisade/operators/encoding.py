@@ -35,7 +35,7 @@ def scripts(unexpected: Column) -> Column:
 
 # Cheap tests that must hold before the costlier pattern can match.
 _OCR_GATES = {
-    "Isolated chars": f"[{SPACE}]{{3}}",
+    "Isolated chars": compile_pattern(r"\s{3}"),
     "Slashes mid-word": r"[|\\/]{2}",
 }
 
@@ -51,17 +51,28 @@ def ocr_issues(text: Column) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+_KNOWN = sorted({w for words in STOP_WORDS.values() for w in words})
+# Capitals of every letter that occurs in a stop word: lowering whole pages by
+# locale rules costs several times as much.
+_UPPER = "".join(sorted({c.upper() for words in STOP_WORDS.values() for w in words for c in w}))
+
+
+def longer_than(text: Column, n: int) -> Column:
+    """Is the stripped text, with every white-space run as one character, longer than ``n``?  Stops reading there."""
+    unit = compile_pattern(r"\s") + "++|" + f"[^{SPACE}]"
+    return strip(text).rlike(f"^(?:{unit}){{{n + 1}}}")
+
+
 def detect_language(text: Column) -> Column:
     """Language whose function words occur most often; null when none occurs."""
-    known = sorted({w for words in STOP_WORDS.values() for w in words})
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*known))
+    words = F.split(F.translate(text, _UPPER, _UPPER.lower()), r"[^\p{L}]+")
+    hits = F.filter(words, lambda w: w.isin(_KNOWN))
 
-    def counted(language):
-        return lambda hits: F.size(F.filter(hits, lambda w: w.isin(*STOP_WORDS[language])))
+    def counted(code):
+        return lambda found: F.struct(F.size(F.filter(found, lambda w: w.isin(list(STOP_WORDS[code])))).alias("n"),
+                                      F.lit(-list(STOP_WORDS).index(code)).alias("place"), F.lit(code).alias("code"))
 
-    best = let(words, lambda hits: F.array_max(F.array(*[
-        F.struct(counted(code)(hits).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code"))
-        for i, code in enumerate(STOP_WORDS)])))
+    best = let(hits, lambda found: F.array_max(F.array(*[counted(code)(found) for code in STOP_WORDS])))
     return F.when(best["n"] > 0, best["code"])
 
 
@@ -83,13 +94,12 @@ def detect_encoding(pages: DataFrame, rules: dict, text: str = "text", language:
     allowed = list(rules.get("allowed_languages", ["en"]))
     min_confidence = rules.get("min_encoding_confidence", 0.85)
     body, name, conf = F.col(text), F.col("detected_encoding"), F.col("encoding_confidence")
-    folded = F.length(F.regexp_replace(strip(body), f"[{SPACE}]+", " "))
     lang = language if language is not None else detect_language(body)
     parts = pages.withColumns({
         "_image": is_image_only(body),
         "_odd": unexpected_chars(body),
         "_ocr": ocr_issues(body),
-        "_lang": F.when(folded > 80, lang),
+        "_lang": F.when(longer_than(body, 80), lang),
     })
     parts = parts.withColumns({"_count": F.length("_odd"), "_scripts": scripts(F.col("_odd"))})
     count, ocr = F.col("_count"), F.col("_ocr")
