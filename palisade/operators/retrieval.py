@@ -93,7 +93,8 @@ def top_k(index: DataFrame, query: DataFrame, k: int = 5, where: Column | None =
     gives fewer rows.
     """
     rows = index.where(where) if where is not None else index
-    scored = rows.withColumn("distance", F.round(1 - cosine(F.col(vector), query.scalar(), dims), 6))
+    scored = rows.withColumn("_query", query.scalar()).withColumn(
+        "distance", F.round(1 - cosine(F.col(vector), F.col("_query"), dims), 6)).drop("_query")
     return scored.orderBy("distance", id_col).limit(k)
 
 
