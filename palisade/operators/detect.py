@@ -42,7 +42,11 @@ def _gated(rule: TextRule) -> bool:
     return rule.ignore_case and not rule.guard
 
 
-def _guarded(rule: TextRule, gate: str) -> Column:
+def _gate_of(rule: TextRule) -> str:
+    return "_gate_word" if rule.pattern.startswith(r"\b") else "_gate_free"
+
+
+def _guarded(rule: TextRule) -> Column:
     """All hits of one rule, tried only on pages that pass the rule's cheap test."""
     test = "true"
     if rule.guard == "digit":
@@ -50,7 +54,7 @@ def _guarded(rule: TextRule, gate: str) -> Column:
     elif rule.guard:
         test = f"contains(_text, {sql_string(rule.guard.split(':', 1)[1])})"
     elif _gated(rule):
-        test = gate
+        test = _gate_of(rule)
     return F.expr(f"CASE WHEN {test} THEN regexp_extract_all(_text, {sql_string(compile_rule(rule))}, 0) END")
 
 
@@ -112,14 +116,16 @@ def locate_matches(pages: DataFrame, rules: dict, text: str = "text") -> DataFra
     """
     base = pages.withColumn("_text", scannable_text(F.col(text)))
     tests = {"_digit": F.col("_text").rlike(r"\p{Nd}")}
-    hit_cols, groups = {}, []
-    for n, (name, (family, width)) in enumerate(rules.items()):
-        gated = [r for r in family if _gated(r)]
+    # Rules without a test of their own share one gate per kind over all families.
+    for gate in ("_gate_word", "_gate_free"):
+        gated = [r for family, _ in rules.values() for r in family if _gated(r) and _gate_of(r) == gate]
         if gated:
-            tests[f"_gate{n}"] = F.col("_text").rlike(gate_pattern(gated))
+            tests[gate] = F.col("_text").rlike(gate_pattern(gated))
+    hit_cols, groups = {}, []
+    for n, (family, width) in enumerate(rules.values()):
         for k, rule in enumerate(family):
             hits = f"_hits{n}_{k}"
-            hit_cols[hits] = _guarded(rule, f"_gate{n}")
+            hit_cols[hits] = _guarded(rule)
             groups.append(F.expr(
                 f"CASE WHEN size({hits}) > 0 THEN struct({n} AS family, {k} AS rule_order, {width} AS width, {hits} AS hits, "
                 f"split(_text, {sql_string(compile_rule(rule))}, -1) AS gaps) END"))

@@ -23,11 +23,9 @@ def infer_fields(documents: DataFrame, collection: str, body: str) -> DataFrame:
     sorts first.  ``_id`` is always listed as the key.
     """
     parsed = documents.select(F.col(collection).alias("collection"), F.try_parse_json(body).alias("v"))
-    spark = documents.sparkSession
-    parsed.createOrReplaceTempView("_palisade_documents")
-    fields = spark.sql("SELECT d.collection, f.key AS field, f.value AS value "
-                       "FROM _palisade_documents d, LATERAL variant_explode(d.v) f")
-    spark.catalog.dropTempView("_palisade_documents")
+    tvf = documents.sparkSession.tvf
+    fields = parsed.lateralJoin(tvf.variant_explode(F.col("v").outer())).select(
+        "collection", F.col("key").alias("field"), "value")
     counts = (fields.where(F.col("field") != "_id").withColumn("type", type_label(F.col("value")))
               .groupBy("collection", "field", "type").agg(F.count(F.lit(1)).alias("n")))
     typed = F.col("type") != "null"
