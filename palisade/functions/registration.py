@@ -10,12 +10,15 @@ inputs; scans of whole tables belong to :func:`palisade.plans.scan.scan_pages`.
 from __future__ import annotations
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.functions import udtf
 
 from palisade.functions.masking import mask_value
 from palisade.operators.classify import check_type, classify_column
+from palisade import rules
 from palisade.rules import PII_RULES
 
 _RESULT = "classification string, confidence double, risk_level string, recommendation string, match_method string"
@@ -32,6 +35,12 @@ def _define(spark, name: str, parameters: str, returns: str, expression: Column)
               f"RETURN {_body(spark, parameters, expression)}")
 
 
+# The table function runs in Python workers, which need not have this package on
+# their path: send it, and the rules it holds, by value.
+for _module in (sys.modules[__name__], rules):
+    cloudpickle.register_pickle_by_value(_module)
+
+
 @udtf(returnType="category string, value string, start int, risk_level string, confidence double")
 class DetectFindings:
     """Personal data in one text, first occurrence of each value."""

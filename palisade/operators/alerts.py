@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.functions import risk
@@ -52,6 +55,11 @@ def log_alerts(history: DataFrame, alerts: DataFrame) -> DataFrame:
     return store.insert_ignore(history, alerts, "alert_id")
 
 
+# The functions below run in Python workers, which need not have this package on
+# their path: send them by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _chunk_plan(pdf: pd.DataFrame) -> pd.DataFrame:
     """One chunk's answer to "which alert is the last one sent, if the first one sent is i?".
 

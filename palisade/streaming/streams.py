@@ -7,12 +7,16 @@ timestamp per alert rule and source, ids within the watermark.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators.detect import explode_findings
 from palisade.plans.scan import detect_all
+from palisade.operators.risk_score import severity_weight
 from palisade.operators.scoring import CHECKS
 
 
@@ -28,7 +32,6 @@ def scan_stream(pages: DataFrame, rules: dict | None = None) -> DataFrame:
 
 def trend_stream(findings: DataFrame, time: str, source: str, delay: str = "1 hour") -> DataFrame:
     """Daily counts and severity weights per source; a day is emitted once the watermark has passed it."""
-    from palisade.operators.risk_score import severity_weight
     return (findings.withWatermark(time, delay).groupBy(F.window(time, "1 day"), source)
             .agg(F.count(F.lit(1)).alias("total_violations"),
                  F.sum(severity_weight(F.col("risk_level"))).alias("_w"))
@@ -41,6 +44,11 @@ def dedupe_stream(findings: DataFrame, time: str, key: str, delay: str = "1 hour
     return findings.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+# The function below runs in Python workers, which need not have this package on
+# their path: send it by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _cooldown(key, batches, state: GroupState):
     """Alerts of one rule and source in time order; the last one sent is the state."""
     last = state.get[0] if state.exists else None

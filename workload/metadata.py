@@ -59,7 +59,7 @@ TAB_SQL = ("tb AS (SELECT 'src' || (l_partkey // 200) AS source_id, 't' || (l_pa
 
 
 def base_columns(spark, sf):
-    p = P.spread(table(spark, sf, "part"))
+    p = table(spark, sf, "part")
     key = F.col("p_partkey")
     return p.select(
         F.concat(F.lit("src"), F.floor(key / 200).cast("string")).alias("source_id"),
