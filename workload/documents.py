@@ -366,8 +366,11 @@ FIND_CTE = (
 
 
 def _find(spark, sf):
-    pages = document_pages(spark, sf)
-    found = D.detect_abuse(D.detect_secrets(D.detect_pii(detect_encoding(pages, ENC), LOCAL)))
+    found = D.locate_matches(document_pages(spark, sf), {
+        "pii": (LOCAL, 60), "confidential": (R.SECRET_RULES, 60), "_ph": (R.ABUSE_PHRASES, 80), "_si": (R.ABUSE_SIGNALS, 40)})
+    found = detect_encoding(found, ENC).drop("text").withColumns({
+        "pii": D.pii_findings(F.col("pii"), LOCAL), "confidential": D.secret_findings(F.col("confidential")),
+        "abuse": D.merge_abuse(D.phrase_findings(F.col("_ph")), D.signal_findings(F.col("_si")))})
     return D.explode_findings(found, {"pii": "pii", "confidential": "confidential", "encoding": "encoding", "abuse": "abuse"})
 
 
