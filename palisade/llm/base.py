@@ -42,3 +42,14 @@ def id_key(name: str = "doc_id") -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; others, whatever they are called, cannot clash with those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names close to the given ones that no column has, whatever its case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out

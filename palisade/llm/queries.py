@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from palisade.llm import substring_dedup
+from palisade.llm import quality_lm, simhash, substring_dedup
 
 QUERIES = {
+    "op3_simhash_dedup": simhash.op3,
+    "op4_quality_classifier": quality_lm.op4,
     "op10_substring_dedup": substring_dedup.op10,
 }
 
