@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from palisade.llm import base, words as W
 
-FLUSH = 1_000_000
+#: Candidate windows that a task holds before it settles them.
+FLUSH = 500_000
 
 
 def _picked(hasher, block, length, seed):
