@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from palisade.llm import quality_lm, simhash, substring_dedup
+from palisade.llm import decontaminate, quality_lm, simhash, substring_dedup
 
 QUERIES = {
     "op3_simhash_dedup": simhash.op3,
     "op4_quality_classifier": quality_lm.op4,
+    "op9_decontaminate": decontaminate.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 
 ORACLES = {
+    "op9_decontaminate": r"""
+WITH lowered AS (
+    SELECT doc_id AS id, 'd' AS kind, text FROM documents UNION ALL SELECT item_id, 'b', text FROM benchmark),
+t AS (SELECT id, kind, regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+b AS (SELECT id AS item_id, w, least(10, len(w)) AS n FROM t WHERE kind = 'b' AND len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS words
+        FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT n FROM win),
+hit AS (SELECT p.id, p.i, p.n, item_id
+        FROM (SELECT t.id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, sizes WHERE kind = 'd' AND len(w) >= n) p
+        JOIN win ON win.n = p.n AND win.words = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+covered AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + n)) AS i FROM hit) GROUP BY 1),
+named AS (SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+          FROM (SELECT DISTINCT id, item_id::VARCHAR AS item_id FROM hit) GROUP BY 1)
+SELECT t.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN covered USING (id) LEFT JOIN named USING (id) WHERE kind = 'd'""",
     "op10_substring_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20),
