@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from palisade.llm import decontaminate, quality_lm, simhash, substring_dedup
+from palisade.llm import decontaminate, mixing, quality_lm, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op3_simhash_dedup": simhash.op3,
     "op4_quality_classifier": quality_lm.op4,
+    "op5_mixing": mixing.op5,
+    "op6_sharding": sharding.op6,
     "op9_decontaminate": decontaminate.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
