@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from palisade.llm import decontaminate, mixing, quality_lm, sharding, simhash, substring_dedup
+from palisade.llm import decontaminate, mixing, quality_lm, quality_rules, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op3_simhash_dedup": simhash.op3,
     "op4_quality_classifier": quality_lm.op4,
     "op5_mixing": mixing.op5,
     "op6_sharding": sharding.op6,
+    "op7_token_counts": token_counts.op7,
+    "op8_quality_rules": quality_rules.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
