@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from palisade.llm import base, words as W
 
 SHARD_BYTES = 8_000_000
-HASHES = (W.Hasher(11), W.Hasher(12))
 
 
 class TestIndex:
@@ -50,23 +49,11 @@ class TestIndex:
         for w, k in windows.items():
             self.words[k, :len(w)] = w
         self.shortest = int(self.sizes.min()) if len(windows) else 0
-        vocabulary = pa.array(list(number), pa.large_binary())
-        hashes = [np.concatenate([h.words(b) for b in W.blocks(vocabulary, W.NON_WORD)] or [np.zeros(0, np.uint64)]) for h in HASHES]
-        order = np.argsort(hashes[0])
-        self.hashes, self.numbers = [h[order] for h in hashes], np.append(order + 1, 0)
-
-    def number_words(self, block) -> np.ndarray:
-        """Numbers of the block's words; 0 is a word that no item has."""
-        if not len(self.hashes[0]):
-            return np.zeros(len(block.starts), np.int64)
-        mine = [h.words(block) for h in HASHES]
-        at = np.minimum(np.searchsorted(self.hashes[0], mine[0]), len(self.hashes[0]) - 1)
-        same = (self.hashes[0][at] == mine[0]) & (self.hashes[1][at] == mine[1])
-        return np.where(same, self.numbers[at], 0)
+        self.vocabulary = W.Vocabulary(list(number))
 
     def hits(self, block) -> tuple[np.ndarray, np.ndarray]:
         """Word places in the block, and the window that starts at each."""
-        numbers = self.number_words(block)
+        numbers = self.vocabulary.numbers(block)
         stop = np.zeros(len(numbers) + 1, bool)
         stop[block.first] = True  # a stretch ends with its text
         new = (numbers > 0) & np.concatenate([[True], (numbers[:-1] == 0) | stop[1:-1]])[:len(numbers)]

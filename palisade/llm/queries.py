@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from palisade.llm import decontaminate, mixing, quality_lm, quality_rules, sharding, simhash, substring_dedup, token_counts
+from palisade.llm import (
+    decontaminate, licenses, mixing, quality_lm, quality_rules, sharding, simhash, substring_dedup, token_counts, url_filter)
 
 QUERIES = {
+    "op1_license_scan": licenses.op1,
+    "op2_url_filter": url_filter.op2,
     "op3_simhash_dedup": simhash.op3,
     "op4_quality_classifier": quality_lm.op4,
     "op5_mixing": mixing.op5,

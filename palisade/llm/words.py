@@ -154,4 +154,22 @@ def run_starts(first: np.ndarray, k: int, n_words: int) -> np.ndarray:
     return np.arange(n_words - k + 1) + k <= end[:n_words - k + 1]
 
 
+class Vocabulary:
+    """Numbers 1, 2, ... for given words; every other word is 0.  Words are told apart by 128 bits of hash."""
+
+    def __init__(self, words: list[bytes]):
+        self.hashers = Hasher(11), Hasher(12)
+        column = pa.array(words, pa.large_binary())
+        hashes = [np.concatenate([h.words(b) for b in blocks(column, NON_WORD)] or [np.zeros(0, np.uint64)]) for h in self.hashers]
+        order = np.argsort(hashes[0])
+        self.hashes, self.order = [h[order] for h in hashes], order + 1
+
+    def numbers(self, block: Block) -> np.ndarray:
+        if not len(self.order):
+            return np.zeros(len(block.starts), np.int64)
+        mine = [h.words(block) for h in self.hashers]
+        at = np.minimum(np.searchsorted(self.hashes[0], mine[0]), len(self.order) - 1)
+        return np.where((self.hashes[0][at] == mine[0]) & (self.hashes[1][at] == mine[1]), self.order[at], 0)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
