@@ -28,7 +28,8 @@ from palisade.llm import base, words as W
 ORDER, SYMBOLS = 4, 48
 #: Trusted ids that are sent to every task at most (16 bytes each); beyond it the documents are shuffled to them.
 BROADCAST_IDS = 4_000_000
-BINS = 10_000
+#: Bins of a perplexity's logarithm, per unit.
+BINS = 1000
 
 
 def classes() -> np.ndarray:
@@ -149,54 +150,75 @@ def _score(shared):
     return score
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, n_symbols and the summed minus log probability of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(dense(model))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "lang", "trusted", "text")
-    return rows.mapInArrow(_score(shared), "doc_id long, tag long, lang string, trusted boolean, n_symbols long, cost double")
+def scored(docs: DataFrame, shared, size: str = "n_symbols", cost: str = "cost") -> DataFrame:
+    """Two more columns: symbols of each whole text and its summed minus log probability."""
+    (text,) = base.unused(docs, "_text")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{size}` long, `{cost}` double"])
+    rows = docs.select("*", F.col("text").alias(text))
+    return rows.mapInArrow(_score(shared), schema)
 
 
-def _quantile(rows: DataFrame, by: list[str], quantile: float) -> DataFrame:
-    """Exact to one bin of 1 / BINS; the counts of a bin combine before the shuffle."""
-    bins = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+def _quantile(bins: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """From counts ``n`` of bins; exact to one bin, of which there are at most a few thousand however many rows there are."""
     order = Window.partitionBy(*by).orderBy("bin")
     share = F.sum("n").over(order) / F.sum("n").over(Window.partitionBy(*by))
     return bins.withColumn("share", share).where(F.col("share") >= quantile).groupBy(*by).agg(
         (F.min("bin") / BINS).alias("limit"))
 
 
-def judged(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0) -> DataFrame:
-    """doc_id, tag, lang, n_symbols, perplexity, threshold, kept for every row.
+class Classifier:
+    """The model, each language's mean and its threshold, fitted on the trusted rows among ``docs``.
 
-    Only ``doc_id``, ``text`` and ``lang`` are read; ``trusted`` holds ids of trusted documents.  A null or empty text
-    has no perplexity and is rejected.  Without any trusted text there is no threshold and every text with symbols
-    stays.  A null language is a language.  Equal rows get equal results; ``tag`` is a hash of the text.
+    Only ``doc_id``, ``text`` and ``lang`` are read; ``trusted`` holds ids of trusted documents.  A null or empty text has
+    no perplexity and is rejected.  Without any trusted text there is no threshold and every text with symbols stays.  A
+    null language counts as the empty one.  Equal rows get equal results.
     """
-    own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted)
-    scored = base.written(score(own, train(own.where("trusted"))), "scored").withColumn(
-        "lang", F.coalesce("lang", F.lit("")))
-    good = scored.where("trusted and n_symbols > 0")
-    rate = lambda cost, n: cost / n
-    means = good.groupBy("lang").agg(rate(F.sum("cost"), F.sum("n_symbols")).alias("mean"))
-    means_all = good.agg(rate(F.sum("cost"), F.sum("n_symbols")).alias("mean_all"))
-    few = base.written(means.crossJoin(F.broadcast(means_all)), "means")  # one row on the right
-
-    def smooth(rows):
-        mean = F.coalesce("mean", "mean_all", F.col("cost") / F.col("n_symbols"))
-        return F.when(F.col("n_symbols") > 0, (F.col("cost") + prior * mean) / (F.col("n_symbols") + prior))
-
-    overall = few.select("mean_all").limit(1)
-    with_mean = scored.join(few.select("lang", "mean"), "lang", "left").join(F.broadcast(overall), how="left").withColumn(
-        "rate", smooth(None))
-    rates = base.written(with_mean.select("doc_id", "tag", F.col("lang"), "trusted", "n_symbols", "rate"), "rates")
-    binned = rates.where("trusted and rate is not null").withColumn("bin", F.ceil(F.col("rate") * BINS))
-    by_lang = _quantile(binned, ["lang"], quantile)
-    of_all = _quantile(binned.withColumn("all", F.lit(1)), ["all"], quantile).select(F.col("limit").alias("limit_all"))
-    judged = rates.join(by_lang, "lang", "left").join(F.broadcast(of_all), how="left").withColumn(
-        "limit", F.coalesce("limit", "limit_all") + F.lit(float(np.log(slack))))
-    return judged.select(
-        "doc_id", "tag", "lang", "n_symbols", F.exp("rate").alias("perplexity"), F.exp("limit").alias("threshold"),
-        F.coalesce(F.col("rate") <= F.coalesce("limit", F.lit(float("inf"))), F.lit(False)).alias("kept"))
+
+    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0):
+        self.prior = prior
+        own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted).where("trusted").select("lang", "text")
+        self.cost = docs.sparkSession.sparkContext.broadcast(dense(train(own)))
+        good = base.written(scored(own, self.cost).drop("text"), "trusted").withColumn(
+            "lang", F.coalesce("lang", F.lit(""))).where("n_symbols > 0")
+        mean = F.sum("cost") / F.sum("n_symbols")
+        self.means = base.written(good.groupBy("lang").agg(mean.alias("mean")), "means")
+        self.mean_all = base.written(good.agg(mean.alias("mean_all")), "mean")
+        rates = self._rated(good, "lang", "n_symbols", "cost").withColumn("bin", F.ceil(F.col("rate") * BINS))
+        binned = base.written(rates.groupBy("lang", "bin").agg(F.count("*").alias("n")), "bins")
+        over = F.lit(float(np.log(slack)))
+        self.limits = base.written(_quantile(binned, ["lang"], quantile).select("lang", (F.col("limit") + over).alias("limit")), "limits")
+        every = binned.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("all", F.lit(1))
+        self.limit_all = base.written(_quantile(every, ["all"], quantile).select((F.col("limit") + over).alias("limit_all")), "limit")
+
+    def _rated(self, rows: DataFrame, lang: str, size: str, cost: str) -> DataFrame:
+        rows = rows.join(self.means.withColumnRenamed("lang", "_l"), F.coalesce(F.col(lang), F.lit("")) == F.col("_l"), "left")
+        rows = rows.join(F.broadcast(self.mean_all), how="left")  # one row
+        mean = F.coalesce("mean", "mean_all", F.col(cost) / F.col(size))
+        return rows.withColumn("rate", F.when(F.col(size) > 0, (F.col(cost) + self.prior * mean) / (F.col(size) + self.prior))).drop(
+            "_l", "mean", "mean_all")
+
+    def judged(self, docs: DataFrame) -> DataFrame:
+        """doc_id, lang, n_symbols, perplexity, threshold, kept for every row; no text is shuffled."""
+        own = base.only(docs, "doc_id", "lang", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+        rows = self._rated(scored(own, self.cost).drop("text"), "lang", "n_symbols", "cost")
+        rows = rows.join(self.limits.withColumnRenamed("lang", "_l"), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
+        rows = rows.join(F.broadcast(self.limit_all), how="left")
+        limit = F.coalesce("limit", "limit_all")
+        return rows.select(
+            "doc_id", "lang", "n_symbols", F.exp("rate").alias("perplexity"), F.exp(limit).alias("threshold"),
+            F.coalesce(F.col("rate") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept"))
+
+    def keep(self, docs: DataFrame) -> DataFrame:
+        """The documents that stay, all columns; filtered where they are read."""
+        size, cost, rate, limit, limit_all, lang = base.unused(docs, "_size", "_cost", "_rate", "_limit", "_limit_all", "_lang")
+        # Columns of the documents are set aside in one, so that none can clash.
+        rows = scored(docs, self.cost, size, cost).select(
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("lang").alias(lang), size, cost)
+        rows = self._rated(rows, lang, size, cost).withColumnRenamed("rate", rate)
+        rows = rows.join(self.limits.toDF("_l", limit), F.coalesce(F.col(lang), F.lit("")) == F.col("_l"), "left")
+        rows = rows.join(F.broadcast(self.limit_all.toDF(limit_all)), how="left")
+        most = F.coalesce(limit, limit_all, F.lit(float("inf")))
+        return rows.where(F.col(rate) <= most).select("row.*")
 
 
 def trusted_ids(spark, sf_dir) -> DataFrame:
@@ -204,7 +226,8 @@ def trusted_ids(spark, sf_dir) -> DataFrame:
 
 
 def op4(spark, sf_dir):
-    return judged(base.table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("tag")
+    docs = base.table(spark, sf_dir, "documents")
+    return Classifier(docs, trusted_ids(spark, sf_dir)).judged(docs)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
