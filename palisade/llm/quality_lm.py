@@ -10,8 +10,8 @@ of this kind of corpus are rare, and a row per word n-gram of every document is
   next lower order's probabilities in joins that are sharded on the context and on the suffix.
 * **Perplexity.** The finished table (its size is bounded by the alphabet) goes to every task, which adds up the
   logarithms over each whole text.  Short texts are drawn to their language's mean with the weight of ``prior`` symbols.
-* **Thresholds** are a quantile of the trusted texts' perplexity, by language, times ``slack``; a language without
-  trusted text takes that of all trusted text.
+* **Thresholds** are a quantile of the trusted texts' perplexity, by language, times ``slack``, where each text is scored by
+  the counts of the other fold; a language without trusted text takes that of all trusted text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from palisade.llm import base, words as W
 
 ORDER, SYMBOLS = 4, 48
+#: Trusted texts are dealt into so many folds; thresholds come from texts that the model at hand has not seen.
+FOLDS = 2
 #: Trusted ids that are sent to every task at most (16 bytes each); beyond it the documents are shuffled to them.
 BROADCAST_IDS = 4_000_000
 #: Bins of a perplexity's logarithm, per unit.
@@ -61,12 +63,16 @@ def block_codes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.n
 
 
 def _count(batches):
-    table, total = classes(), np.zeros(SYMBOLS**ORDER, np.int64)
+    table, size = classes(), SYMBOLS**ORDER
+    total = np.zeros(FOLDS * size, np.int64)
     for batch in batches:
+        folds = batch.column(1).to_numpy()
         for block in W.blocks(batch.column(0), W.SPACES, block_bytes=8_000_000):
-            total += np.bincount(block_codes(block.data, block.bounds, table), minlength=len(total))
+            codes = block_codes(block.data, block.bounds, table)
+            total += np.bincount(codes + size * np.repeat(folds[block.rows], np.diff(block.bounds)), minlength=len(total))
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array((at % size).astype(np.int32)), pa.array((at // size).astype(np.int32)),
+                                      pa.array(total[at])], ["gram", "fold", "n"])
 
 
 def mark_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -86,14 +92,20 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else k * 0.5, 0.1), k) for k in (1, 2, 3)]
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """The model over a ``text`` column: (level, gram, p, rest), one row per n-gram of every order seen.
+def counted(texts: DataFrame) -> DataFrame:
+    """(fold, gram, n) over all rows of (text, fold)."""
+    own = texts.select("text", F.col("fold").cast("int").alias("fold"))
+    grams = own.mapInArrow(_count, "gram int, fold int, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+    return base.written(grams, "grams")
+
+
+def train(grams: DataFrame) -> DataFrame:
+    """The model from counts (gram, n): (level, gram, context, p, rest), one row per n-gram of every order seen.
 
     ``p`` is the gram's interpolated probability; ``rest`` is what its context, as a context, leaves to lower orders
     (of the context that is the gram itself; null where the gram starts no longer one).
     """
-    seen = {ORDER: base.written(texts.select("text").mapInArrow(_count, "gram int, n long")
-                                .groupBy("gram").agg(F.sum("n").alias("n")), "grams")}
+    seen = {ORDER: grams.groupBy("gram").agg(F.sum("n").alias("n"))}
     for level in range(ORDER - 1, 0, -1):  # how many symbols stand before the gram
         seen[level] = seen[level + 1].groupBy((F.col("gram") % SYMBOLS**level).alias("gram")).agg(F.count("*").alias("n"))
     lower, model = None, []
@@ -134,28 +146,34 @@ def dense(model: DataFrame) -> np.ndarray:
     return -np.log(probs).astype(np.float32)
 
 
-def _score(shared):
+def _score(shared, size_name, cost_name):
     def score(batches):
-        table, cost = classes(), shared.value
+        table, costs = classes(), shared.value
         for batch in batches:
             total, size = [], []
+            folds = batch.column("fold").to_numpy() if len(costs) > 1 else None
             for block in W.blocks(batch.column(batch.num_columns - 1), W.SPACES):
-                sums = np.concatenate([[0.0], np.cumsum(cost[block_codes(block.data, block.bounds, table)], dtype=np.float64)])
+                codes = block_codes(block.data, block.bounds, table)
+                own = costs[0][codes] if folds is None else costs[np.repeat(folds[block.rows], np.diff(block.bounds)), codes]
+                sums = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
                 total.append(np.diff(sums[block.bounds]))
                 size.append(np.diff(block.bounds))
             join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(join(size, np.int64)), pa.array(join(total, np.float64))],
-                [*batch.schema.names[:-1], "n_symbols", "cost"])
+                [*batch.schema.names[:-1], size_name, cost_name])
     return score
 
 
 def scored(docs: DataFrame, shared, size: str = "n_symbols", cost: str = "cost") -> DataFrame:
-    """Two more columns: symbols of each whole text and its summed minus log probability."""
+    """Two more columns: symbols of each whole text and its summed minus log probability.
+
+    ``shared`` holds one table, or one for each value of the column ``fold``.
+    """
     (text,) = base.unused(docs, "_text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{size}` long, `{cost}` double"])
     rows = docs.select("*", F.col("text").alias(text))
-    return rows.mapInArrow(_score(shared), schema)
+    return rows.mapInArrow(_score(shared, size, cost), schema)
 
 
 def _quantile(bins: DataFrame, by: list[str], quantile: float) -> DataFrame:
@@ -176,9 +194,12 @@ class Classifier:
 
     def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0):
         self.prior = prior
-        own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted).where("trusted").select("lang", "text")
-        self.cost = docs.sparkSession.sparkContext.broadcast(dense(train(own)))
-        good = base.written(scored(own, self.cost).drop("text"), "trusted").withColumn(
+        own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted).where("trusted").select(
+            "lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+        share, grams = docs.sparkSession.sparkContext.broadcast, counted(own)
+        self.cost = share(dense(train(grams))[None, :])
+        others = share(np.stack([dense(train(grams.where(F.col("fold") != k))) for k in range(FOLDS)]))
+        good = base.written(scored(own, others).drop("text"), "trusted").withColumn(
             "lang", F.coalesce("lang", F.lit(""))).where("n_symbols > 0")
         mean = F.sum("cost") / F.sum("n_symbols")
         self.means = base.written(good.groupBy("lang").agg(mean.alias("mean")), "means")
