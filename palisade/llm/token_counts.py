@@ -97,7 +97,8 @@ def counted(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> Da
     """
     own = base.only(docs, "doc_id", "text")
     append_misses(own, cache, tokenizer)
-    stored = read_cache(docs.sparkSession, cache, tokenizer_version(tokenizer))
+    # Written, so that no aggregate stands between its shuffle and the join: Spark can then split a digest of many rows.
+    stored = base.written(read_cache(docs.sparkSession, cache, tokenizer_version(tokenizer)), "stored")
     keyed = own.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                        digest(F.col("text")).alias("digest"))
     return keyed.join(stored, "digest", "left").select(
