@@ -103,10 +103,3 @@ def mask_value(category: Column, value: Column) -> Column:
     for name, rule in MASKS.items():
         expr = expr.when(category == name, rule(value))
     return expr.otherwise(mask_generic(value))
-
-
-def mask_text(text: Column, findings: Column) -> Column:
-    """The text with every found value masked in place, longest values first."""
-    values = F.array_sort(F.transform(findings, lambda f: F.struct(
-        (-F.length(f["value"])).alias("n"), f["value"].alias("value"), f["category"].alias("category"))))
-    return F.aggregate(values, text, lambda acc, f: F.replace(acc, f["value"], mask_value(f["category"], f["value"])))

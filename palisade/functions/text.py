@@ -22,25 +22,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _grown_sum(values: Column) -> Column:
-    """0 and every prefix sum, by growing an array: for short arrays."""
+def _grown(values: Column, join) -> Column:
+    """0 and every prefix fold, by growing an array: for short arrays."""
     return F.aggregate(values, F.array(F.lit(0)),
-                       lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+                       lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
 
 
-def running_sum(values: Column) -> Column:
-    """Inclusive prefix sums of an integer array.
+def _running(values: Column, join) -> Column:
+    """Inclusive prefix folds of an array of integers, none below 0.
 
-    Summed in blocks of about sqrt(n), so even a page with very many hits is
-    far from quadratic work.
+    Folded in blocks of about sqrt(n), which makes n·sqrt(n) work of a page's n hits.
     """
     width = F.ceil(F.sqrt(F.size(values))).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")),
-                         lambda k: _grown_sum(F.slice(values, k * width + 1, width)))
+                         lambda k: _grown(F.slice(values, k * width + 1, width), join))
     return let(blocks, lambda parts: let(
-        _grown_sum(F.transform(parts, lambda p: F.element_at(p, -1))),
+        _grown(F.transform(parts, lambda p: F.element_at(p, -1)), join),
         lambda offsets: F.flatten(F.transform(parts, lambda p, k: F.transform(
-            F.slice(p, 2, F.size(p) - 1), lambda x: x + F.get(offsets, k))))))
+            F.slice(p, 2, F.size(p) - 1), lambda x: join(F.get(offsets, k), x))))))
+
+
+def running_sum(values: Column) -> Column:
+    return _running(values, lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    return _running(values, lambda a, b: F.greatest(a, b))
 
 
 def first_per_key(items: Column) -> Column:

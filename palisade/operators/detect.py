@@ -3,7 +3,7 @@
 A page is one row and everything a detector needs to know about a page is in
 that row, so matching, locating, cutting contexts and removing duplicates all
 happen inside the row: the text is read once, never shuffled, and only short
-findings leave the stage.  Work per page is n·log n in its matches.
+findings leave the stage.  Work per page is n·sqrt(n) in its n matches.
 """
 
 from __future__ import annotations
@@ -88,11 +88,17 @@ def _context(hits: Column, gaps: Column, i: Column, start: Column, end: Column,
                     F.when(total - end > width, "…").otherwise(""))
 
 
-def _locate(group: Column) -> Column:
-    """All hits of one rule as structs: family, rule, raw match, offsets and context."""
+def _ends(hits: Column, gaps: Column, size) -> Column:
+    return running_sum(F.zip_with(F.transform(gaps, size), F.transform(hits, size), lambda g, h: g + F.coalesce(h, F.lit(0))))
+
+
+def _locate(group: Column, byte_offsets: bool = False) -> Column:
+    """All hits of one rule as structs: family, rule, raw match, offsets and context, or byte offsets instead of the latter."""
     hits, gaps, width = group["hits"], group["gaps"], group["width"]
-    lengths = F.zip_with(F.transform(gaps, F.length), F.transform(hits, F.length),
-                         lambda g, h: g + F.coalesce(h, F.lit(0)))
+    if byte_offsets:
+        return let(_ends(hits, gaps, F.octet_length), lambda ends: F.transform(hits, lambda h, i: F.struct(
+            group["family"].alias("family"), group["rule_order"].alias("rule_order"),
+            (F.get(ends, i) - F.octet_length(h)).alias("first"), F.get(ends, i).alias("last"), h.alias("raw"))))
     trimmed = F.transform(gaps, lambda g: F.struct(
         F.substring(g, -width, width).alias("tail"), F.substring(g, F.lit(1), width).alias("head")))
 
@@ -104,10 +110,10 @@ def _locate(group: Column) -> Column:
                 (end - F.length(h)).alias("start"), end.alias("end"), h.alias("raw"),
                 _context(hits, parts, i, end - F.length(h), end, total, width).alias("context")))))
 
-    return let(let(lengths, running_sum), rows)
+    return let(_ends(hits, gaps, F.length), rows)
 
 
-def locate_matches(pages: DataFrame, rules: dict, text: str = "text") -> DataFrame:
+def locate_matches(pages: DataFrame, rules: dict, text: str = "text", byte_offsets: bool = False) -> DataFrame:
     """Add one array column of located matches per rule family.
 
     ``rules`` maps the new column's name to ``(rule tuples, context width)``.
@@ -133,7 +139,7 @@ def locate_matches(pages: DataFrame, rules: dict, text: str = "text") -> DataFra
         return pages.withColumns({name: F.array().cast(MATCHES_TYPE) for name in rules})
     base = base.withColumns(tests).withColumns(hit_cols)
     base = base.withColumn("_groups", F.array_compact(F.array(*groups))).drop(*hit_cols, *tests, "_text")
-    base = base.withColumn("_matches", F.flatten(F.transform("_groups", _locate))).drop("_groups")
+    base = base.withColumn("_matches", F.flatten(F.transform("_groups", lambda g: _locate(g, byte_offsets)))).drop("_groups")
     return base.withColumns({
         name: F.expr(f"filter(_matches, m -> m.family = {n})") for n, name in enumerate(rules)}).drop("_matches")
 

@@ -7,16 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palisade.functions.text import strip
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores.
-
-    Input that already has that many splits is left alone, so large tables are
-    never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def image_marker(text: Column, page_num: Column, images: Column) -> Column:
     """Replace the empty text of a page with images by a marker."""
     note = F.concat(

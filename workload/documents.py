@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from palisade import rules as R
 from palisade.functions import risk
-from palisade.functions.masking import mask_text, mask_value
+from palisade.functions.masking import mask_value
 from palisade.operators import detect as D
+from palisade.operators.masked import mask_pages
 from palisade.operators.encoding import detect_encoding, sample_chars, unexpected_chars
 from palisade.operators.reports import (
     confidence_label, findings_table, heatmap, redaction_table, report_rows, summary_rows)
@@ -58,27 +59,16 @@ def secret_sql(rules, source=S.DOCS, tail=None):
             f"{S.first('f', 'k', 'masked')} " + (tail or f"SELECT {SQL_COLS.format(v='masked')} FROM f"))
 
 
-def _phone(rule):
-    return (f"WITH {S.DOCS}, {S.STRIPPED}, p AS ({S.phone_values(rule.category, 0, rule.risk)}) "
-            f"SELECT DISTINCT doc_id, page_num, category, val AS value, risk_level FROM p")
-
-
 for _rule in R.PII_RULES:
     def _q(spark, sf, rule=_rule):
-        rows = _long(D.detect_pii(document_pages(spark, sf), (rule,), 0.0), "pii")
-        if rule.category.startswith("PHONE"):
-            return rows.select("doc_id", "page_num", "category", "value", "risk_level")
-        return rows.select(*COLS)
-    register(_NAMES[_rule.category], _q,
-             _phone(_rule) if _rule.category.startswith("PHONE") else pii_sql((_rule,)))
+        return _long(D.detect_pii(document_pages(spark, sf), (rule,), 0.0), "pii").select(*COLS)
+    register(_NAMES[_rule.category], _q, pii_sql((_rule,)))
 
 for _rule in R.SECRET_RULES:
     def _q(spark, sf, rule=_rule):
         return _long(D.detect_secrets(document_pages(spark, sf), (rule,), 0.0), "confidential").select(*COLS)
     register(_NAMES[_rule.category], _q, secret_sql((_rule,)))
 
-LOCAL = tuple(r for r in R.PII_RULES if not r.category.startswith("PHONE"))
-
 
 # Secrets helpers, keywords ----------------------------------------------------
 register("sec_mask",
@@ -220,30 +210,26 @@ register("f_skip_blank",
 
 
 def _located(spark, sf):
-    m = D.locate_matches(conversation_pages(spark, sf), {"x": (LOCAL, 60)})
+    m = D.locate_matches(conversation_pages(spark, sf), {"x": (R.PII_RULES, 60)})
     return m.select("doc_id", "page_num", F.explode("x").alias("m")).select("doc_id", "page_num", "m.*")
 
 
 register("f_positions",
          lambda spark, sf: _located(spark, sf).select("doc_id", "page_num", "rule_order", "start", F.col("end").alias("stop"), "raw"),
-         f"WITH {S.CONVS}, {S.STRIPPED}, {S.located(LOCAL, 60)} SELECT doc_id, page_num, rule_order, start, stop, raw FROM m")
+         f"WITH {S.CONVS}, {S.STRIPPED}, {S.located(R.PII_RULES, 60)} SELECT doc_id, page_num, rule_order, start, stop, raw FROM m")
 register("f_context",
          lambda spark, sf: _located(spark, sf).select("doc_id", "page_num", "rule_order", "start", "context"),
-         f"WITH {S.CONVS}, {S.STRIPPED}, {S.located(LOCAL, 60)} SELECT doc_id, page_num, rule_order, start, context FROM m")
+         f"WITH {S.CONVS}, {S.STRIPPED}, {S.located(R.PII_RULES, 60)} SELECT doc_id, page_num, rule_order, start, context FROM m")
 register("f_min_confidence",
-         lambda spark, sf: _long(D.detect_pii(document_pages(spark, sf), LOCAL, 0.95), "pii")
+         lambda spark, sf: _long(D.detect_pii(document_pages(spark, sf), R.PII_RULES, 0.95), "pii")
          .groupBy("category", "confidence").agg(F.count(F.lit(1)).alias("n")),
-         pii_sql([r for r in LOCAL if r.confidence >= 0.95],
+         pii_sql([r for r in R.PII_RULES if r.confidence >= 0.95],
                  tail="SELECT category, confidence, count(*) AS n FROM f GROUP BY ALL"))
 register("f_dedupe_value",
-         lambda spark, sf: _long(D.detect_pii(document_pages(spark, sf), LOCAL, 0.0), "pii").select(*COLS),
-         pii_sql(LOCAL))
-
-PII_RANKED = (
-    f"{S.located(R.PII_RULES, 60)}, pv AS (SELECT doc_id, page_num, rule_order, category, risk_level, val FROM m UNION ALL "
-    + " UNION ALL ".join(S.phone_values(r.category, k, r.risk) for k, r in enumerate(R.PII_RULES)
-                         if r.category.startswith("PHONE")) + "), "
-    + S.first("pf", "pv", "val", "rule_order"))
+         lambda spark, sf: _long(D.detect_pii(document_pages(spark, sf), R.PII_RULES, 0.0), "pii").select(*COLS),
+         pii_sql(R.PII_RULES))
+
+PII_RANKED = f"{S.located(R.PII_RULES, 60)}, {S.first('pf', 'm', 'val')}"
 SEC_RANKED = (f"{S.located(R.SECRET_RULES, 60, 'sm')}, sk AS (SELECT *, {MASKED} AS masked FROM sm), "
               + S.first("sf", "sk", "masked"))
 register("f_page_risk",
@@ -352,9 +338,9 @@ register("r_heatmap", lambda spark, sf: heatmap(_results(spark, sf)),
          CONV_ALL + "SELECT doc_id, page_num, " + ", ".join(f"CAST({c} AS INT) AS {c}" for c in CHECKS)
          + f", CAST(total AS INT) AS total, upper({S.label('k')}) AS risk FROM ps")
 
-# Findings with values and contexts; the two phone rules are checked by themselves.
+# Findings with values and contexts.
 FIND_CTE = (
-    f"{S.STRIPPED}, {S.located(LOCAL, 60)}, {S.first('pf', 'm', 'val')}, {SEC_RANKED}, {ABUSE_CTE}, {ENC_CTE}, "
+    f"{S.STRIPPED}, {PII_RANKED}, {SEC_RANKED}, {ABUSE_CTE}, {ENC_CTE}, "
     "fi AS (SELECT doc_id, page_num, 'PII' AS type, category, val[:80] AS value, context, confidence, risk_level, "
     "'regex' AS method, rule_order, start FROM pf UNION ALL "
     "SELECT doc_id, page_num, 'CONFIDENTIAL', category, masked, context, confidence, risk_level, 'regex', rule_order, start FROM sf "
@@ -366,12 +352,7 @@ FIND_CTE = (
 
 
 def _find(spark, sf):
-    found = D.locate_matches(document_pages(spark, sf), {
-        "pii": (LOCAL, 60), "confidential": (R.SECRET_RULES, 60), "_ph": (R.ABUSE_PHRASES, 80), "_si": (R.ABUSE_SIGNALS, 40)})
-    found = detect_encoding(found, ENC).drop("text").withColumns({
-        "pii": D.pii_findings(F.col("pii"), LOCAL), "confidential": D.secret_findings(F.col("confidential")),
-        "abuse": D.merge_abuse(D.phrase_findings(F.col("_ph")), D.signal_findings(F.col("_si")))})
-    return D.explode_findings(found, {"pii": "pii", "confidential": "confidential", "encoding": "encoding", "abuse": "abuse"})
+    return findings_table(scan_pages(document_pages(spark, sf)))
 
 
 def _mask_sql():
@@ -416,7 +397,7 @@ register("r_conf_label",
          "SELECT event_id, CASE WHEN value < 100 THEN CAST(trunc(value) AS INT) || '%' WHEN value > 300 THEN '95%+' "
          "WHEN value > 200 THEN '90%+' WHEN value > 150 THEN '75%+' WHEN value > 120 THEN '65%+' ELSE '70%' END AS label FROM events")
 
-_MASKED = {"m_email": ("EMAIL",), "m_partial": ("BANK_ACCOUNT",), "m_ssn": ("SSN",), "m_aadhaar": ("AADHAAR",),
+_MASKED = {"m_email": ("EMAIL",), "m_partial": ("BANK_ACCOUNT", "PHONE_INDIA", "PHONE_US"), "m_ssn": ("SSN",), "m_aadhaar": ("AADHAAR",),
            "m_pan": ("PAN_CARD",), "m_passport": ("PASSPORT",), "m_card": ("CREDIT_CARD",), "m_ip": ("IP_ADDRESS",),
            "m_dob": ("DATE_OF_BIRTH",), "m_iban": ("IBAN",)}
 for _name, _cats in _MASKED.items():
@@ -427,8 +408,6 @@ for _name, _cats in _MASKED.items():
             "doc_id", "category", "start", "value", mask_value(F.col("category"), F.col("value")).alias("masked"))
     register(_name, _q, pii_sql(_rules, tail=f"SELECT doc_id, category, start, value, {_mask_sql()} AS masked FROM "
                                              "(SELECT doc_id, category, start, val[:80] AS value FROM f)"))
-register("m_ssn_aadhaar", lambda spark, sf: QUERIES["m_ssn"](spark, sf).unionByName(QUERIES["m_aadhaar"](spark, sf)),
-         f"SELECT * FROM ({ORACLES['m_ssn']}) UNION ALL SELECT * FROM ({ORACLES['m_aadhaar']})")
 for _name, _src in (("m_generic", "SELECT c_custkey AS id, '' AS category, c_name AS value FROM customer UNION ALL "
                                   "SELECT c_custkey, '', c_mktsegment[:6] FROM customer"),
                     ("m_redacted", "SELECT c_custkey AS id, '' AS category, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN "
@@ -444,11 +423,15 @@ for _name, _src in (("m_generic", "SELECT c_custkey AS id, '' AS category, c_nam
                          pick(("", "[REDACTED]", "[REDACTED — abuse content]"), F.col("c_custkey")).alias("value"))
         return v.select("id", "value", mask_value(F.col("category"), F.col("value")).alias("masked"))
     register(_name, _q, f"SELECT id, value, {_mask_sql()} AS masked FROM ({_src})")
+# Hits in order of start, longer ones first; what an earlier one covers is not shown twice.
+_MASK_PIECE = (f"CASE WHEN stop <= before THEN '' WHEN start >= before THEN t[before + 1:start] || {_mask_sql()} "
+               "ELSE repeat('*', CAST(stop - before AS INT)) END")
 register("m_text",
-         lambda spark, sf: D.detect_pii(document_pages(spark, sf), tuple(r for r in LOCAL if r.category in ("EMAIL", "IP_ADDRESS")))
-         .select("doc_id", F.md5(mask_text(F.col("text"), F.col("pii"))).alias("masked_md5")),
-         f"WITH {S.DOCS}, {S.STRIPPED}, {S.located([r for r in LOCAL if r.category in ('EMAIL', 'IP_ADDRESS')], 60)}, "
-         f"{S.first('f', 'm', 'val')}, v AS (SELECT doc_id, val[:80] AS value, category FROM f), "
-         f"g AS (SELECT doc_id, list({{'v': value, 'm': {_mask_sql()}}} ORDER BY length(value) DESC, value) AS l FROM v GROUP BY doc_id) "
-         "SELECT pg.doc_id, md5(CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend({'v': text, 'm': ''}, l), "
-         "lambda a, x: {'v': replace(a.v, x.v, x.m), 'm': ''}).v END) AS masked_md5 FROM pg LEFT JOIN g USING (doc_id)")
+         lambda spark, sf: mask_pages(document_pages(spark, sf)).select("doc_id", F.md5("masked").alias("masked_md5")),
+         f"WITH {S.DOCS}, {S.STRIPPED}, {S.located(R.PII_RULES, 60)}, "
+         "o AS (SELECT doc_id, start, stop, category, val AS value, row_number() OVER w AS n, coalesce(max(stop) OVER (PARTITION BY doc_id "
+         "ORDER BY start, stop DESC, rule_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m "
+         "WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop DESC, rule_order)), "
+         f"g AS (SELECT doc_id, string_agg({_MASK_PIECE}, '' ORDER BY n) AS pieces, max(stop) AS stop FROM o JOIN st USING (doc_id) GROUP BY doc_id) "
+         f"SELECT pg.doc_id, md5(CASE WHEN pieces IS NULL THEN text ELSE regexp_extract(text, '^[{S.SPACE}]*') || pieces || t[stop + 1:] || "
+         f"regexp_extract(text, '[{S.SPACE}]*$') END) AS masked_md5 FROM pg LEFT JOIN g USING (doc_id) LEFT JOIN st USING (doc_id)")

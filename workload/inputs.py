@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.sources.pages import spread
 from workload.samples import SNIPPETS
 from workload.sql import MARK
 
@@ -16,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The table as its files split it, or in as many partitions as the session's ``palisade.input.partitions`` asks for."""
+    n = df.sparkSession.conf.get("palisade.input.partitions", None)
+    return df.repartition(int(n)) if n else df
+
+
 def pick(values, key: Column) -> Column:
     """Element of a literal list by key modulo its length."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int"))
@@ -29,7 +33,7 @@ def _encoded(df: DataFrame, key: Column) -> DataFrame:
 
 def document_pages(spark, sf_dir: str) -> DataFrame:
     """Every document as one page, its whole text plus one snippet."""
-    d = spread(table(spark, sf_dir, "documents"))
+    d = dealt(table(spark, sf_dir, "documents"))
     pages = d.select("doc_id", F.lit(1).alias("page_num"),
                      F.concat("text", pick(SNIPPETS, F.col("doc_id"))).alias("text"), "lang", "source")
     return _encoded(pages, F.col("doc_id")).withColumn("char_count", F.length("text"))
@@ -37,7 +41,7 @@ def document_pages(spark, sf_dir: str) -> DataFrame:
 
 def conversation_pages(spark, sf_dir: str) -> DataFrame:
     """Every conversation as a document with one page per turn."""
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = dealt(table(spark, sf_dir, "conversations"))
     key = F.col("conv_id") * 8 + F.col("turn")
     pages = c.select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_num"),
@@ -48,5 +52,5 @@ def conversation_pages(spark, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the place the session names for shared files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

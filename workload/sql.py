@@ -38,23 +38,57 @@ def pattern(rule) -> str:
     return lit(compile_rule(rule, "re2"))
 
 
-def located(rules, width: int, name: str = "m", skip=("PHONE_INDIA", "PHONE_US")) -> str:
-    """CTEs giving every match with offsets and context; rules with look-around are left out."""
+# The two phone rules look behind and ahead; with every run of digits fenced by
+# two control characters the same matches are found without look-around.
+_S = SPACE
+PHONE = {
+    "PHONE_INDIA": (rf"(?:^|[^\x02])(\+\x0191(?:\x02[{_S}\-]\x01)?[6-9]\p{{Nd}}{{9}}\x02)|(\x01[6-9]\p{{Nd}}{{9}}\x02)"),
+    "PHONE_US": (
+        rf"(?:^|[^\x02])((?:\+\x011(?:\x02[{_S}\-]?\(?\x01\p{{Nd}}{{3}}\x02|\p{{Nd}}{{3}}\x02)|\(\x01\p{{Nd}}{{3}}\x02)"
+        rf"\)?[{_S}\-\.]\x01\p{{Nd}}{{3}}\x02[{_S}\-\.]\x01\p{{Nd}}{{4}}\x02)"
+        rf"|((?:\x011(?:\x02[{_S}\-]?\(?\x01\p{{Nd}}{{3}}\x02|\p{{Nd}}{{3}}\x02)|\x01\p{{Nd}}{{3}}\x02)"
+        rf"\)?[{_S}\-\.]\x01\p{{Nd}}{{3}}\x02[{_S}\-\.]\x01\p{{Nd}}{{4}}\x02)"),
+}
+
+
+def _phone(rule, k: int, name: str) -> str:
+    """CTEs of a rule with look-around: hits in the fenced text, offsets by taking the fences before each hit away."""
+    pat, cols = lit(PHONE[rule.category]), "doc_id, page_num, t, f"
+    fenced = r"regexp_replace(t, '(\p{Nd}+)', chr(1) || '\1' || chr(2), 'g')"
+    plain = "replace(replace({0}, chr(1), ''), chr(2), '')"
+    return (
+        f"{name}_f{k} AS (SELECT doc_id, page_num, t, {fenced} AS f FROM st), "
+        f"{name}_g{k} AS (SELECT {cols}, regexp_extract_all(f, {pat}, 0) AS m, regexp_extract_all(f, {pat}, 1) AS a, "
+        f"regexp_extract_all(f, {pat}, 2) AS b, string_split_regex(f, {pat}) AS g FROM {name}_f{k} WHERE regexp_matches(f, {pat})), "
+        f"{name}_i{k} AS (SELECT {cols}, unnest(m) AS m, unnest(a) AS a, unnest(b) AS b, unnest(g[1:len(m)]) AS gap, "
+        f"generate_subscripts(m, 1) AS i FROM {name}_g{k}), "
+        f"{name}_j{k} AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, page_num ORDER BY i) AS BIGINT) AS fstop "
+        f"FROM {name}_i{k}), "
+        f"{name}_p{k} AS (SELECT doc_id, page_num, t, {k} AS rule_order, {plain.format("CASE WHEN a <> '' THEN a ELSE b END")} AS raw, "
+        f"CAST(length({plain.format('f[1:fstop]')}) AS INT) AS stop FROM {name}_j{k})")
+
+
+def located(rules, width: int, name: str = "m") -> str:
+    """CTEs giving every match with offsets and context."""
+    around = [(k, r) for k, r in enumerate(rules) if r.category in PHONE]
     parts = [
         f"SELECT doc_id, page_num, t, {k} AS rule_order, regexp_extract_all(t, {pattern(r)}) AS v, "
         f"string_split_regex(t, {pattern(r)}) AS g FROM st WHERE regexp_matches(t, {pattern(r)})"
-        for k, r in enumerate(rules) if r.category not in skip]
+        for k, r in enumerate(rules) if r.category not in PHONE]
+    parts = parts or ["SELECT doc_id, page_num, t, -1 AS rule_order, ['x'] AS v, ['x'] AS g FROM st WHERE false"]
     meta = ", ".join(
         f"CASE rule_order {' '.join(f'WHEN {k} THEN {f(r)}' for k, r in enumerate(rules))} END AS {n}"
         for n, f in (("category", lambda r: lit(r.category)), ("risk_level", lambda r: lit(r.risk)),
                      ("confidence", lambda r: f"CAST({r.confidence} AS DOUBLE)")))
     ctx = (f"regexp_replace(replace(substring(t, lo + 1, hi - lo), chr(10), ' '), '^[{SPACE}]+|[{SPACE}]+$', '', 'g')")
     return (
-        f"{name}_h AS ({' UNION ALL '.join(parts)}), "
+        "".join(f"{_phone(r, k, name)}, " for k, r in around)
+        + f"{name}_h AS ({' UNION ALL '.join(parts)}), "
         f"{name}_u AS (SELECT doc_id, page_num, t, rule_order, unnest(v) AS raw, unnest(g[1:len(v)]) AS gap, "
         f"generate_subscripts(v, 1) AS i FROM {name}_h), "
-        f"{name}_e AS (SELECT *, CAST(sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id, page_num, rule_order "
-        f"ORDER BY i) AS INT) AS stop FROM {name}_u), "
+        f"{name}_e AS (SELECT doc_id, page_num, t, rule_order, raw, CAST(sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id, "
+        f"page_num, rule_order ORDER BY i) AS INT) AS stop FROM {name}_u"
+        + "".join(f" UNION ALL SELECT * FROM {name}_p{k}" for k, _ in around) + "), "
         f"{name}_w AS (SELECT *, CAST(stop - length(raw) AS INT) AS start, greatest(stop - length(raw) - {width}, 0) AS lo, "
         f"least(stop + {width}, length(t)) AS hi FROM {name}_e), "
         f"{name} AS (SELECT doc_id, page_num, rule_order, start, stop, raw, {strip('raw')} AS val, {meta}, "
@@ -67,29 +101,6 @@ def first(name: str, source: str, key: str, order: str = "rule_order, start") ->
             f"ORDER BY {order}) AS rn FROM {source}) WHERE rn = 1)")
 
 
-# The two phone rules look behind and ahead; with every run of digits fenced by
-# two control characters the same matches are found without look-around.
-_S = SPACE
-PHONE = {
-    "PHONE_INDIA": (rf"(?:^|[^\x02])(\+\x0191(?:\x02[{_S}\-]\x01)?[6-9]\p{{Nd}}{{9}}\x02)|(\x01[6-9]\p{{Nd}}{{9}}\x02)", 2),
-    "PHONE_US": (
-        rf"(?:^|[^\x02])((?:\+\x011(?:\x02[{_S}\-]?\(?\x01\p{{Nd}}{{3}}\x02|\p{{Nd}}{{3}}\x02)|\(\x01\p{{Nd}}{{3}}\x02)"
-        rf"\)?[{_S}\-\.]\x01\p{{Nd}}{{3}}\x02[{_S}\-\.]\x01\p{{Nd}}{{4}}\x02)"
-        rf"|((?:\x011(?:\x02[{_S}\-]?\(?\x01\p{{Nd}}{{3}}\x02|\p{{Nd}}{{3}}\x02)|\x01\p{{Nd}}{{3}}\x02)"
-        rf"\)?[{_S}\-\.]\x01\p{{Nd}}{{3}}\x02[{_S}\-\.]\x01\p{{Nd}}{{4}}\x02)", 2),
-}
-
-
-def phone_values(category: str, order: int, risk: str) -> str:
-    """Values of one phone rule per page."""
-    pat, groups = PHONE[category]
-    fenced = r"regexp_replace(t, '(\p{Nd}+)', chr(1) || '\1' || chr(2), 'g')"
-    raw = " UNION ALL ".join(
-        f"SELECT doc_id, page_num, unnest(regexp_extract_all({fenced}, {lit(pat)}, {g})) AS x FROM st" for g in range(1, groups + 1))
-    return (f"SELECT doc_id, page_num, {order} AS rule_order, {lit(category)} AS category, {lit(risk)} AS risk_level, "
-            f"{strip('replace(replace(x, chr(1), chr(32)[:0]), chr(2), chr(32)[:0])')} AS val FROM ({raw}) WHERE x <> ''")
-
-
 RANK = "CASE {0} WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 LABEL = "CASE {0} WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
 COUNT_RANK = "CASE WHEN {0} >= 10 THEN 3 WHEN {0} >= 5 THEN 2 WHEN {0} >= 2 THEN 1 ELSE 0 END"
