@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm import base, words as W
 
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 
 
 class TestIndex:

@@ -67,7 +67,7 @@ def _count(batches):
     total = np.zeros(FOLDS * size, np.int64)
     for batch in batches:
         folds = batch.column(1).to_numpy()
-        for block in W.blocks(batch.column(0), W.SPACES, block_bytes=8_000_000):
+        for block in W.blocks(batch.column(0), W.SPACES, block_bytes=4_000_000):
             codes = block_codes(block.data, block.bounds, table)
             total += np.bincount(codes + size * np.repeat(folds[block.rows], np.diff(block.bounds)), minlength=len(total))
     at = np.flatnonzero(total)
