@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.operators import store
@@ -34,7 +39,7 @@ def finding_documents(results: DataFrame) -> DataFrame:
     """
     placed = position_within(results, ["scan_id"], ["entity_name", "flag_category"], "_i")
     return placed.select(
-        F.concat(F.col("scan_id"), F.lit("_"), F.col("_i").cast("string"), F.lit("_"),
+        F.concat(F.coalesce("scan_id", F.lit("")), F.lit("_"), F.col("_i").cast("string"), F.lit("_"),
                  F.substring(F.coalesce("entity_name", F.lit("unknown")), 1, 20)).alias("id"),
         finding_document().alias("text"), finding_metadata().alias("metadata"))
 
@@ -49,67 +54,113 @@ def position_within(df: DataFrame, keys, spread_by, name: str) -> DataFrame:
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *spread_by))).withColumn("_b", F.substring("_h", 1, 3))
     within = Window.partitionBy(*keys, "_b").orderBy("_h", *spread_by)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    held = [f"_k{n}" for n in range(len(keys))]
     offsets = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (hashed.withColumn("_local", F.row_number().over(within)).join(offsets, [*keys, "_b"])
-            .withColumn(name, F.col("_local") + F.col("_before") - 1).drop("_h", "_b", "_local", "_before"))
-
+        *[F.col(k).alias(h) for k, h in zip(keys, held)], F.col("_b").alias("_c"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_b") == F.col("_c")
+    for k, h in zip(keys, held):
+        same = same & F.col(k).eqNullSafe(F.col(h))  # a null key is a key
+    return (hashed.withColumn("_local", F.row_number().over(within)).join(offsets, same)
+            .withColumn(name, F.col("_local") + F.col("_before") - 1).drop("_h", "_b", "_c", "_local", "_before", *held))
 
-def upsert_documents(index: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
-    return store.upsert(index, fresh, key)
 
+def upsert_documents(index: DataFrame, fresh: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    return store.upsert(index, fresh, key, order=order)
 
-def cosine(a: Column, b: Column, dims: int | None = None) -> Column:
-    """Cosine similarity of two array columns.
 
-    With a known small dimension the dot products are written out, which keeps
-    them in generated code; otherwise array functions are used.
-    """
-    if dims and dims <= 256:
-        pairs = [(F.get(a, F.lit(i)).cast("double"), F.get(b, F.lit(i)).cast("double")) for i in range(dims)]
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
-        def total(terms):
-            # A balanced sum keeps the expression tree shallow.
-            while len(terms) > 1:
-                terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-            return terms[0]
 
-        dot, aa, bb = (total([x * y for x, y in side]) for side in
-                       (pairs, [(x, x) for x, _ in pairs], [(y, y) for _, y in pairs]))
-    else:
-        def dot_of(x, y):
-            return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
-                               F.lit(0.0), lambda acc, v: acc + v)
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two array columns over their whole length.
 
-        dot, aa, bb = dot_of(a, b), dot_of(a, a), dot_of(b, b)
-    return dot / (F.sqrt(aa) * F.sqrt(bb))
+    Null for a null vector, vectors of different lengths, a null component and a vector of zeros.
+    """
+    return F.when(F.size(a) == F.size(b), F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))))
 
 
 def top_k(index: DataFrame, query: DataFrame, k: int = 5, where: Column | None = None,
-          vector: str = "embedding", id_col: str = "id", dims: int | None = None) -> DataFrame:
+          vector: str = "embedding", id_col: str = "id") -> DataFrame:
     """Nearest k rows to one query vector (``query``: one row, one array column).
 
-    The filter runs first; each task keeps its own best k.  A smaller index
-    gives fewer rows.
+    The filter runs first; each task keeps its own best k.  Rows are ranked by the exact distance, which is rounded
+    in the output alone; rows without a distance never count.  A smaller index gives fewer rows.
     """
     rows = index.where(where) if where is not None else index
-    scored = rows.withColumn("_query", query.scalar()).withColumn(
-        "distance", F.round(1 - cosine(F.col(vector), F.col("_query"), dims), 6)).drop("_query")
-    return scored.orderBy("distance", id_col).limit(k)
+    scored = rows.withColumn("_query", query.scalar()).withColumn("distance", 1 - cosine(F.col(vector), F.col("_query"))).drop("_query")
+    near = scored.where(F.col("distance").isNotNull()).orderBy("distance", id_col).limit(k)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+def _best(pairs: DataFrame, k: int, id_col: str, *keys: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", id_col))
+    return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _ranked(pairs: DataFrame, k: int, id_col: str, salt: str) -> DataFrame:
+    """The nearest k of each query: first in each salt, then of what is left."""
+    near = pairs.where(F.col("distance").isNotNull())
+    return _best(_best(near, k, id_col, "query_id", salt).drop("place"), k, id_col, "query_id").drop(salt).withColumn(
+        "distance", F.round("distance", 6))
 
 
 def top_k_by(index: DataFrame, queries: DataFrame, on: str, k: int = 5, vector: str = "embedding",
-             id_col: str = "id", dims: int | None = None) -> DataFrame:
+             id_col: str = "id", salts: int = 64) -> DataFrame:
     """Many queries at once, each searching the rows that share its metadata value ``on``.
 
-    ``queries``: ``query_id, query_vector`` and ``on``.  An equality join pairs
-    a row only with the queries that filter for it, and the per-query limit is
-    applied before the shuffle.
+    ``queries``: ``query_id, query_vector`` and ``on``.  An equality join pairs a row only with the queries that filter
+    for it.  A value may hold a third of the index: rows are dealt over ``salts`` and queries copied for each, so a
+    value is split over as many tasks, and the best k are taken per query and salt before those of the query.
     """
-    pairs = index.join(queries, on).withColumn(
-        "distance", F.round(1 - cosine(F.col(vector), F.col("query_vector"), dims), 6))
-    w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop(vector, "query_vector")
+    salted = index.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+    copies = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    pairs = salted.join(copies, [on, "_salt"]).withColumn("distance", 1 - cosine(F.col(vector), F.col("query_vector")))
+    return _ranked(pairs.drop(vector, "query_vector"), k, id_col, "_salt")
+
+
+def top_k_all(index: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", id_col: str = "id",
+              parts: int = 64, block: int = 256) -> DataFrame:
+    """Many queries at once against every row of the index.
+
+    ``queries``: ``query_id, query_vector``.  Queries are gathered into blocks of about ``block`` and every block is sent to
+    every part of the index, so a task compares one part with one block after the other, by matrix products; of each
+    (part, block) only the best k rows per query leave it.
+    """
+    number = F.xxhash64("query_id")
+    count = queries.count()
+    blocks = queries.groupBy(F.pmod(number, F.lit(max(1, -(-count // block)))).alias("_block")).agg(
+        F.collect_list(F.struct("query_id", "query_vector")).alias("_queries"))
+    copies = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    rows = index.where(F.col(vector).isNotNull()).select(id_col, vector, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_part"))
+    ids, keys = (d.schema[c].dataType.simpleString() for d, c in ((index, id_col), (queries, "query_id")))
+    near = rows.groupBy("_part").cogroup(copies.groupBy("_part")).applyInPandas(
+        _search(k, vector, id_col), f"query_id {keys}, {id_col} {ids}, distance double, _part long")
+    return _best(near.drop("_part"), k, id_col, "query_id").withColumn("distance", F.round("distance", 6))
+
+
+def _search(k: int, vector: str, id_col: str):
+    def search(index: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        part = copies["_part"].iloc[0] if len(copies) else 0
+        lengths = index[vector].map(len) if len(index) else []
+        for queries in copies["_queries"]:
+            queries = pd.DataFrame(list(queries))
+            for size, mine in queries.groupby(queries["query_vector"].map(lambda v: -1 if v is None else len(v))):
+                rows = index[lengths == size] if len(index) else index
+                if size <= 0 or not len(rows):
+                    continue
+                a, b = (np.array([list(v) for v in x], dtype=float) for x in (mine["query_vector"], rows[vector]))
+                norms = np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = np.where(norms > 0, 1 - (a @ b.T) / norms, np.nan)
+                ids = rows[id_col].to_numpy()
+                for key, distances in zip(mine["query_id"], far):
+                    best = [i for i in np.lexsort((ids, distances))[:k] if not np.isnan(distances[i])]
+                    out += [(key, ids[i], distances[i], part) for i in best]
+        return pd.DataFrame(out, columns=["query_id", id_col, "distance", "_part"])
+    return search
 
 
 def index_stats(index: DataFrame, name: str = "compliance_knowledge") -> DataFrame:
@@ -149,3 +200,7 @@ def state_context(runs: DataFrame, trend: DataFrame, changes: DataFrame) -> Data
     three = moves.select(F.when(F.col("changes") != "", F.concat(F.lit("Recent Schema Changes: "), "changes")).alias("c"),
                          F.lit(1).alias("k"))
     return one.join(two, "k", "left").join(three, "k", "left").select(F.concat_ws("\n", "a", "b", "c").alias("context"))
+
+
+# The search runs in Python workers, which need not have this package on their path: send it by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

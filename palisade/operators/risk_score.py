@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions import risk
 from palisade.operators import store
@@ -67,14 +67,15 @@ def scan_page_trend(metrics: DataFrame, day: Column) -> DataFrame:
     return trend_rows(metrics.withColumn("compliance_pct", F.greatest(F.lit(0.0), 100.0 - F.col("risk_score"))), day)
 
 
-def upsert_trend(trends: DataFrame, fresh: DataFrame) -> DataFrame:
-    return store.upsert(trends, fresh, "source_id", "trend_date")
+def upsert_trend(trends: DataFrame, fresh: DataFrame, order: Column | None = None) -> DataFrame:
+    return store.upsert(trends, fresh, "source_id", "trend_date", order=order)
 
 
 def last_trends(trends: DataFrame, n: int = 30) -> DataFrame:
-    """Last n rows per source; ``position`` counts them in time order."""
-    kept = store.newest_per(trends, n, "source_id", "trend_date")
-    return kept.withColumnRenamed("_rank", "from_newest")
+    """Last n rows per source in time order; ``position`` counts them from the oldest kept."""
+    kept = store.newest_per(trends, n, "source_id", "trend_date").drop("_rank")
+    time = Window.partitionBy("source_id").orderBy("trend_date")
+    return kept.withColumn("position", F.row_number().over(time)).orderBy("source_id", "trend_date")
 
 
 def latest_trends(trends: DataFrame) -> DataFrame:

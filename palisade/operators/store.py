@@ -9,10 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def upsert(current: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
-    """Incoming rows replace current rows with the same key."""
-    fresh = incoming.select(*keys).distinct()
-    return current.join(fresh, list(keys), "left_anti").select(*current.columns).unionByName(incoming)
+def last_per_key(rows: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """One row per key: the last by ``order``; among equals, or without an order, the largest by its other columns."""
+    fields = [f for f in rows.schema if f.name not in keys]
+    rank = [F.col(f.name) for f in fields if "map<" not in f.dataType.simpleString()]
+    rank = ([order.alias("_order")] if order is not None else []) + (rank or [F.lit(0)])
+    best = F.max_by(F.struct(*[f.name for f in fields]), F.struct(*rank)) if fields else F.count("*")
+    return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, *(["_r.*"] if fields else [])).select(*rows.columns)
+
+
+def upsert(current: DataFrame, incoming: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """Incoming rows replace current rows with the same key; of several incoming ones the last by ``order`` stands."""
+    fresh = last_per_key(incoming, *keys, order=order)
+    return current.join(fresh.select(*keys), list(keys), "left_anti").select(*current.columns).unionByName(fresh.select(*current.columns))
 
 
 def insert_ignore(current: DataFrame, incoming: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
@@ -28,9 +37,10 @@ def delete(current: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return current.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(*current.columns)
 
 
-def update(current: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
-    """Overwrite the columns that ``changes`` carries, for the keys it carries."""
-    fields = [c for c in changes.columns if c not in keys]
+def update(current: DataFrame, changes: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """Overwrite the columns that ``changes`` carries, for the keys it carries; of several changes the last stands."""
+    changes = last_per_key(changes, *keys, order=order)
+    fields = [c for c in changes.columns if c not in keys and c in current.columns]
     marked = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
     joined = current.join(marked, list(keys), "left")
     return joined.select(*[

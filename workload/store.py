@@ -85,28 +85,30 @@ register("trend_scan_pct", lambda spark, sf: RS.scan_page_trend(metrics(spark, s
 
 def _fresh(spark, sf):
     """A second run over the same sources: each source's newest day again, with other numbers, and one day more."""
-    last = RS.latest_trends(trends(spark, sf)).withColumn("risk_score", F.lit(0.0))
-    return last.unionByName(last.withColumn("trend_date", F.date_add("trend_date", 1)))
+    last = RS.latest_trends(trends(spark, sf)).withColumns({"risk_score": F.lit(0.0), "seq": F.lit(2)})
+    rows = last.unionByName(last.withColumn("trend_date", F.date_add("trend_date", 1)))
+    return rows.unionByName(rows.withColumns({"risk_score": F.lit(50.0), "seq": F.lit(1)}))  # an earlier try of each
 
 
-register("trend_upsert", lambda spark, sf: RS.upsert_trend(trends(spark, sf), _fresh(spark, sf)).select("source_id", "trend_date", "risk_score"),
+register("trend_upsert", lambda spark, sf: RS.upsert_trend(trends(spark, sf), _fresh(spark, sf), F.col("seq")).select("source_id", "trend_date", "risk_score"),
          f"{TRENDS}, la AS (SELECT source_id, max(trend_date) AS d FROM met GROUP BY source_id) "
          "SELECT source_id, trend_date, CASE WHEN trend_date = d THEN CAST(0 AS DOUBLE) ELSE risk_score END AS risk_score FROM met JOIN la USING (source_id) "
          "UNION ALL SELECT source_id, CAST(d + 1 AS DATE), CAST(0 AS DOUBLE) FROM la")
 register("sink_upsert", lambda spark, sf: ST.upsert(
     table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"),
-    table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.max("o_orderpriority").alias("c_name"), F.lit(-1).alias("c_nationkey")), "c_custkey"),
-    "WITH n AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS c_name, CAST(-1 AS INT) AS c_nationkey FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) "
+    table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_name"), F.lit(-1).alias("c_nationkey"), "o_orderkey"),
+    "c_custkey", order=F.col("o_orderkey")),
+    "WITH n AS (SELECT o_custkey AS c_custkey, arg_max(o_orderpriority, o_orderkey) AS c_name, CAST(-1 AS INT) AS c_nationkey FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) "
     "SELECT * FROM n UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer ANTI JOIN n USING (c_custkey)")
 register("sink_insert_ignore", lambda spark, sf: ST.insert_ignore(
     table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
     table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("zzz").alias("name"))), "id"),
     "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
-register("trend_last_n", lambda spark, sf: RS.last_trends(trends(spark, sf), 5).select("source_id", "trend_date", "from_newest", "risk_score"),
-         f"{TRENDS} SELECT source_id, trend_date, CAST(rn AS INT) AS from_newest, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY trend_date DESC) "
-         "AS rn FROM met) WHERE rn <= 5")
+register("trend_last_n", lambda spark, sf: RS.last_trends(trends(spark, sf), 5).select("source_id", "trend_date", "position", "risk_score"),
+         f"{TRENDS} SELECT source_id, trend_date, CAST(row_number() OVER (PARTITION BY source_id ORDER BY trend_date) AS INT) AS position, risk_score FROM "
+         "(SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY trend_date DESC) AS rn FROM met) WHERE rn <= 5")
 register("trend_latest_per_source", lambda spark, sf: RS.latest_trends(trends(spark, sf)),
          f"{TRENDS} SELECT {', '.join('m.' + c for c in RS.TREND)} FROM met m JOIN (SELECT source_id, max(trend_date) AS d FROM met GROUP BY source_id) l "
          "ON m.source_id = l.source_id AND m.trend_date = l.d")
@@ -232,8 +234,9 @@ register("q_scan_runs", lambda spark, sf: ST.newest(scans(spark, sf).where(F.col
 def _complete(spark, sf):
     done = scans(spark, sf)
     running = done.select("scan_id", F.lit("running").alias("status"), F.lit(0).cast("bigint").alias("total_flags"))
-    finished = done.where(F.col("highest_risk") != "low").select("scan_id", F.lit("completed").alias("status"), "total_flags")
-    return ST.update(running, finished, "scan_id")
+    finished = done.where(F.col("highest_risk") != "low").select("scan_id", F.lit("completed").alias("status"), "total_flags", F.lit(2).alias("seq"))
+    tries = finished.withColumns({"status": F.lit("failed"), "total_flags": F.lit(-1).cast("bigint"), "seq": F.lit(1)})
+    return ST.update(running, tries.unionByName(finished), "scan_id", order=F.col("seq"))
 
 
 register("q_scan_run_complete", _complete,
@@ -298,7 +301,8 @@ def _registry(spark, sf):
     seen = ST.insert_ignore(c.where(F.col("source_id") < 0), c, "name").select("source_id", "name", "status")
     gone = table(spark, sf, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("source_id"))
     bad = table(spark, sf, "customer").where(F.col("c_acctbal") > 9000).select(F.col("c_custkey").alias("source_id"), F.lit("error").alias("status"))
-    return ST.update(ST.delete(seen, gone, "source_id"), bad, "source_id")
+    twice = bad.withColumn("seq", F.lit(2)).unionByName(bad.withColumns({"status": F.lit("paused"), "seq": F.lit(1)}))
+    return ST.update(ST.delete(seen, gone, "source_id"), twice, "source_id", order=F.col("seq"))
 
 
 register("src_registry", _registry,
@@ -378,8 +382,6 @@ register("f_merge_pii", lambda spark, sf: _merged(spark, sf, "pii"), _PII_MERGE)
 register("f_merge_secret", lambda spark, sf: _merged(spark, sf, "confidential"), _SEC_MERGE)
 
 # Retrieval --------------------------------------------------------------------------
-DIMS = 64
-
 
 def _scan_findings(spark, sf):
     return scan_columns(M.curr_columns(spark, sf)).withColumns({
@@ -401,7 +403,8 @@ register("rag_id", lambda spark, sf: V.finding_documents(_scan_findings(spark, s
 def _index_twice(spark, sf):
     docs = V.finding_documents(_scan_findings(spark, sf)).select("id", "text")
     changed = docs.where(F.contains("text", F.lit("Risk level: critical"))).withColumn("text", F.lit("new"))
-    return V.upsert_documents(docs, changed).groupBy((F.col("text") == "new").alias("replaced")).agg(F.count(F.lit(1)).alias("n"))
+    twice = changed.withColumn("seq", F.lit(2)).unionByName(changed.withColumns({"text": F.lit("old try"), "seq": F.lit(1)}))
+    return V.upsert_documents(docs, twice, order=F.col("seq")).groupBy((F.col("text") == "new").alias("replaced")).agg(F.count(F.lit(1)).alias("n"))
 
 
 register("rag_upsert", _index_twice, f"{RAG_SQL} SELECT risk_level = 'critical' AS replaced, count(*) AS n FROM rg GROUP BY ALL")
@@ -414,28 +417,44 @@ def _centroids(spark, sf, *keys):
 
 
 _EXPL = "ue AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"
-_COS = "CAST(round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 6) AS DOUBLE)"
+_FAR = "(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv))"
+_COS = f"CAST(round({_FAR}, 6) AS DOUBLE)"
 register("rag_topk", lambda spark, sf: V.top_k(
-    table(spark, sf, "embeddings"), _centroids(spark, sf), 5, F.col("label") != 3, id_col="vec_id", dims=DIMS).select("vec_id", "label", "distance"),
+    table(spark, sf, "embeddings"), _centroids(spark, sf), 5, F.col("label") != 3, id_col="vec_id").select("vec_id", "label", "distance"),
     f"WITH {_EXPL}, mn AS (SELECT pos, avg(CAST(x AS DOUBLE)) AS x FROM ue GROUP BY pos), q AS (SELECT list(x ORDER BY pos) AS qv FROM mn) "
-    f"SELECT vec_id, label, {_COS} AS distance FROM embeddings, q WHERE label <> 3 ORDER BY distance, vec_id LIMIT 5")
+    f"SELECT vec_id, label, {_COS} AS distance FROM embeddings, q WHERE label <> 3 ORDER BY {_FAR}, vec_id LIMIT 5")
 BY_LABEL = (f"WITH {_EXPL}, mn AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM ue GROUP BY label, pos), q AS (SELECT label, list(x ORDER BY pos) AS qv FROM mn GROUP BY label), "
-            f"d AS (SELECT label, vec_id, {_COS} AS distance FROM embeddings JOIN q USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS place FROM d)")
+            f"d AS (SELECT label, vec_id, {_FAR} AS far, {_COS} AS distance FROM embeddings JOIN q USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY far, vec_id) AS place FROM d)")
 
 
 def _by_label(spark, sf):
     q = _centroids(spark, sf, "label").withColumn("query_id", F.col("label"))
-    return V.top_k_by(table(spark, sf, "embeddings"), q, "label", 5, id_col="vec_id", dims=DIMS)
+    return V.top_k_by(table(spark, sf, "embeddings"), q, "label", 5, id_col="vec_id")
 
 
 register("rag_topk_filtered", lambda spark, sf: _by_label(spark, sf).select("label", "vec_id", "place", "distance"),
          f"{BY_LABEL} SELECT label, vec_id, CAST(place AS INT) AS place, distance FROM r WHERE place <= 5")
+
+
+def _many(spark, sf):
+    """Every twentieth vector as a query against the whole index."""
+    e = table(spark, sf, "embeddings")
+    queries = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return V.top_k_all(e, queries, 5, id_col="vec_id")
+
+
+# Copies of a vector are equally far, but for the last bits that differ with the order of summing; so only distances are compared.
+register("rag_topk_many", lambda spark, sf: _many(spark, sf).select("query_id", "place", "distance"),
+         f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_FAR} AS far FROM embeddings e, "
+         "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0) q) "
+         "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS INT) AS place, CAST(round(far, 6) AS DOUBLE) + 0 AS distance "
+         "FROM d QUALIFY place <= 5")
 register("rag_stats", lambda spark, sf: V.index_stats(V.finding_documents(_scan_findings(spark, sf))),
          f"{RAG_SQL} SELECT count(*) AS total_documents, 'compliance_knowledge' AS collection_name FROM rg")
 
 
 def _retrieved(spark, sf):
-    hits = V.top_k(table(spark, sf, "embeddings"), _centroids(spark, sf), 5, id_col="vec_id", dims=DIMS)
+    hits = V.top_k(table(spark, sf, "embeddings"), _centroids(spark, sf), 5, id_col="vec_id")
     text = F.concat(F.lit("vector "), F.col("vec_id").cast("string"))
     return V.retrieval_context(hits.select(
         F.row_number().over(V.Window.orderBy("distance", "vec_id")).alias("place"), text.alias("text")))
@@ -443,7 +462,7 @@ def _retrieved(spark, sf):
 
 register("rag_context", _retrieved,
          f"WITH {_EXPL}, mn AS (SELECT pos, avg(CAST(x AS DOUBLE)) AS x FROM ue GROUP BY pos), q AS (SELECT list(x ORDER BY pos) AS qv FROM mn), "
-         f"t AS (SELECT vec_id, row_number() OVER (ORDER BY {_COS}, vec_id) AS place FROM embeddings, q QUALIFY place <= 5) "
+         f"t AS (SELECT vec_id, row_number() OVER (ORDER BY {_FAR}, vec_id) AS place FROM embeddings, q QUALIFY place <= 5) "
          "SELECT string_agg('[Finding ' || place || ']' || chr(10) || 'vector ' || vec_id, chr(10) || chr(10) ORDER BY place) AS context FROM t")
 
 
