@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # --- fixed values: sampled file types ----------------------------------------
 SAMPLED = "*.{json,csv,txt,log,ndjson}"
-# --- fixed values: what an object listing knows about each object ------------
-OBJECT_COLUMNS = {
-    "s3": ("key", "size_bytes", "content_type", "last_modified", "etag", "storage_class"),
-    "azure_adls": ("name", "content_length", "last_modified", "hdi_isfolder", "group", "owner"),
-    "gcs": ("name", "size", "content_type", "updated", "storage_class", "md5_hash"),
-}
 
 
-def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Path, length and modification time of every object below ``root``; contents are not read."""
-    base = root.rstrip("/")
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-            .select("path", "length", "modificationTime")
-            .withColumn("relative", F.regexp_replace("path", "^[a-z0-9]+:/*", "/"))
-            .withColumn("relative", F.expr(f"substring(relative, length('{base}') + 2)")))
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file system names it, so that it starts the path of every object below it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def list_objects(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """Path, length, modification time and path below ``root`` of every object; contents are not read.
+
+    Both sides of the cut are qualified by the same file system, so roots with and without a scheme give the same
+    prefixes.  Spark lists a single root from the driver; many roots (``root/*``) are listed by tasks.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    bare = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*):/*", "$1:/")
+    base = bare(F.lit(_qualified(spark, root)))
+    return reader.load(root).select("path", "length", "modificationTime").withColumn(
+        "relative", F.ltrim(F.substring(bare(F.col("path")), F.length(base) + 1, F.length("path")), F.lit("/")))
 
 
 def inventory(objects: DataFrame) -> DataFrame:
@@ -32,8 +37,18 @@ def inventory(objects: DataFrame) -> DataFrame:
 
 
 def sample_objects(spark: SparkSession, root: str, n: int = 100, head: int = 2048, keep: int = 500) -> DataFrame:
-    """Leading text of up to n objects of a text type; bad bytes become replacement characters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", SAMPLED).load(root)
-    text = F.make_valid_utf8(F.substring(F.col("content"), 1, head).cast("string"))
-    return files.select("path", F.substring(text, 1, keep).alias("sample")).orderBy("path").limit(n)
+    """Leading text of up to n objects of a text type, by path; bad bytes become replacement characters.
+
+    The n paths come from the listing (n is the size of the sample, so they fit the driver).  Only those objects are
+    opened, as lines and not as wholes, and of each only the lines of its first split that begin in the first ``head`` bytes stay.
+    """
+    chosen = [r["path"] for r in list_objects(spark, root, SAMPLED).select("path").orderBy("path").limit(n).collect()]
+    if not chosen:
+        return spark.createDataFrame([], "path string, sample string")
+    lines = spark.read.text(chosen).select("value", "_metadata.file_path", "_metadata.file_block_start").where(
+        "file_block_start = 0").select(F.col("file_path").alias("path"), F.monotonically_increasing_id().alias("n"), "value")
+    before = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    first = lines.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < head).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("n", F.substring(F.col("value").cast("binary"), 1, head).cast("string").alias("value")))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda line: line["value"]), "\n").cast("binary")
+    return first.select("path", F.substring(F.make_valid_utf8(F.substring(text, 1, head).cast("string")), 1, keep).alias("sample"))

@@ -366,13 +366,6 @@ for _d in catalog.DIALECTS:
              "CASE WHEN p_size > 40 THEN p_size END AS max_length, CASE WHEN prev_rows % 7 IN (0, 1) AND prev_rows IS NOT NULL THEN 0 ELSE prev_rows END AS row_count "
              "FROM base LEFT JOIN tb USING (source_id, table_name)")
 
-_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-register("src_meta_catalog",
-         lambda spark, sf: catalog.snapshot_lake(spark, "lake", {t: f"{sf}/{t}.parquet" for t in _TABLES}).select(
-             "table_name", "column_name", "ordinal", "is_nullable"),
-         "SELECT table_name, column_name, CAST(ordinal_position AS INT) AS ordinal, true AS is_nullable FROM information_schema.columns WHERE table_name IN ("
-         + ", ".join(map(S.lit, _TABLES)) + ")")
-
 _BODY = ("CASE event_id % 6 WHEN 0 THEN '{\"_id\": 1, \"k\": null, \"tag\": \"a\"}' WHEN 1 THEN '{\"k\": \"69\", \"list\": [1, 2]}' "
          "WHEN 2 THEN '{\"k\": 1.5, \"obj\": {\"a\": 1}}' WHEN 3 THEN '{\"flag\": true, \"gone\": null}' ELSE props END")
 
@@ -404,14 +397,21 @@ register("src_type_norm",
              pick(tuple(R.WAREHOUSE_TYPES) + ("Geometry", "HLL"), F.col("p_partkey"))).alias("label")),
          "SELECT p_partkey, list_extract([" + ", ".join(S.lit(v) for v in (*R.WAREHOUSE_TYPES.values(), "geometry", "hll"))
          + f"], CAST(p_partkey % {len(R.WAREHOUSE_TYPES) + 2} AS INT) + 1) AS label FROM part")
-register("src_obj_inventory", lambda spark, sf: objects.inventory(objects.list_objects(spark, sf)))
 
 
-def _object_samples(spark, sf):
-    """Conversations written out as JSON objects, then sampled like any object store."""
+def _objects(spark, sf):
+    """Documents as an object store: one text object per language and source, below a prefix for each."""
     root = shared_dir(spark, "objects")
-    table(spark, sf, "conversations").write.json(root)
-    return objects.sample_objects(spark, root, 20).select(F.length("sample").alias("kept"), F.lit(1).alias("objects"))
-
-
-register("src_obj_sample", _object_samples)
+    (table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "doc_id")
+     .repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").select("text", "lang", "source")
+     .write.partitionBy("lang", "source").text(root))
+    return root
+
+
+register("src_obj_inventory", lambda spark, sf: objects.inventory(objects.list_objects(spark, _objects(spark, sf))).select(
+    "prefix", "row_count", "size_bytes"),
+    "SELECT 'lang=' || lang AS prefix, count(DISTINCT source) AS row_count, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY lang")
+register("src_obj_sample", lambda spark, sf: objects.sample_objects(spark, _objects(spark, sf), 20).select(
+    F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/[^/]*$", 1).alias("object"), "sample"),
+    "SELECT 'lang=' || lang || '/source=' || source AS object, string_agg(text, chr(10) ORDER BY doc_id)[:500] AS sample FROM documents GROUP BY lang, source "
+    "ORDER BY object || '/' LIMIT 20")
