@@ -133,17 +133,17 @@ def dense(model: DataFrame) -> np.ndarray:
     """Minus log probability of all SYMBOLS**ORDER n-grams, unseen ones by what their contexts leave."""
     rows = model.toArrow()
     level, gram, context, p, rest = (rows[c].to_numpy() for c in ("level", "gram", "context", "p", "rest"))
-    probs = np.full(SYMBOLS, 1.0 / SYMBOLS)
+    probs = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
     for n in range(1, ORDER + 1):
         own = level == n
-        left = np.ones(SYMBOLS**(n - 1))
+        left = np.ones(SYMBOLS**(n - 1), np.float32)
         left[context[own]] = rest[own]
-        # An unseen gram has what its context leaves of the next lower order's probability.
-        size = SYMBOLS**(n - 1)
-        lower = np.tile(probs, size // len(probs) * SYMBOLS) if n > 1 else probs
-        probs = (left[:, None] * lower.reshape(size, SYMBOLS)).reshape(-1)
-        probs[gram[own]] = p[own]
-    return -np.log(probs).astype(np.float32)
+        # An unseen gram has what its context leaves of the probability after the context without its first symbol.
+        probs = left.reshape(-1, len(probs), 1) * probs[None, :, :]
+        probs = probs.reshape(-1, SYMBOLS)
+        probs.reshape(-1)[gram[own]] = p[own]
+    np.log(probs, out=probs)
+    return np.negative(probs, out=probs).reshape(-1)
 
 
 def _score(shared, size_name, cost_name):
@@ -198,9 +198,14 @@ class Classifier:
             "lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
         share, grams = docs.sparkSession.sparkContext.broadcast, counted(own)
         self.cost = share(dense(train(grams))[None, :])
-        others = share(np.stack([dense(train(grams.where(F.col("fold") != k))) for k in range(FOLDS)]))
+        tables = np.empty((FOLDS, SYMBOLS**ORDER), np.float32)
+        for k in range(FOLDS):
+            tables[k] = dense(train(grams.where(F.col("fold") != k)))
+        others = share(tables)
+        del tables
         good = base.written(scored(own, others).drop("text"), "trusted").withColumn(
             "lang", F.coalesce("lang", F.lit(""))).where("n_symbols > 0")
+        others.destroy()  # what it was for is written
         mean = F.sum("cost") / F.sum("n_symbols")
         self.means = base.written(good.groupBy("lang").agg(mean.alias("mean")), "means")
         self.mean_all = base.written(good.agg(mean.alias("mean_all")), "mean")
