@@ -7,9 +7,10 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions import risk
+from palisade.functions.shared import written
 from palisade.operators import store
 
 SALTS = 32
@@ -60,75 +61,128 @@ def log_alerts(history: DataFrame, alerts: DataFrame) -> DataFrame:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# What a stretch of time does to the last alert sent is a step function: arrays ``enter`` (rising) and ``leave``.  An alert
+# at second s with gap g is sent if s - g reaches the last one sent, so of a last one L the first alert sent is the first
+# with s - g >= L, the one at which the running maximum of s - g reaches L; without one L stays.
+
+
+def _apply(enter, leave, last):
+    """The last alert sent behind a stretch, for one or many last ones before it."""
+    at = np.searchsorted(enter, last)
+    return np.where(at < len(enter), np.append(leave, 0)[at], last)
+
+
+def _then(one, two):
+    """The step function of two stretches in a row."""
+    more = two[0] > (one[0][-1] if len(one[0]) else -(1 << 62))
+    return np.concatenate([one[0], two[0][more]]), np.concatenate([_apply(*two, one[1]), two[1][more]]).astype(np.int64)
+
+
+def _steps(seconds, gaps, begin):
+    """The step function of one chunk, whose alerts are in time order and which nothing sent after ``begin`` enters."""
+    reach = np.maximum.accumulate(seconds - gaps)
+    following = np.searchsorted(reach, seconds)  # gaps are positive, so this is a later alert
+    last = np.where(following < len(seconds), following, np.arange(len(seconds)))
+    while (last[last] != last).any():  # twice as far along the chain of alerts sent in every round
+        last = last[last]
+    leave = seconds[last]
+    first = np.concatenate([[True], reach[1:] > reach[:-1]])
+    enter, leave = reach[first], leave[first]
+    upto = min(len(enter), int(np.searchsorted(enter, begin)) + 1)
+    enter, leave = enter[:upto], leave[:upto]
+    keep = np.append(leave[1:] != leave[:-1], True)
+    return enter[keep], leave[keep]
+
+
 def _chunk_plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chunk's answer to "which alert is the last one sent, if the first one sent is i?".
+    pdf = pdf.sort_values("second")
+    enter, leave = _steps(pdf["second"].to_numpy(), pdf["gap"].to_numpy(), int(pdf["chunk"].iloc[0]) * int(pdf["width"].iloc[0]))
+    return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in ("config_id", "source_id", "chunk")},
+                         "enter": [enter.tolist()], "leave": [leave.tolist()]})
+
+
+def _functions(pdf):
+    return [(np.asarray(e, np.int64), np.asarray(v, np.int64)) for e, v in zip(pdf["enter"], pdf["leave"])]
 
-    Only alerts within one cooldown of the chunk's start (and the next one) can
-    come first, so the answer is a short step function.
-    """
-    t = np.sort(pdf["second"].to_numpy())
-    gap, begin = int(pdf["gap"].iloc[0]), int(pdf["chunk"].iloc[0]) * int(pdf["width"].iloc[0])
-    following = np.searchsorted(t, t + gap)
-    leaves = t.copy()
-    for i in range(len(t) - 1, -1, -1):
-        if following[i] < len(t):
-            leaves[i] = leaves[following[i]]
-    firsts = min(len(t), int(np.searchsorted(t, begin + gap)) + 1)
-    keep = [i for i in range(firsts) if i == firsts - 1 or leaves[i] != leaves[i + 1]]
-    return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in ("config_id", "source_id", "gap", "chunk")},
-                         "enter": [t[keep].tolist()], "leave": [leaves[keep].tolist()]})
-
-
-def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one key's chunks in time order, carrying the last alert sent."""
-    last, out = -(1 << 62), []
-    pdf = pdf.sort_values("chunk")
-    for chunk, gap, enter, leave in zip(pdf["chunk"], pdf["gap"], pdf["enter"], pdf["leave"]):
-        out.append(last)
-        i = int(np.searchsorted(np.asarray(enter), last + gap))
-        if i < len(enter):
-            last = int(leave[i])
-    return pd.DataFrame({"config_id": pdf["config_id"], "source_id": pdf["source_id"],
-                         "chunk": pdf["chunk"], "carried": out})
+
+def _block_plan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The chunks of one block as one step function."""
+    whole = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for function in _functions(pdf.sort_values("chunk")):
+        whole = _then(whole, function)
+    return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in ("config_id", "source_id", "block")},
+                         "enter": [whole[0].tolist()], "leave": [whole[1].tolist()]})
+
+
+def _walk(part: str):
+    """The last alert sent before each part of a stretch, given the one before the stretch."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(part)
+        last, out = int(pdf["carried"].iloc[0]), []
+        for function in _functions(pdf):
+            out.append(last)
+            last = int(_apply(*function, np.int64(last)))
+        return pd.DataFrame({"config_id": pdf["config_id"], "source_id": pdf["source_id"], part: pdf[part], "carried": out})
+    return walk
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    last, gap, kept = int(pdf["carried"].iloc[0]), int(pdf["gap"].iloc[0]), []
-    for second in np.sort(pdf["second"].to_numpy()):
-        if second - last >= gap:
-            kept.append(int(second))
-            last = int(second)
-    return pd.DataFrame({"config_id": pdf["config_id"].iloc[0], "source_id": pdf["source_id"].iloc[0],
-                         "second": pd.Series(kept, dtype="int64")})
-
-
-def apply_cooldown(alerts: DataFrame, chunk_seconds: int = 604800) -> DataFrame:
-    """Alerts that are sent: each at least ``cooldown_minutes`` after the last one sent.
-
-    Needs ``config_id, source_id, sent_at, cooldown_minutes``.  Time counts in
-    whole seconds; of several alerts in one second the least row stands for
-    all.  The decision depends on the previous one, yet no key is handled by
-    one task: a key's time is cut into chunks of a week (a bounded number of
-    seconds each), every chunk is summarised on its own, only the summaries
-    are walked in order, and the chunks are then replayed in parallel.
+    """The alerts of one chunk that are sent, jumping from each to the next."""
+    pdf = pdf.sort_values("second").reset_index(drop=True)
+    seconds = pdf["second"].to_numpy()
+    reach = np.maximum.accumulate(seconds - pdf["gap"].to_numpy())
+    kept, at = [], int(np.searchsorted(reach, int(pdf["carried"].iloc[0])))
+    while at < len(seconds):
+        kept.append(at)
+        at = int(np.searchsorted(reach, seconds[at]))
+    return pdf.loc[kept, ["config_id", "source_id", "second"]]
+
+
+def whole_seconds(time: Column, kind: str) -> Column:
+    """Seconds since 1970 of an instant, or of a time without a zone as it stands, whatever the session's zone is."""
+    if kind == "timestamp_ntz":
+        since = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+        return F.floor((time - since).cast("interval second").cast("decimal(20,6)")).cast("bigint")
+    return F.floor(F.unix_micros(time.cast("timestamp")) / 1000000).cast("bigint")
+
+
+NEVER = -(1 << 62)
+
+
+def apply_cooldown(alerts: DataFrame, chunk_seconds: int = 604800, block: int = 64) -> DataFrame:
+    """Alerts that are sent: each at least its own ``cooldown_minutes`` after the last one sent.
+
+    Needs ``config_id, source_id, sent_at, cooldown_minutes``.  Time counts in whole seconds; of several alerts in one
+    second the one with the shortest cooldown, then the least row, stands for all.  An alert without a cooldown is sent
+    and holds no other back.
+
+    The decision depends on the previous one, yet no key is handled by one task: its time is cut into chunks of a week,
+    at least of the key's longest cooldown, each summarised on its own as a step function; the functions of ``block`` chunks become one,
+    those of the blocks are walked, then the chunks of each block, and the chunks are replayed in parallel.  The rows per
+    second are written to the shared folder once and read for every step.
     """
-    cols = alerts.columns
-    always = alerts.where(F.col("cooldown_minutes") <= 0)
-    alerts = alerts.where(F.col("cooldown_minutes") > 0)
-    second = F.floor(F.unix_micros(F.col("sent_at").cast("timestamp")) / 1000000).cast("bigint")
-    per_second = alerts.withColumn("second", second).groupBy("config_id", "source_id", "second").agg(
-        F.min(F.struct(*[c for c in cols if c not in ("config_id", "source_id")])).alias("row"))
-    width = F.greatest(F.lit(chunk_seconds), F.col("row.cooldown_minutes") * 60).cast("bigint")
-    timed = per_second.withColumns({
-        "gap": (F.col("row.cooldown_minutes") * 60).cast("bigint"), "width": width,
-        "chunk": F.floor(F.col("second") / width).cast("bigint")})
-    slim = timed.select("config_id", "source_id", "chunk", "second", "gap", "width")
-    types = {f.name: f.dataType.simpleString() for f in alerts.schema}
-    key = f"config_id {types['config_id']}, source_id {types['source_id']}"
-    plans = slim.groupBy("config_id", "source_id", "chunk").applyInPandas(
-        _chunk_plan, f"{key}, gap bigint, chunk bigint, enter array<bigint>, leave array<bigint>")
-    carried = plans.groupBy("config_id", "source_id").applyInPandas(_carry, f"{key}, chunk bigint, carried bigint")
-    kept = (slim.join(carried, ["config_id", "source_id", "chunk"])
-            .groupBy("config_id", "source_id", "chunk").applyInPandas(_replay, f"{key}, second bigint"))
-    return per_second.join(kept, ["config_id", "source_id", "second"]).select("config_id", "source_id", "row.*") \
-        .select(*cols).unionByName(always)
+    cols, types = alerts.columns, {f.name: f.dataType.simpleString() for f in alerts.schema}
+    key = ["config_id", "source_id"]
+    free = F.col("cooldown_minutes") <= 0
+    rest = [c for c in cols if c not in key]
+    entry = F.struct((F.col("cooldown_minutes") * 60).cast("bigint").alias("_gap"), *rest)
+    # Alerts without a cooldown stay apart by a number of their own; the others meet in their second.
+    own = F.when(free, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    seconds = alerts.withColumns({"_second": whole_seconds(F.col("sent_at"), types["sent_at"]), "_own": own})
+    rows = seconds.groupBy(*key, "_second", "_own").agg(F.min(entry).alias("row")).select(
+        *key, F.col("_second").alias("second"), F.col("row._gap").alias("gap"), "row", (F.col("_own") >= 0).alias("free"))
+    rows = written(rows, "alerts")
+    widths = rows.where("not free").groupBy(*key).agg(F.greatest(F.lit(chunk_seconds), F.max("gap")).cast("bigint").alias("width"))
+    timed = rows.where("not free").join(widths, key).withColumn("chunk", F.floor(F.col("second") / F.col("width")).cast("bigint"))
+    slim = written(timed.select(*key, "chunk", "second", "gap", "width"), "seconds")
+    named = ", ".join(f"{c} {types[c]}" for c in key)
+    steps = "enter array<bigint>, leave array<bigint>"
+    chunks = written(slim.groupBy(*key, "chunk").applyInPandas(_chunk_plan, f"{named}, chunk bigint, {steps}").withColumn(
+        "block", F.floor(F.col("chunk") / block).cast("bigint")), "chunks")
+    blocks = chunks.groupBy(*key, "block").applyInPandas(_block_plan, f"{named}, block bigint, {steps}")
+    before = blocks.withColumn("carried", F.lit(NEVER)).groupBy(*key).applyInPandas(_walk("block"), f"{named}, block bigint, carried bigint")
+    carried = chunks.join(before, [*key, "block"]).groupBy(*key, "block").applyInPandas(
+        _walk("chunk"), f"{named}, chunk bigint, carried bigint")
+    kept = slim.join(carried, [*key, "chunk"]).groupBy(*key, "chunk").applyInPandas(_replay, f"{named}, second bigint")
+    sent = rows.where("not free").join(kept, [*key, "second"], "left_semi")
+    return sent.unionByName(rows.where("free")).select(*key, *[F.col(f"row.`{c}`").alias(c) for c in rest]).select(*cols)

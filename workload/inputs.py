@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from palisade.functions.shared import shared_dir  # noqa: F401  (for the queries that write)
 from workload.samples import SNIPPETS
 from workload.sql import MARK
 
@@ -48,9 +47,3 @@ def conversation_pages(spark, sf_dir: str) -> DataFrame:
         F.concat(F.when(key % 29 == 0, MARK).otherwise(""), F.col("text"), pick(SNIPPETS, key)).alias("text"),
         "role", key.alias("_k"))
     return _encoded(pages, F.col("_k")).drop("_k").withColumn("char_count", F.length("text"))
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place the session names for shared files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -144,7 +144,7 @@ CFG_SQL = (f"cfg AS (SELECT 'c' || n_nationkey AS config_id, n_name AS name, lis
            "n_regionkey <> 2 AS is_active, list_extract([30, 60, 240, 1440], n_nationkey % 4 + 1) AS cooldown_minutes FROM nation), "
            "act AS (SELECT *, list_min(list_filter(list_transform(from_json(levels, '[\"VARCHAR\"]'), lambda l: CASE l WHEN 'critical' THEN 3 WHEN 'high' THEN 2 "
            "WHEN 'medium' THEN 1 WHEN 'low' THEN 0 END), lambda r: r IS NOT NULL)) AS lo FROM cfg WHERE is_active)")
-FIRE_SQL = f"{SCAN_SQL}, {CFG_SQL}, fired AS (SELECT s.*, a.config_id, a.name, a.cooldown_minutes FROM scans s JOIN act a ON {S.rank('s.highest_risk')} >= a.lo)"
+FIRE_SQL = f"{SCAN_SQL}, {CFG_SQL}, fired AS (SELECT s.*, a.config_id, a.name, CASE WHEN s.total_flags % 3 = 0 THEN a.cooldown_minutes // 2 ELSE a.cooldown_minutes END AS cooldown_minutes FROM scans s JOIN act a ON {S.rank('s.highest_risk')} >= a.lo)"
 
 
 def scans(spark, sf):
@@ -166,7 +166,10 @@ def configs(spark, sf):
 
 
 def fired(spark, sf):
-    return A.match_alerts(scans(spark, sf), A.active_configs(configs(spark, sf))).withColumn("sent_at", F.col("scanned_at"))
+    matched = A.match_alerts(scans(spark, sf), A.active_configs(configs(spark, sf))).withColumn("sent_at", F.col("scanned_at"))
+    # A scan with many flags halves its alerts' gap, so gaps differ inside one key.
+    return matched.withColumn("cooldown_minutes", F.when(F.col("total_flags") % 3 == 0, (F.col("cooldown_minutes") / 2).cast("int")).otherwise(
+        F.col("cooldown_minutes")))
 
 
 register("alert_configs_active", lambda spark, sf: A.active_configs(configs(spark, sf)).select(
@@ -189,7 +192,7 @@ def _log(spark, sf):
 register("alert_log", _log,
          f"WITH {FIRE_SQL}, r AS (SELECT config_id || '-' || source_id AS alert_id, min_by(scan_id, scanned_at) AS scan_id FROM fired GROUP BY ALL) "
          "SELECT alert_id, CASE WHEN alert_id LIKE '%error' THEN scan_id ELSE 'late' END AS scan_id FROM r")
-COOL_SQL = (f"WITH RECURSIVE {FIRE_SQL}, se AS (SELECT DISTINCT config_id, source_id, CAST(floor(epoch(scanned_at)) AS BIGINT) AS second, CAST(cooldown_minutes * 60 AS BIGINT) AS gap FROM fired), "
+COOL_SQL = (f"WITH RECURSIVE {FIRE_SQL}, se AS (SELECT config_id, source_id, CAST(floor(epoch(scanned_at)) AS BIGINT) AS second, CAST(min(cooldown_minutes) * 60 AS BIGINT) AS gap FROM fired GROUP BY 1, 2, 3), "
             "kept AS (SELECT config_id, source_id, min(second) AS second FROM se GROUP BY ALL UNION ALL SELECT k.config_id, k.source_id, min(s.second) FROM kept k "
             "JOIN se s ON k.config_id = s.config_id AND k.source_id = s.source_id AND s.second >= k.second + s.gap GROUP BY k.config_id, k.source_id, k.second)")
 register("alert_cooldown", lambda spark, sf: A.apply_cooldown(fired(spark, sf)).select(
