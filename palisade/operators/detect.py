@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.functions import risk
-from palisade.functions.patterns import compile_rule, gate_pattern, literal_pattern
+from palisade.functions.patterns import compile_rule, gate_pattern
 from palisade.functions.text import first_per_key, let, running_sum, sql_string, strip
 from palisade.rules import ABUSE_PHRASES, ABUSE_SIGNALS, PII_RULES, SECRET_RULES, TextRule
 
@@ -257,11 +257,43 @@ def detect_abuse(pages: DataFrame, phrases: tuple = ABUSE_PHRASES, signals: tupl
 
 
 def keyword_findings(text: Column, keywords) -> Column:
-    """Custom keywords present in the text, each once, whatever their case."""
+    """Custom keywords present in the text, each once, whatever their case; the text is lowered once for all of them."""
     words = list(dict.fromkeys(k for k in keywords if k.strip()))
     if not words:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(text.rlike(literal_pattern(k)), F.lit(k)) for k in words]))
+    return let(F.lower(text), lambda t: F.filter(F.array(*[F.lit(k) for k in words]), lambda k: F.contains(t, F.lower(k))))
+
+
+def keyword_table_findings(pages: DataFrame, keywords: DataFrame, text: str = "text", keys=("doc_id", "page_num"),
+                           block: int = 2000) -> DataFrame:
+    """(keys, keyword) for a table of keywords (column ``keyword``) of any size.
+
+    Keywords are gathered into blocks of about ``block``; every block meets every page once, which costs a row per page
+    and block and no comparison beyond keywords times pages.  Blank keywords are passed over, repeats count once.
+    """
+    words = keywords.select("keyword").where(F.length(strip(F.col("keyword"))) > 0).distinct()
+    n = max(1, -(-words.count() // block))
+    blocks = words.groupBy(F.pmod(F.xxhash64("keyword"), F.lit(n)).alias("_b")).agg(
+        F.collect_list(F.struct("keyword", F.lower("keyword").alias("low"))).alias("_words")).drop("_b")
+    hits = let(F.lower(F.col(text)), lambda t: F.filter("_words", lambda w: F.contains(t, w["low"])))
+    return pages.select(*keys, text).join(blocks).select(*keys, F.explode(hits).alias("w")).select(*keys, F.col("w.keyword").alias("keyword"))
+
+
+def custom_keyword_findings(text: Column, keywords) -> Column:
+    """Keywords as findings, in the order given, at the first place each stands."""
+    words = [k for k in dict.fromkeys(keywords) if k.strip()]
+
+    def finding(k):
+        order = F.array_position(F.array(*[F.lit(w) for w in words]), k).cast("int") - 1
+        start = F.position(F.lower(k), F.lower(scannable_text(text))) - 1
+        return F.struct(
+            (F.lit(500) + order).cast("int").alias("rule_order"), start.cast("int").alias("start"), (start + F.length(k)).cast("int").alias("end"),
+            F.lit("CUSTOM_KEYWORD").alias("category"), k.alias("value"), F.lit("").alias("context"), F.lit(0.95).alias("confidence"),
+            F.lit("high").alias("risk_level"), F.lit("keyword").alias("detection_method"), F.lit("").alias("note"))
+
+    if not words:
+        return no_findings()
+    return F.transform(keyword_findings(F.coalesce(scannable_text(text), F.lit("")), words), finding).cast(FINDINGS_TYPE)
 
 
 def explode_findings(pages: DataFrame, checks: dict, keys=("doc_id", "page_num")) -> DataFrame:

@@ -35,19 +35,24 @@ def detect_all(pages: DataFrame, rules: dict | None = None, external: DataFrame
         found = detect_encoding(found, enc, language=language)
     else:
         found = found.withColumn("encoding", D.no_findings())
+    keywords = conf.get("custom_keywords", []) if conf.get("enabled", True) and conf.get("match_keywords", False) else []
+    if keywords:
+        found = found.withColumn("_keywords", D.custom_keyword_findings(F.col("text"), keywords))
     found = found.withColumn("text", F.substring("text", 1, 200))
     columns = {
         "pii": D.pii_findings(F.col("pii"), families["pii"][0]) if families.get("pii", [()])[0] else D.no_findings(),
         "confidential": D.secret_findings(F.col("confidential"), families["confidential"][0])
         if families.get("confidential", [()])[0] else D.no_findings(),
     }
+    if keywords:
+        columns["confidential"] = F.concat(columns["confidential"], F.col("_keywords"))
     terms = abuse.get("zero_tolerance_categories", ["child_safety", "terrorism"])
     layers = []
     if "_phrases" in families:
         layers = [D.phrase_findings(F.col("_phrases")), D.signal_findings(F.col("_signals"))]
     if external is None:
         columns["abuse"] = D.merge_abuse(*[D.zero_tolerance(x, terms) for x in layers]) if layers else D.no_findings()
-        return found.withColumns(columns).drop("_phrases", "_signals")
+        return found.withColumns(columns).drop("_phrases", "_signals", "_keywords")
     kept = external.where(F.coalesce("confidence", F.lit(0.0)) >= F.when(
         F.col("check_type") == "pii", pii.get("min_confidence", 0.75)).when(
         F.col("check_type") == "confidential", conf.get("min_confidence", 0.70)).otherwise(0.0))
@@ -61,7 +66,7 @@ def detect_all(pages: DataFrame, rules: dict | None = None, external: DataFrame
         "abuse": D.merge_abuse(*[D.zero_tolerance(x, terms) for x in (
             *layers, X.external_layer(F.col("abuse_external")))]) if layers else D.no_findings(),
     }
-    return found.withColumns(merged).drop("_phrases", "_signals", "pii_external", "confidential_external",
+    return found.withColumns(merged).drop("_phrases", "_signals", "_keywords", "pii_external", "confidential_external",
                                           "abuse_external")
 
 

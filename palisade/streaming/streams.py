@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,8 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators.detect import explode_findings
 from palisade.plans.scan import detect_all
-from palisade.operators.risk_score import severity_weight
+from palisade.operators.risk_score import risk_metrics, trend_rows
 from palisade.operators.scoring import CHECKS
+from palisade.operators.store import latest_per
 
 
 def read_pages(spark: SparkSession, path: str, schema, **options) -> DataFrame:
@@ -30,13 +32,32 @@ def scan_stream(pages: DataFrame, rules: dict | None = None) -> DataFrame:
     return explode_findings(detect_all(pages, rules), {c: c for c in CHECKS})
 
 
-def trend_stream(findings: DataFrame, time: str, source: str, delay: str = "1 hour") -> DataFrame:
-    """Daily counts and severity weights per source; a day is emitted once the watermark has passed it."""
-    return (findings.withWatermark(time, delay).groupBy(F.window(time, "1 day"), source)
-            .agg(F.count(F.lit(1)).alias("total_violations"),
-                 F.sum(severity_weight(F.col("risk_level"))).alias("_w"))
-            .select(F.col(source).alias("source_id"), F.to_date("window.start").alias("trend_date"), "total_violations",
-                    F.least(F.lit(100.0), F.bround("_w", 1)).alias("risk_score")))
+def run_trend(findings: DataFrame, root: str, total_columns: int = 20) -> None:
+    """Keep daily trend rows of a stream of findings (``source_id, day, entity_name, check_type, risk_level``) until it is used up.
+
+    Every micro-batch adds its findings to a store by day and writes the trend rows of each (source, day) it touched anew,
+    with all measures, over everything the store has of those days: an upsert by batch number, which a repeated batch
+    only writes again.  A day's row is there as soon as its first finding is; none waits for a watermark.
+    """
+    spark = findings.sparkSession
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("day").parquet(f"{root}/findings/batch={number}")
+        keys = batch.select("source_id", "day").distinct()
+        stored = spark.read.option("basePath", f"{root}/findings").parquet(f"{root}/findings/batch=*").where(F.col("batch") <= number)
+        rows = stored.withColumn("day", F.col("day").cast("date")).join(keys, ["source_id", "day"], "left_semi").withColumnRenamed("day", "trend_date")
+        totals = keys.select("source_id", F.col("day").alias("trend_date"), F.lit(total_columns).alias("total_columns"))
+        metrics = risk_metrics(rows, totals, ("source_id", "trend_date"))
+        trend_rows(metrics, F.col("trend_date")).write.mode("overwrite").parquet(f"{root}/trend/batch={number}")
+
+    query = (findings.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_trend(spark: SparkSession, root: str) -> DataFrame:
+    """The newest trend row of every source and day."""
+    rows = spark.read.option("basePath", f"{root}/trend").parquet(f"{root}/trend/batch=*")
+    return latest_per(rows, ["source_id", "trend_date"], "batch").drop("batch")
 
 
 def dedupe_stream(findings: DataFrame, time: str, key: str, delay: str = "1 hour") -> DataFrame:
@@ -50,31 +71,41 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _cooldown(key, batches, state: GroupState):
-    """Alerts of one rule and source in time order; the last one sent is the state."""
-    last = state.get[0] if state.exists else None
+    """Alerts of one rule and source in time order; the last one sent, and the longest gap so far, are the state.
+
+    An alert is sent if its second less its gap reaches the last one sent.
+    """
+    if state.hasTimedOut:  # whatever comes now is later than the longest gap allows for
+        state.remove()
+        return
+    last, longest = state.get if state.exists else (-(1 << 62), 0)
     rows = pd.concat(list(batches)).sort_values("second")
-    kept = []
-    for second, gap in zip(rows["second"], rows["gap"]):
-        if last is None or second - last >= gap:
-            kept.append(int(second))
-            last = int(second)
-    if last is not None:
-        state.update((last,))
+    seconds = rows["second"].to_numpy()
+    reach = np.maximum.accumulate(seconds - rows["gap"].to_numpy())
+    kept, at = [], int(np.searchsorted(reach, last))
+    while at < len(seconds):  # from each alert that is sent straight to the next
+        last = int(seconds[at])
+        kept.append(last)
+        at = int(np.searchsorted(reach, last))
+    longest = max(longest, int(rows["gap"].max()))
+    state.update((last, longest))
+    state.setTimeoutTimestamp(max((last + longest) * 1000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"config_id": key[0], "source_id": key[1], "second": pd.Series(kept, dtype="int64")})
 
 
 def cooldown_stream(alerts: DataFrame, time: str = "sent_at", delay: str = "1 hour") -> DataFrame:
     """Seconds at which each rule and source sends; needs ``config_id, source_id, cooldown_minutes``.
 
-    Alerts of one second collapse before the stateful step, so a burst does
-    not reach it; alerts later than the watermark are dropped there.
+    Alerts of one second collapse before the stateful step, so a burst does not reach it; alerts later than the watermark are
+    dropped there.  State leaves once the watermark is a cooldown past the last alert sent.
     """
     timed = alerts.withColumns({
         "second": F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1000000).cast("bigint"),
         "gap": (F.col("cooldown_minutes") * 60).cast("bigint")})
     once = timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["config_id", "source_id", "second"])
     return once.groupBy("config_id", "source_id").applyInPandasWithState(
-        _cooldown, "config_id string, source_id string, second bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+        _cooldown, "config_id string, source_id string, second bigint", "last bigint, longest bigint", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

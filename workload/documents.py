@@ -84,6 +84,32 @@ register("kw_custom",
          f"WITH {S.DOCS}, k AS (SELECT unnest([{', '.join(map(S.lit, KEYWORDS))}]) AS keyword) "
          "SELECT doc_id, keyword, 'CUSTOM_KEYWORD' AS category FROM pg JOIN k ON contains(lower(text), lower(keyword))")
 
+
+
+def _keyword_table(spark, sf):
+    """Every customer's market segment, every nation and the default keywords, as a table of keywords."""
+    words = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string").unionByName(
+        table(spark, sf, "nation").select(F.lower("n_name").alias("keyword"))).unionByName(
+        table(spark, sf, "customer").select(F.substring(F.lower("c_mktsegment"), 1, 4).alias("keyword")))
+    return D.keyword_table_findings(document_pages(spark, sf), words, block=10)
+
+
+register("kw_table", lambda spark, sf: _keyword_table(spark, sf).select("doc_id", "keyword"),
+         f"WITH {S.DOCS}, k AS (SELECT unnest([{', '.join(map(S.lit, KEYWORDS))}]) AS keyword UNION SELECT lower(n_name) FROM nation UNION "
+         "SELECT lower(c_mktsegment)[:4] FROM customer) SELECT doc_id, keyword FROM pg JOIN k ON contains(lower(text), lower(keyword))")
+
+
+def _keyword_scan(spark, sf):
+    rules = R.default_rules()
+    rules["confidentiality"]["match_keywords"] = True
+    found = findings_table(scan_pages(document_pages(spark, sf), rules)).where("check_type = 'confidential'")
+    return found.select("doc_id", "page_num", "category", "value", "start")
+
+
+register("kw_scan", _keyword_scan, secret_sql(
+    R.SECRET_RULES, tail="SELECT doc_id, page_num, category, masked AS value, start FROM f UNION ALL SELECT doc_id, page_num, 'CUSTOM_KEYWORD', keyword, "
+    f"CAST(instr(lower(t), lower(keyword)) - 1 AS INT) FROM st JOIN (SELECT unnest([{', '.join(map(S.lit, KEYWORDS))}]) AS keyword) ON contains(lower(t), lower(keyword))"))
+
 # Encoding guard ---------------------------------------------------------------
 ENC = R.DEFAULT_RULES["encoding"]
 

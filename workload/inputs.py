@@ -30,9 +30,9 @@ def _encoded(df: DataFrame, key: Column) -> DataFrame:
         "encoding_confidence": F.when(key % 10 == 0, 0.5).when(key % 10 == 1, 0.7).otherwise(0.99)})
 
 
-def document_pages(spark, sf_dir: str) -> DataFrame:
+def document_pages(spark, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Every document as one page, its whole text plus one snippet."""
-    d = dealt(table(spark, sf_dir, "documents"))
+    d = documents if documents is not None else dealt(table(spark, sf_dir, "documents"))
     pages = d.select("doc_id", F.lit(1).alias("page_num"),
                      F.concat("text", pick(SNIPPETS, F.col("doc_id"))).alias("text"), "lang", "source")
     return _encoded(pages, F.col("doc_id")).withColumn("char_count", F.length("text"))

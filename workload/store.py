@@ -17,7 +17,7 @@ from palisade.operators.classify import scan_columns
 from palisade.streaming import streams as STR
 from workload import metadata as M
 from workload import sql as S
-from workload.inputs import pick, shared_dir, table
+from workload.inputs import conversation_pages, document_pages, pick, shared_dir, table
 from workload.samples import SNIPPETS
 
 QUERIES, ORACLES = {}, {}
@@ -45,8 +45,8 @@ MET_SQL = ("met AS (SELECT source_id, day AS trend_date, CAST(least(100, round_e
 TREND_COLS = ", ".join(RS.TREND)
 
 
-def results(spark, sf):
-    e = table(spark, sf, "events")
+def results(spark, sf, events=None):
+    e = events if events is not None else table(spark, sf, "events")
     v = F.col("value")
     return e.select(
         "event_id", F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("source_id"), F.to_date("ts").alias("day"), "ts",
@@ -384,6 +384,33 @@ _PII_MERGE, _SEC_MERGE = _merge_sql()
 register("f_merge_pii", lambda spark, sf: _merged(spark, sf, "pii"), _PII_MERGE)
 register("f_merge_secret", lambda spark, sf: _merged(spark, sf, "confidential"), _SEC_MERGE)
 
+
+
+def _merged_abuse(spark, sf):
+    """External findings as the third layer of the abuse check, one of their categories a zero-tolerance one."""
+    from palisade.plans.scan import detect_all
+    rules = R.default_rules()
+    for section in ("encoding", "pii", "confidentiality"):
+        rules[section]["enabled"] = False
+    rules["abuse"]["zero_tolerance_categories"] = ["name", "harass"]
+    external = X.explode_responses(X.parse_responses(replies(spark, sf)), "abuse", 0.0)
+    found = detect_all(conversation_pages(spark, sf), rules, external)
+    return D.explode_findings(found, {"abuse": "abuse"}).select(
+        "doc_id", "page_num", "category", "value", "confidence", "risk_level", "detection_method")
+
+
+def _merge_abuse_sql():
+    from workload import documents as DOC
+    level = "CASE WHEN contains(lower(category), 'name') OR contains(lower(category), 'harass') THEN 'critical' ELSE risk_level END AS risk_level"
+    rows = " UNION ALL ".join(
+        f"SELECT doc_id, page_num, '{c}' AS category, '{v}' AS value, CAST({p} AS DOUBLE) AS confidence, '{r}' AS risk_level, 'ai' AS detection_method "
+        "FROM rp WHERE k % 4 <> 3" for c, v, p, r in (("NAME", "jane", 0.95, "medium"), ("TRADE_SECRET", "@", 0.8, "critical"), ("EMAIL", "low", 0.1, "low")))
+    return (f"WITH {S.CONVS}, {S.STRIPPED}, {DOC.ABUSE_CTE}, {REPLY_SQL}, al AS (SELECT doc_id, page_num, category, '[REDACTED]' AS value, confidence, risk_level, "
+            f"detection_method FROM abz UNION ALL {rows}) SELECT doc_id, page_num, category, value, confidence, {level}, detection_method FROM al")
+
+
+register("f_merge_abuse", _merged_abuse, _merge_abuse_sql())
+
 # Retrieval --------------------------------------------------------------------------
 
 def _scan_findings(spark, sf):
@@ -508,22 +535,28 @@ def _stream_results(spark, sf):
 
 
 def _st_scan(spark, sf):
-    rules = R.default_rules()
-    rules["encoding"]["enabled"] = False
-    pages = _stream(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_num"), F.concat("text", pick(SNIPPETS, F.col("doc_id"))).alias("text"))
-    out = _run(spark, STR.scan_stream(pages, rules), "scan")
-    return out.where(F.col("check_type") == "confidential").select("doc_id", "category", "value", "start")
+    out = _run(spark, STR.scan_stream(document_pages(spark, sf, _stream(spark, sf, "documents"))), "scan")
+    return out.select("doc_id", "page_num", "check_type", "category", F.coalesce("value", F.lit("")).alias("value"), "risk_level", "rule_order", "start")
 
 
 def _scan_sql():
     from workload import documents as DOC
-    return DOC.secret_sql(R.SECRET_RULES, tail="SELECT doc_id, category, masked AS value, start FROM f")
+    return (f"WITH {S.DOCS}, {DOC.FIND_CTE} SELECT doc_id, page_num, lower(type) AS check_type, category, value, risk_level, "
+            "CAST(rule_order AS INT) AS rule_order, CAST(start AS INT) AS start FROM fi")
 
 
 register("st_scan", _st_scan, _scan_sql())
-register("st_trend", lambda spark, sf: _run(spark, STR.trend_stream(_stream_results(spark, sf), "ts", "source"), "trend"),
-         f"WITH {RES_SQL} SELECT event_type AS source_id, day AS trend_date, count(*) AS total_violations, CAST(least(100, round_even(sum({_W}), 1)) AS DOUBLE) AS risk_score FROM res "
-         "WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY event_type, day")
+
+
+def _st_trend(spark, sf):
+    root = shared_dir(spark, "trend")
+    found = results(spark, sf, _stream(spark, sf, "events"))
+    STR.run_trend(found.select(F.col("event_type").alias("source_id"), "day", "entity_name", "check_type", "risk_level"), root)
+    return STR.read_trend(spark, root).select(*RS.TREND)
+
+
+register("st_trend", _st_trend,
+         f"WITH {RES_SQL.replace(chr(39) + 'user' + chr(39) + ' || user_id AS source_id', 'event_type AS source_id')}, {MET_SQL} SELECT {TREND_COLS} FROM met")
 register("st_dedupe", lambda spark, sf: _run(spark, STR.dedupe_stream(
     _stream_results(spark, sf).withColumn("finding_id", F.concat_ws("-", "source", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))),
     "ts", "finding_id", "2 days").select("finding_id"), "dedupe"),
@@ -560,13 +593,20 @@ def _detect_in_sql(spark, sf):
     registration.register(spark)
     table(spark, sf, "benchmark").select(
         "item_id", F.concat("text", pick(SNIPPETS, F.col("item_id"))).alias("text")).createOrReplaceTempView("palisade_texts")
-    return spark.sql("SELECT item_id, category, value, risk_level FROM palisade_texts, LATERAL detect_findings(text)")
+    return spark.sql("SELECT item_id, f.category, f.value, f.risk_level FROM (SELECT item_id, detect_pii(text) AS found FROM palisade_texts) LATERAL VIEW explode(found) AS f")
 
 
-def _detect_sql():
+def _detect_sql(source=None):
     from workload import documents as DOC
-    src = f"pg AS (SELECT item_id AS doc_id, 1 AS page_num, text || list_extract({S.SNIPPET_LIST}, CAST(item_id % {S.N} AS INT) + 1) AS text FROM benchmark)"
-    return (f"WITH {src}, {S.STRIPPED}, {DOC.PII_RANKED} SELECT doc_id AS item_id, category, val AS value, risk_level FROM pf")
+    src = source or f"pg AS (SELECT item_id AS doc_id, 1 AS page_num, text || list_extract({S.SNIPPET_LIST}, CAST(item_id % {S.N} AS INT) + 1) AS text FROM benchmark)"
+    return f"WITH {src}, {S.STRIPPED}, {DOC.PII_RANKED} SELECT doc_id AS {'doc_id' if source else 'item_id'}, category, val AS value, risk_level FROM pf"
+
+
+def _pii_in_sql(spark, sf):
+    registration.register(spark)
+    document_pages(spark, sf).createOrReplaceTempView("palisade_pages")
+    return spark.sql("SELECT doc_id, f.category, f.value, f.risk_level FROM (SELECT doc_id, detect_pii(text) AS found FROM palisade_pages) LATERAL VIEW explode(found) AS f")
 
 
+register("fn_detect_pii", _pii_in_sql, _detect_sql(S.DOCS))
 register("fn_detect_findings", _detect_in_sql, _detect_sql())
