@@ -23,7 +23,8 @@ class Dialect(NamedTuple):
 
 
 _COLUMNS = ("SELECT table_name, column_name, ordinal_position, data_type, is_nullable, character_maximum_length{extra} "
-            "FROM {catalog}information_schema.columns WHERE table_schema = '{schema}'")
+            "FROM {catalog}information_schema.columns WHERE table_schema = '{schema}' AND table_name IN (SELECT table_name "
+            "FROM {catalog}information_schema.tables WHERE table_schema = '{schema}' AND table_type = 'BASE TABLE')")
 _KEYS = ("SELECT ku.table_name, ku.column_name FROM information_schema.table_constraints tc "
          "JOIN information_schema.key_column_usage ku ON tc.constraint_name = ku.constraint_name "
          "AND tc.table_schema = ku.table_schema AND tc.table_name = ku.table_name "
@@ -56,7 +57,7 @@ DIALECTS = {
     "bigquery": Dialect(
         "",
         "SELECT table_id AS table_name, row_count, size_bytes, TIMESTAMP_MILLIS(last_modified_time) AS last_modified "
-        "FROM `{schema}.__TABLES__`",
+        "FROM `{schema}.__TABLES__` WHERE type = 1",
         "SELECT table_name, column_name, ordinal_position, data_type, is_nullable FROM "
         "`{schema}.INFORMATION_SCHEMA.COLUMNS`"),
 }
@@ -78,7 +79,7 @@ def normalize_catalog(source_id: str | Column, tables: DataFrame, columns: DataF
                       map_types: bool = False) -> tuple:
     """Catalog rows as snapshot tables: flags as booleans, counts never null or negative.
 
-    Also applies to catalog extracts that were stored as tables.
+    ``tables`` lists base tables; columns of anything else, such as views, are dropped.  Also applies to catalog extracts that were stored as tables.
     """
     tables = tables.toDF(*[c.lower() for c in tables.columns])
     columns = columns.toDF(*[c.lower() for c in columns.columns])
@@ -89,6 +90,8 @@ def normalize_catalog(source_id: str | Column, tables: DataFrame, columns: DataF
         columns = columns.join(keys.select(*on, F.lit(True).alias("_pk")), on, "left")
     primary = F.coalesce("_pk", F.lit(False)) if _has(columns, "_pk") else (
         (F.col("column_key") == "PRI") if _has(columns, "column_key") else F.lit(False))
+    listed = [c for c in ("source_id", "table_name") if c in tables.columns and c in columns.columns]
+    columns = columns.join(tables.select(*listed).distinct(), listed, "left_semi")
     data_type = normalize_type(F.col("data_type")) if map_types else F.col("data_type")
     length = F.col("character_maximum_length").cast("int") if _has(columns, "character_maximum_length") \
         else F.lit(None).cast("int")

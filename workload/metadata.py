@@ -336,35 +336,48 @@ register("src_encoding_profile",
          "THEN CAST(1 AS DOUBLE) ELSE CAST(0.99 AS DOUBLE) END AS encoding_confidence FROM documents")
 
 
+# What each vendor's stored extract looks like: names of the columns view, of the tables view, key table, type mapping.
+_VENDORS = {
+    "postgres": (("ordinal_position", "character_maximum_length"), ("size_bytes",), True, str.lower),
+    "mysql": (("ordinal_position", "character_maximum_length", "column_key"), ("size_bytes",), False, str.upper),
+    "sqlserver": (("ordinal_position", "character_maximum_length"), (), True, str.upper),
+    "snowflake": (("ordinal_position", "character_maximum_length"), ("size_bytes",), False, str.upper),
+    "bigquery": (("ordinal_position",), ("size_bytes", "last_modified"), False, str.lower),
+}
+
+
 def _extract(spark, sf, dialect):
-    """A stored catalog extract in a vendor's shape, then normalised."""
+    """A stored catalog extract in a vendor's shape, with a view beside the tables, then normalised."""
+    extra, sized, keyed, case = _VENDORS[dialect]
     b = base_columns(spark, sf)
-    upper = dialect in ("mysql", "sqlserver", "snowflake")
     c = b.select("source_id", "table_name", "column_name", F.col("ordinal").alias("ordinal_position"),
                  (pick(("STRING", "INT64", "RECORD", "GEOMETRY"), F.col("p_size")) if dialect == "bigquery" else F.col("data_type")).alias("data_type"),
                  F.when(F.col("is_nullable"), "YES").otherwise("NO").alias("is_nullable"),
                  F.when(F.col("p_size") > 40, F.col("p_size")).alias("character_maximum_length"),
                  F.when(F.col("ordinal") == 1, "PRI").otherwise("").alias("column_key"))
     keys = c.where(F.col("ordinal_position") == 1).select("source_id", "table_name", "column_name")
-    if dialect != "mysql":
-        c = c.drop("column_key")
+    # Every table has a view over it, which the columns view lists too and the tables view does not.
+    c = c.unionByName(c.withColumn("table_name", F.concat(F.lit("v_"), "table_name")))
+    c = c.select("source_id", "table_name", "column_name", "data_type", "is_nullable", *extra)
     t = table_rows(spark, sf, "prev").withColumn("row_count", F.when(F.col("row_count") % 7 == 0, None).when(
-        F.col("row_count") % 7 == 1, F.lit(-1)).otherwise(F.col("row_count"))).withColumn("size_bytes", F.col("row_count") * 10)
-    if upper:
-        c, t, keys = (x.toDF(*[n if n == "source_id" else n.upper() for n in x.columns]) for x in (c, t, keys))
-    cs, ts = catalog.normalize_catalog(F.col("source_id"), t, c, keys if dialect in ("postgres", "sqlserver") else None,
-                                       map_types=dialect == "bigquery")
+        F.col("row_count") % 7 == 1, F.lit(-1)).otherwise(F.col("row_count"))).withColumns(
+        {"size_bytes": F.when(F.col("row_count") > 0, F.col("row_count") * 10), "last_modified": F.lit("2024-01-01").cast("date")})
+    t = t.select("source_id", "table_name", "row_count", *sized)
+    c, t, keys = (x.toDF(*[n if n == "source_id" else case(n) for n in x.columns]) for x in (c, t, keys))
+    cs, ts = catalog.normalize_catalog(F.col("source_id"), t, c, keys if keyed else None, map_types=dialect == "bigquery")
     return cs.join(ts, ["source_id", "table_name"], "left").select(
-        "source_id", "table_name", "column_name", "ordinal", "data_type", "is_nullable", "is_primary_key", "max_length", "row_count")
+        "source_id", "table_name", "column_name", "ordinal", "data_type", "is_nullable", "is_primary_key", "max_length", "row_count", "size_bytes")
 
 
-for _d in catalog.DIALECTS:
+for _d, (_extra, _sized, _keyed, _) in _VENDORS.items():
     _dt = ("list_extract(['string', 'integer', 'object', 'geometry'], p_size % 4 + 1)" if _d == "bigquery" else "data_type")
-    _pk = "ordinal = 1" if _d in ("postgres", "mysql", "sqlserver") else "false"
+    _pk = "ordinal = 1" if _keyed or "column_key" in _extra else "false"
+    _len = "CASE WHEN p_size > 40 THEN p_size END" if "character_maximum_length" in _extra else "CAST(NULL AS INT)"
+    _rows = "CASE WHEN prev_rows % 7 IN (0, 1) THEN 0 ELSE prev_rows END"
     register(f"src_meta_{_d}", lambda spark, sf, d=_d: _extract(spark, sf, d),
              f"WITH {BASE_SQL}, {TAB_SQL} SELECT source_id, table_name, column_name, ordinal, {_dt} AS data_type, is_nullable, {_pk} AS is_primary_key, "
-             "CASE WHEN p_size > 40 THEN p_size END AS max_length, CASE WHEN prev_rows % 7 IN (0, 1) AND prev_rows IS NOT NULL THEN 0 ELSE prev_rows END AS row_count "
-             "FROM base LEFT JOIN tb USING (source_id, table_name)")
+             f"{_len} AS max_length, {_rows} AS row_count, {f'{_rows} * 10' if _sized else 'CAST(0 AS BIGINT)'} AS size_bytes "
+             "FROM base JOIN tb USING (source_id, table_name)")
 
 _BODY = ("CASE event_id % 6 WHEN 0 THEN '{\"_id\": 1, \"k\": null, \"tag\": \"a\"}' WHEN 1 THEN '{\"k\": \"69\", \"list\": [1, 2]}' "
          "WHEN 2 THEN '{\"k\": 1.5, \"obj\": {\"a\": 1}}' WHEN 3 THEN '{\"flag\": true, \"gone\": null}' ELSE props END")
