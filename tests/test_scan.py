@@ -89,3 +89,55 @@ def test_invariants_and_stored_results(spark):
 def test_masks(spark, category, value, want):
     df = spark.createDataFrame([(category, value)], "c string, v string")
     assert df.select(mask_value(F.col("c"), F.col("v"))).collect()[0][0] == want
+
+
+def masked(spark, *texts):
+    from palisade.operators.masked import mask_pages
+    return [r["masked"] for r in mask_pages(pages(spark, *texts)).orderBy("page_num").collect()]
+
+
+def test_masking_by_place(spark):
+    long = "x" * 90 + "@example.com"
+    got = masked(spark, f"  to {long} end \n", "v1.2.3.4 and 1.2.3.4 here", "nothing", "", "card 4111 1111 1111 1111.", "+91 9876543210 and (415) 555-2671")
+    assert got[0] == "  to x***@e***.com end \n"
+    assert got[1] == "v1.2.3.4 and 1.2.XXX.XXX here"
+    assert got[2:4] == ["nothing", ""]
+    assert "4111 1111" not in got[4] and got[4].startswith("card ") and got[4].endswith(".")
+    assert "98765" not in got[5] and "555" not in got[5]
+
+
+def test_masking_of_overlapping_hits(spark):
+    """Nothing a hit covers stays readable where hits of several rules overlap."""
+    texts = ["account no: 123456789012 12", "4111 1111 1111 1111 1111", "a@b.co" * 40, "10.0.0.1" + " 10.0.0.2" * 300]
+    for text, out in zip(texts, masked(spark, *texts)):
+        assert "123456" not in out and "1111 1111 1111 1111" not in out and "0.0.2 " not in out
+        assert len(out) > 5
+
+
+def test_keywords_in_the_scan(spark):
+    rules = R.default_rules()
+    df = pages(spark, "about Project TITAN, internal use only", "nothing")
+    assert not any(r["total_flags"] for r in scan_pages(df, rules).collect())
+    rules["confidentiality"]["match_keywords"] = True
+    rows = {r["page_num"]: r for r in scan_pages(df, rules).collect()}
+    assert [(f["category"], f["value"], f["start"]) for f in rows[1]["confidential_flags"]] == [
+        ("CUSTOM_KEYWORD", "PROJECT TITAN", 6), ("CUSTOM_KEYWORD", "internal use only", 21)]
+    assert not rows[2]["confidential_flags"]
+
+
+def test_keyword_table_in_blocks(spark):
+    from palisade.operators.detect import keyword_table_findings
+    words = spark.createDataFrame([(w,) for w in ("alpha", "BETA", " ", "", None, "alpha", "gam.ma")], "keyword string")
+    found = keyword_table_findings(pages(spark, "Alphabet and beta gamxma", "GAM.MA"), words, block=1).collect()
+    assert sorted((r["page_num"], r["keyword"]) for r in found) == [(1, "BETA"), (1, "alpha"), (2, "gam.ma")]
+
+
+def test_nested_export(spark):
+    import json
+
+    from palisade.operators.scoring import as_nested
+    results = scan_pages(pages(spark, "Mail jane@example.com please", "fine"))
+    rows = as_nested(results, document_summary(results)).collect()
+    assert sorted((r["kind"], r["page_num"]) for r in rows) == [("page", 1), ("page", 2), ("summary", 0)]
+    body = {(r["kind"], r["page_num"]): json.loads(r["json"]) for r in rows}
+    assert body["summary", 0]["total_flags"] == 1 and body["page", 1]["pii_flags"][0]["category"] == "EMAIL"

@@ -12,6 +12,7 @@ from palisade.operators import changes as C
 from palisade.operators import classify as K
 from palisade.operators import retrieval as V
 from palisade.operators import risk_score as RS
+from palisade.operators import store as ST
 from palisade.plans.sources import raise_alerts, scan_sources
 from palisade.sources import catalog, docstore, objects, pages as P
 from workload import metadata as M
@@ -59,6 +60,36 @@ def test_hash_ignores_order_and_sees_nullability(spark):
     assert table_hash == hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+@pytest.mark.parametrize("name", ["größe", 'a"b\\c', "日本 🙂", "tab\tand\x01", "plain"])
+def test_hash_escapes_as_the_canonical_form_does(spark, name):
+    import hashlib
+    import json
+    text = json.dumps({"name": name, "columns": [{"name": name, "type": "int", "nullable": True}]}, sort_keys=True)
+    got = C.table_hashes(columns(spark, [(name, name, "int", True)])).first()["table_hash"]
+    assert got == hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def _scans(df, name):
+    """How often a physical plan reads the tagged input."""
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_changes_read_each_input_twice_at_most(spark):
+    root = shared_dir(spark, "once")
+    parts = {}
+    for name, df in (("prevc", M.prev_columns(spark, SF)), ("currc", M.curr_columns(spark, SF)),
+                     ("prevt", M.table_rows(spark, SF, "prev")), ("currt", M.table_rows(spark, SF, "curr"))):
+        df.write.parquet(f"{root}/{name}")
+        parts[name] = spark.read.parquet(f"{root}/{name}")
+    diff = C.diff_schemas(parts["prevc"], parts["currc"])
+    changes = C.detect_changes(*parts.values())
+    for name in parts:
+        assert _scans(changes, f"{root}/{name}") in (1, 2)
+    assert [_scans(diff, f"{root}/{n}") for n in ("prevc", "currc")] == [1, 1]
+    routes = {r["source_id"]: r["route"] for r in C.routes(C.compare(parts["prevc"], parts["currc"])).collect()}
+    assert set(routes.values()) <= {"initial_scan", "statistics", "structure"} and routes
+
+
 def test_volume_thresholds(spark):
     cases = {"spike": (100, 301), "edge": (100, 300), "drop": (1001, 200), "small": (1000, 100), "zero": (0, 5)}
     side = lambda i: spark.createDataFrame([("s", k, v[i]) for k, v in cases.items()], "source_id string, table_name string, row_count bigint")
@@ -104,6 +135,39 @@ def test_cooldown_against_walk(spark, chunk):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("chunk,block", [(3600, 2), (86400, 3), (604800, 64)])
+def test_cooldown_with_own_gaps_over_a_clock_change(spark, chunk, block):
+    rnd = random.Random(3)
+    start, epoch = datetime.datetime(2024, 3, 28), datetime.datetime(1970, 1, 1)
+    rows = [(rnd.choice("ab"), rnd.choice("xy"), -1 if i % 50 == 0 else rnd.choice([5, 7, 30, 240, 1440]),
+             start + datetime.timedelta(seconds=rnd.randrange(86400 * 9)), i) for i in range(1500)]
+    per = {}
+    for config, source, gap, time, n in rows:
+        if gap > 0:
+            at = (config, source, int((time - epoch).total_seconds()))
+            per[at] = min(per.get(at, (gap, time, n)), (gap, time, n))
+    want, last = [r[4] for r in rows if r[2] <= 0], {}
+    for (config, source, second), (gap, _, n) in sorted(per.items()):
+        if second - last.get((config, source), -10**12) >= gap * 60:
+            want.append(n)
+            last[config, source] = second
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        alerts = spark.createDataFrame(rows, "config_id string, source_id string, cooldown_minutes int, sent_at timestamp_ntz, n int")
+        assert sorted(r["n"] for r in A.apply_cooldown(alerts, chunk, block).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_last_row_of_a_key_stands(spark):
+    now = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, w int")
+    fresh = spark.createDataFrame([(1, "y", 1, 1), (1, "x", 2, 2), (3, "c", 3, 1)], "k int, v string, w int, seq int")
+    assert sorted(tuple(r) for r in ST.upsert(now, fresh, "k", order=F.col("seq")).collect()) == [(1, "x", 2), (2, "b", 0), (3, "c", 3)]
+    assert sorted(tuple(r) for r in ST.update(now, fresh, "k", order=F.col("seq")).collect()) == [(1, "x", 2), (2, "b", 0)]
+    assert ST.upsert(now, fresh.drop("seq"), "k").count() == 3
+
+
 def test_alert_levels(spark):
     scans = spark.createDataFrame([(f"s{i}", r) for i, r in enumerate(("low", "medium", "high", "critical"))], "scan_id string, highest_risk string")
     configs = spark.createDataFrame([("crit", ["critical"]), ("med", ["medium"]), ("odd", ["bogus"]), ("two", ["bogus", "high"])],
@@ -125,15 +189,40 @@ def test_top_k_against_brute_force(spark):
     import numpy as np
     rows = table(spark, SF, "embeddings").collect()
     q = np.asarray(rows[3]["embedding"], dtype=float)
-    score = lambda v: round(1 - float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 6)
+    score = lambda v: 1 - float(q @ v / np.linalg.norm(q) / np.linalg.norm(v))
     want = sorted((score(np.asarray(r["embedding"], dtype=float)), r["vec_id"]) for r in rows if r["label"] == 2)[:7]
     query = spark.createDataFrame([(q.tolist(),)], "v array<double>")
-    for dims in (64, None):
-        got = V.top_k(table(spark, SF, "embeddings"), query, 7, F.col("label") == 2, id_col="vec_id", dims=dims).collect()
-        assert [r["vec_id"] for r in got] == [w[1] for w in want]
+    got = V.top_k(table(spark, SF, "embeddings"), query, 7, F.col("label") == 2, id_col="vec_id").collect()
+    assert [r["vec_id"] for r in got] == [w[1] for w in want]
     assert V.top_k(table(spark, SF, "embeddings"), query, 10 ** 6, id_col="vec_id").count() == len(rows)
 
 
+def test_retrieval_defines_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0, 5.0], 0), (2, [1.0, 0.0, -5.0], 0), (3, [0.0, 0.0, 0.0], 0), (4, None, 0), (5, [1.0, 0.0], 0), (6, [1.0, 0.0, 5.0], 1)]
+    index = spark.createDataFrame(rows, "id int, embedding array<double>, label int")
+    query = spark.createDataFrame([([1.0, 0.0, 5.0],)], "v array<double>")
+    assert [r["id"] for r in V.top_k(index, query, 9).collect()] == [1, 6, 2]
+    queries = spark.createDataFrame([("q", [1.0, 0.0, 5.0], 0), ("z", [0.0, 0.0, 0.0], 0)], "query_id string, query_vector array<double>, label int")
+    by_label = V.top_k_by(index, queries, "label", 2).collect()
+    assert [(r["query_id"], r["id"], r["place"]) for r in sorted(by_label, key=lambda r: r["place"])] == [("q", 1, 1), ("q", 2, 2)]
+    every = V.top_k_all(index, queries.drop("label"), 2, parts=3, block=1).collect()
+    assert sorted((r["query_id"], r["id"], r["place"], r["distance"]) for r in every) == [("q", 1, 1, 0.0), ("q", 6, 2, 0.0)]
+
+
+def test_hot_value_is_salted(spark):
+    index = spark.range(2000).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding"), F.lit("hot").alias("label"))
+    queries = spark.createDataFrame([("q", [0.3, 0.7], "hot")], "query_id string, query_vector array<double>, label string")
+    hint = V.top_k_by(index, queries, "label", 5)
+    plan = hint._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and hint.count() == 5
+
+
+def test_null_keys_have_positions(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), ("k", "c")], "k string, v string")
+    got = sorted((r["k"] or "", r["i"]) for r in V.position_within(df, ["k"], ["v"], "i").collect())
+    assert got == [("", 0), ("", 1), ("k", 0)]
+
+
 def test_positions_are_dense(spark):
     df = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").cast("string").alias("v"))
     got = V.position_within(df, ["k"], ["v"], "i").select("i").collect()
@@ -159,10 +248,16 @@ def test_catalog_and_objects(spark):
     root = shared_dir(spark, "objects")
     table(spark, SF, "region").coalesce(1).write.csv(f"{root}/a")
     table(spark, SF, "nation").coalesce(1).write.json(f"{root}/b")
-    inv = {r["prefix"]: r["row_count"] for r in objects.inventory(objects.list_objects(spark, root)).collect()}
-    assert inv["a"] >= 1 and inv["b"] >= 1
+    table(spark, SF, "nation").coalesce(1).write.json(f"{root}/deep/er/still")
+    for name in (root, f"file:{root}", f"file://{root}/") if root.startswith("/") else (root,):
+        found = objects.list_objects(spark, name)
+        inv = {r["prefix"]: r["row_count"] for r in objects.inventory(found).collect()}
+        assert inv["a"] >= 1 and inv["b"] >= 1 and inv["deep"] >= 1 and set(inv) == {"a", "b", "deep"}
+        assert {r["relative"].rsplit("/", 1)[0] for r in found.collect()} == {"a", "b", "deep/er/still"}
+    flat = objects.inventory(objects.list_objects(spark, f"{root}/a")).collect()
+    assert [r["prefix"] for r in flat] == ["root"]
     samples = objects.sample_objects(spark, root, 10).collect()
-    assert len(samples) == 2 and all(0 < len(r["sample"]) <= 500 for r in samples)
+    assert len(samples) == 3 and all(0 < len(r["sample"]) <= 500 for r in samples)
 
 
 def test_text_files_split_into_pages(spark):
@@ -176,5 +271,9 @@ def test_sql_functions(spark):
     registration.register(spark)
     row = spark.sql("SELECT mask_value('EMAIL', 'ann@site.org') AS m, classify_column('cvv').risk_level AS r, check_type('PCI_CVV') AS c").collect()[0]
     assert tuple(row) == ("a***@s***.org", "critical", "confidential")
-    found = spark.sql("SELECT f.* FROM VALUES ('mail ann@site.org') AS t(x), LATERAL detect_findings(t.x) f").collect()
-    assert [(r["category"], r["start"]) for r in found] == [("EMAIL", 5)]
+    texts = ["mail ann@site.org, ann@site.org or 123-45-6789", "", None, "[PAGE 1] ann@site.org"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    frame.createOrReplaceTempView("palisade_some")
+    found = {r["i"]: r["f"] for r in spark.sql("SELECT i, detect_pii(x) AS f FROM palisade_some").collect()}
+    assert [(f["category"], f["value"]) for f in found[0]] == [("EMAIL", "ann@site.org"), ("SSN", "123-45-6789")]
+    assert not found[1] and not found[2] and not found[3]
