@@ -44,6 +44,7 @@ def match_alerts(scans: DataFrame, configs: DataFrame) -> DataFrame:
 
 def alert_message(alerts: DataFrame) -> DataFrame:
     """Message text and its stored preview."""
+    # Fixed value: the wording.
     text = F.format_string(
         "🚨 *Compliance Alert — %s*\nRisk Level: *%s*\nTotal Flags: %d\nRisk Score: %.1f/100\n"
         "Scan ID: `%s`\nTimestamp: %s UTC",

@@ -69,6 +69,7 @@ def heatmap(page_results: DataFrame) -> DataFrame:
 
 def summary_rows(summary: DataFrame) -> DataFrame:
     """Metric/value rows per document."""
+    # Names of the metrics.
     named = {
         "Total Pages Scanned": "total_pages", "Total Compliance Flags": "total_flags",
         "Pages with Issues": "pages_with_issues", "Clean Pages": "clean_pages", "Highest Risk Level": "_risk",

@@ -15,6 +15,7 @@ META = ("source_id", "source_name", "scan_id", "entity_name", "check_type", "ris
 
 
 def finding_document() -> Column:
+    # The line labels.
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Data source: "), "source_name"),
