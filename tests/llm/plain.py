@@ -113,3 +113,25 @@ def deduplicated(docs, length=20):
             seen.add(window)
         out[key, text] = (len(own), sum(gone), " ".join(w for w, g in zip(own, gone) if not g))
     return out
+
+
+def near_groups(texts, size, similarity):
+    """A group number for each list of words; shingle sets alike by the similarity or more are linked."""
+    sets = [{tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} for w in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    holders = {}
+    for i, own in enumerate(sets):
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    for i, own in enumerate(sets):
+        shared = Counter(j for s in own for j in holders[s] if j < i)
+        for j, n in shared.items():
+            if n >= similarity * (len(own) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]

@@ -136,7 +136,7 @@ def test_links_span_all_components(spark, shard):
 def test_bk_tree_follows_edges_within_the_radius():
     rng = random.Random(9)
     values = near_prints(rng)
-    links = simhash.shard_links(values[::2], values[1::2], 4)
+    links = simhash.shard_links([(v, v) for v in values[::2]], [(v, v) for v in values[1::2]], 4)
     queries = set(values[1::2])
     assert all((a ^ b).bit_count() <= 4 and len(queries & {a, b}) == 1 for a, b in links)
 
@@ -150,14 +150,43 @@ def test_components_of_long_paths_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def near_rows(rng):
+    """Texts with near copies round the similarity, in one large group and in small ones."""
+    rows = []
+    for group in range(40):
+        own = sentence(rng, rng.randrange(30, 200), 50_000).split()
+        for _ in range(60 if group == 0 else rng.randrange(1, 5)):
+            copy = list(own)
+            for _ in range(rng.randrange(0, 5)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy).upper() if rng.random() < 0.1 else " ".join(copy)))
+    return rows + [(5000, ""), (5001, None), (5002, " \n"), (5003, "one two"), (5004, "One TWO"), (5005, "one two three four five"), (None, "lonely text")]
+
+
+def groups_of(rows, similarity=0.8):
+    return plain.near_groups([plain.words(r[1], lower=True) for r in rows], 5, similarity)
+
+
+@pytest.mark.parametrize("shard", [2000, 9])
+def test_similar_texts_share_a_root(spark, shard):
+    rows = near_rows(random.Random(shard))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["root"] for r in simhash.similar(docs, shard=shard).collect()}
+    want = groups_of(rows)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if want[i] == want[j]]
+    found = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
+    assert found >= 0.98 * len(pairs) > 100  # bands are chance
+    wrong = [(i, j) for i in range(len(rows)) for j in range(i) if want[i] != want[j] and got[rows[i][0]] == got[rows[j][0]]]
+    assert not wrong
+
+
 def test_keep_one(spark, odd, odd_rows, empty):
-    prints = [(r[0], plain.fingerprint(r[1])) for r in odd_rows]
-    names = {c for c in plain.components(prints) if c is not None}
-    rows = simhash.keep_one(odd).collect()
-    ids = [r["doc_id"] for r in rows]
-    assert sorted(i for i in ids if i is not None) == sorted(names)
-    nameless = {p for (_, p), c in zip(prints, plain.components(prints)) if c is None}
-    assert ids.count(None) == len(nameless)
+    root = groups_of(odd_rows)
+    best = {}
+    for (key_, text, *_), r in zip(odd_rows, root):
+        best[r] = min(best.get(r, (True, 0)), (key_ is None, key_ or 0))
+    ids = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
+    assert sorted(map(key, ids)) == sorted(-1 if missing else k for missing, k in best.values())
     assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(empty).count() == 0
 
 
@@ -346,8 +375,11 @@ def test_stages_against_brute_force(spark):
         out = base.written(stage(spark, docs, sf), name)
         ids = Counter(r["doc_id"] for r in out.collect())
         if name == "simhash_near_dedup":
-            prints = [(r["doc_id"], plain.fingerprint(r["text"])) for r in before]
-            assert ids == Counter(set(plain.components(prints)))
+            root = groups_of([(r["doc_id"], r["text"]) for r in before])
+            best = {}
+            for r, own in zip(before, root):
+                best[own] = min(best.get(own, r["doc_id"]), r["doc_id"])
+            assert ids == Counter(best.values()) and len(ids) < len(before)
         elif name == "benchmark_decontamination":
             hit = plain.decontaminated([r["text"] for r in before], items)
             assert ids == Counter(r["doc_id"] for r, h in zip(before, hit) if not h[1]) and sum(h[1] > 0 for h in hit)
