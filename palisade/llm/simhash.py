@@ -265,6 +265,12 @@ def _shingles(hasher, block, size):
     return out, edge
 
 
+def _set_print(hashes: np.ndarray) -> int:
+    """Fingerprint, as a signed number, of a set of shingles, each of which counts once."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _band_rows(size):
     def run(batches):
         hasher = W.Hasher(21)
@@ -290,19 +296,19 @@ def _shingle_rows(size, map_bits, shared):
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
             for block in W.blocks(batch.column(1), W.SPACES, lower=True, block_bytes=1_000_000):
                 hashes, edge = _shingles(hasher, block, size)
-                sets = [np.unique(hashes[a:b].astype(np.uint32)).tobytes() for a, b in zip(edge, edge[1:])]
+                sets = [np.unique(hashes[a:b]) for a, b in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(block.rows)), pa.array(block_fingerprints(block, size).view(np.int64)),
-                     pa.array(sets, pa.binary())], ["node", "fp", "shingles"])
+                    [batch.column(0).take(pa.array(block.rows)), pa.array([_set_print(own) for own in sets], pa.int64()),
+                     pa.array([np.unique(own.astype(np.uint32)).tobytes() for own in sets], pa.binary())], ["node", "fp", "shingles"])
     return run
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 16, shard: int = 2000, map_bits: int = 24) -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, shard: int = 2000, map_bits: int = 24) -> DataFrame:
     """doc_id, tag, root for every row: texts whose ``size``-word shingle sets are alike by ``similarity`` or more share a root.
 
     Equal texts are one node.  Nodes meet in a bucket if one of 12 bands of four shingle minima is equal (at a
-    similarity of 0.8, 998 pairs in 1,000 do), then in a BK-tree within ``radius`` bits, and link if their whole shingle
-    sets are alike.  Only texts that meet another are read a second time, found by a bit map of fixed size, whose false
+    similarity of 0.8, 998 pairs in 1,000 do), then in a BK-tree within ``radius`` bits (sets that alike are some 9 bits
+    apart, very small ones up to 20), and link if their whole shingle sets are alike.  Only texts that meet another are read a second time, found by a bit map of fixed size, whose false
     hits the join behind it drops.  Texts without words are one node's worth of equal sets.
     """
     spark = docs.sparkSession
