@@ -20,6 +20,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -84,12 +85,22 @@ def mark_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         "trusted", F.coalesce("trusted", F.lit(False)))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2 and D3+ of one order from its counts of counts."""
-    have = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
-    c = [have.get(k, 0) for k in range(1, 5)]
-    y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
-    return [min(max(k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else k * 0.5, 0.1), k) for k in (1, 2, 3)]
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """D1, D2 and D3+ of one order from its counts of counts, by model."""
+    have = {(r["model"], r["n"]): r["k"] for r in counts.where("n <= 4").groupBy("model", "n").agg(F.count("*").alias("k")).collect()}
+    out = {}
+    for model in range(FOLDS + 1):
+        c = [have.get((model, k), 0) for k in range(1, 5)]
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+        out[model] = [min(max(k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else k * 0.5, 0.1), k) for k in (1, 2, 3)]
+    return out
+
+
+def _cut(discounts: dict[int, list[float]]):
+    pick = F.lit(0.0)
+    for model, (d1, d2, d3) in discounts.items():
+        pick = F.when(F.col("model") == model, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(pick)
+    return pick
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -100,38 +111,38 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 def train(grams: DataFrame) -> DataFrame:
-    """The model from counts (gram, n): (level, gram, context, p, rest), one row per n-gram of every order seen.
+    """All models from counts (fold, gram, n): (model, level, gram, context, p, rest), one row per n-gram of every order seen.
 
-    ``p`` is the gram's interpolated probability; ``rest`` is what its context, as a context, leaves to lower orders
-    (of the context that is the gram itself; null where the gram starts no longer one).
+    Model 0 is that of all folds, model k + 1 that of all but fold k; they are built side by side.  ``p`` is the gram's
+    interpolated probability; ``rest`` is what its context leaves to lower orders.
     """
-    seen = {ORDER: grams.groupBy("gram").agg(F.sum("n").alias("n"))}
+    part_of = F.array_compact(F.array(F.lit(0), *[F.when(F.col("fold") != k, F.lit(k + 1)) for k in range(FOLDS)]))
+    seen = {ORDER: base.written(grams.select(F.explode(part_of).alias("model"), "gram", "n").groupBy("model", "gram").agg(
+        F.sum("n").alias("n")), "counts")}
     for level in range(ORDER - 1, 0, -1):  # how many symbols stand before the gram
-        seen[level] = seen[level + 1].groupBy((F.col("gram") % SYMBOLS**level).alias("gram")).agg(F.count("*").alias("n"))
-    lower, model = None, []
+        seen[level] = seen[level + 1].groupBy("model", (F.col("gram") % SYMBOLS**level).alias("gram")).agg(F.count("*").alias("n"))
+    lower, models = None, []
     for level in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(seen[level])
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = seen[level].withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")).withColumn("cut", cut)
-        totals = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-        joined = grams.join(totals, "context").withColumn("suffix", (F.col("gram") % SYMBOLS**(level - 1)).cast("int"))
+        grams = seen[level].withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")).withColumn("cut", _cut(_discounts(seen[level])))
+        totals = grams.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+        joined = grams.join(totals, ["model", "context"]).withColumn("suffix", (F.col("gram") % SYMBOLS**(level - 1)).cast("int"))
         if lower is None:
             below = joined.withColumn("q", F.lit(1.0 / SYMBOLS))
         else:
-            below = joined.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
+            below = joined.join(lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"])
         lower = base.written(below.select(
-            "gram", "context", ((F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("total")).alias("p"),
+            "model", "gram", "context", ((F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("total")).alias("p"),
             (F.col("left") / F.col("total")).alias("rest")), f"order{level}")
-        model.append(lower.select(F.lit(level).alias("level"), "gram", "context", "p", "rest"))
-    out = model[0]
-    for part in model[1:]:
+        models.append(lower.select("model", F.lit(level).alias("level"), "gram", "context", "p", "rest"))
+    out = models[0]
+    for part in models[1:]:
         out = out.unionByName(part)
     return out
 
 
-def dense(model: DataFrame) -> np.ndarray:
-    """Minus log probability of all SYMBOLS**ORDER n-grams, unseen ones by what their contexts leave."""
-    rows = model.toArrow()
+def dense(rows: pa.Table, model: int = 0) -> np.ndarray:
+    """Minus log probability of all SYMBOLS**ORDER n-grams under one model, unseen ones by what their contexts leave."""
+    rows = rows.filter(pa.compute.equal(rows["model"], model))
     level, gram, context, p, rest = (rows[c].to_numpy() for c in ("level", "gram", "context", "p", "rest"))
     probs = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
     for n in range(1, ORDER + 1):
@@ -196,13 +207,13 @@ class Classifier:
         self.prior = prior
         own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted).where("trusted").select(
             "lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
-        share, grams = docs.sparkSession.sparkContext.broadcast, counted(own)
-        self.cost = share(dense(train(grams))[None, :])
+        share, rows = docs.sparkSession.sparkContext.broadcast, train(counted(own)).toArrow()
+        self.cost = share(dense(rows)[None, :])
         tables = np.empty((FOLDS, SYMBOLS**ORDER), np.float32)
         for k in range(FOLDS):
-            tables[k] = dense(train(grams.where(F.col("fold") != k)))
+            tables[k] = dense(rows, k + 1)
         others = share(tables)
-        del tables
+        del tables, rows
         good = base.written(scored(own, others).drop("text"), "trusted").withColumn(
             "lang", F.coalesce("lang", F.lit(""))).where("n_symbols > 0")
         others.destroy()  # what it was for is written

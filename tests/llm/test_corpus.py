@@ -55,7 +55,7 @@ def test_language_model_against_dictionaries(spark):
     rng = random.Random(2)
     texts = [sentence(rng, 30, 12) + rng.choice([".", "!", " É"]) for _ in range(8)]
     docs = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, fold int").repartition(3)
-    cost = quality_lm.dense(quality_lm.train(quality_lm.counted(docs)))
+    cost = quality_lm.dense(quality_lm.train(quality_lm.counted(docs)).toArrow())
     p, size = kneser_ney(texts), quality_lm.SYMBOLS
     for _ in range(300):
         gram = tuple(rng.choice([0, 23, 27, 28, 29, 31, 40]) if rng.random() < 0.7 else rng.randrange(size) for _ in range(4))
