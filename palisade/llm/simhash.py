@@ -167,7 +167,7 @@ def _bucket_links(radius, similarity=None):
                 continue
             accept = None
             if similarity is not None:
-                sets = {r[4]: frozenset(np.frombuffer(r[6], np.uint32).tolist()) for r in own}
+                sets = {r[4]: np.frombuffer(r[6], np.uint32) for r in own}
                 accept = lambda a, b, sets=sets: _alike(sets[a], sets[b], similarity)
             pairs = [(r[5] % 2**64, r[4]) for r in own]
             n = sum(r[3] == i for r in own)
@@ -188,12 +188,14 @@ def _bucket_links(radius, similarity=None):
     return run
 
 
-def _alike(a: frozenset, b: frozenset, similarity: float) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < similarity * large:
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Are two sorted sets alike by the similarity or more?"""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b):
         return False
-    common = len(a & b)
-    return common >= similarity * (small + large - common)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common >= similarity * (len(a) + len(b) - common)
 
 
 def _bucket_keys(radius: int):

@@ -186,7 +186,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _cut(length):
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             out = []
             spans = batch.column(2)
             for i, text in enumerate(batch.column(1).to_pylist()):
