@@ -82,6 +82,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))))
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """The distance as it is shown: six digits, no negative zero."""
+    return rows.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
 def top_k(index: DataFrame, query: DataFrame, k: int = 5, where: Column | None = None,
           vector: str = "embedding", id_col: str = "id") -> DataFrame:
     """Nearest k rows to one query vector (``query``: one row, one array column).
@@ -92,7 +97,7 @@ def top_k(index: DataFrame, query: DataFrame, k: int = 5, where: Column | None =
     rows = index.where(where) if where is not None else index
     scored = rows.withColumn("_query", query.scalar()).withColumn("distance", 1 - cosine(F.col(vector), F.col("_query"))).drop("_query")
     near = scored.where(F.col("distance").isNotNull()).orderBy("distance", id_col).limit(k)
-    return near.withColumn("distance", F.round("distance", 6))
+    return _shown(near)
 
 
 def _best(pairs: DataFrame, k: int, id_col: str, *keys: str) -> DataFrame:
@@ -103,8 +108,7 @@ def _best(pairs: DataFrame, k: int, id_col: str, *keys: str) -> DataFrame:
 def _ranked(pairs: DataFrame, k: int, id_col: str, salt: str) -> DataFrame:
     """The nearest k of each query: first in each salt, then of what is left."""
     near = pairs.where(F.col("distance").isNotNull())
-    return _best(_best(near, k, id_col, "query_id", salt).drop("place"), k, id_col, "query_id").drop(salt).withColumn(
-        "distance", F.round("distance", 6))
+    return _shown(_best(_best(near, k, id_col, "query_id", salt).drop("place"), k, id_col, "query_id").drop(salt))
 
 
 def top_k_by(index: DataFrame, queries: DataFrame, on: str, k: int = 5, vector: str = "embedding",
@@ -138,7 +142,7 @@ def top_k_all(index: DataFrame, queries: DataFrame, k: int = 5, vector: str = "e
     ids, keys = (d.schema[c].dataType.simpleString() for d, c in ((index, id_col), (queries, "query_id")))
     near = rows.groupBy("_part").cogroup(copies.groupBy("_part")).applyInPandas(
         _search(k, vector, id_col), f"query_id {keys}, {id_col} {ids}, distance double, _part long")
-    return _best(near.drop("_part"), k, id_col, "query_id").withColumn("distance", F.round("distance", 6))
+    return _shown(_best(near.drop("_part"), k, id_col, "query_id"))
 
 
 def _search(k: int, vector: str, id_col: str):

@@ -448,7 +448,7 @@ def _centroids(spark, sf, *keys):
 
 _EXPL = "ue AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"
 _FAR = "(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv))"
-_COS = f"CAST(round({_FAR}, 6) AS DOUBLE)"
+_COS = f"(CAST(round({_FAR}, 6) AS DOUBLE) + 0)"
 register("rag_topk", lambda spark, sf: V.top_k(
     table(spark, sf, "embeddings"), _centroids(spark, sf), 5, F.col("label") != 3, id_col="vec_id").select("vec_id", "label", "distance"),
     f"WITH {_EXPL}, mn AS (SELECT pos, avg(CAST(x AS DOUBLE)) AS x FROM ue GROUP BY pos), q AS (SELECT list(x ORDER BY pos) AS qv FROM mn) "
