@@ -1,17 +1,21 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model runs over ``ORDER`` symbols.  A text's UTF-8 bytes map to ``SYMBOLS`` classes (small letters, one class
-for capitals, digits, spaces, line ends, kinds of punctuation, lead and trailing bytes of other letters), so there
-are at most SYMBOLS**ORDER n-grams (5.3 million) however much text is counted.  Words would not do: most words
-of this kind of corpus are rare, and a row per word n-gram of every document is several times the text.
-
-* **Counts** come from all trusted text: each task sums its own, and Spark sums those of all tasks.
-* **Count joins.** Per order, discounts follow from counts of counts; n-grams meet their contexts' totals and the
-  next lower order's probabilities in joins that are sharded on the context and on the suffix.
-* **Perplexity.** The finished table (its size is bounded by the alphabet) goes to every task, which adds up the
-  logarithms over each whole text.  Short texts are drawn to their language's mean with the weight of ``prior`` symbols.
+The model is of pairs of words; what it leaves to words it has not seen goes by their bytes.
+
+* **Word counts.** Pairs of neighbouring words (a mark stands at both ends of a text) are counted over all trusted text, by
+  8-byte hashes; tasks combine their own first.  Discounts follow from counts of counts.
+* **Count joins.** Pairs meet their contexts' totals and their words' probabilities in joins sharded on the context and on the
+  word.  What a seen pair or word changes in a text's summed logarithm is one number, so the finished model is a table
+  (key, value) of as many rows as trusted text has different pairs and words; the different keys of each text are joined to it,
+  sharded on the key, and the numbers summed per text.  A bit map of fixed size keeps back keys that the table lacks for
+  certain; it only saves work.
+* **Unknown words** are spelled by a model of four byte classes (small letters, one class for capitals, digits, spaces, line
+  ends, kinds of punctuation, lead and trailing bytes of other letters; at most SYMBOLS**ORDER n-grams), built the same
+  way.  So is white space beyond one byte behind each word.
+* **Perplexity** is per byte.  Short texts are drawn to their language's mean with the weight of ``prior`` bytes.
 * **Thresholds** are a quantile of the trusted texts' perplexity, by language, times ``slack``, where each text is scored by
-  the counts of the other fold; a language without trusted text takes that of all trusted text.
+  the counts of the other fold; a language without trusted text takes that of all trusted text.  Text that is easier to
+  predict than the opposite quantile of trusted text, scored by the model that has seen it, over ``slack`` goes too.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from palisade.llm import base, words as W
+from palisade.llm.substring_dedup import anchor_map
 
 ORDER, SYMBOLS = 4, 48
 #: Trusted texts are dealt into so many folds; thresholds come from texts that the model at hand has not seen.
@@ -33,6 +38,8 @@ FOLDS = 2
 BROADCAST_IDS = 4_000_000
 #: Bins of a perplexity's logarithm, per unit.
 BINS = 1000
+#: Stands before the first and behind the last word of a text; tells keys of words from those of pairs; tells models apart.
+MARK, WORD, *MODELS = (int(x) for x in np.random.default_rng(4).integers(1, 2**63, FOLDS + 3, dtype=np.int64))
 
 
 def classes() -> np.ndarray:
@@ -157,17 +164,127 @@ def dense(rows: pa.Table, model: int = 0) -> np.ndarray:
     return np.negative(probs, out=probs).reshape(-1)
 
 
-def _score(shared, size_name, cost_name):
+def _tokens(hasher, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and text of every word of a block and of the mark behind each text that has words."""
+    words, n = hasher.words(block), np.diff(block.first)
+    has = n > 0
+    word = np.full(len(words) + int(has.sum()), MARK, np.uint64)
+    word[np.arange(len(words)) + (np.cumsum(has) - 1)[block.word_rows()]] = words
+    before = np.concatenate([np.full(1, MARK, np.uint64), word])[:len(word)]  # the mark behind one text stands before the next
+    return before, word, np.repeat(np.flatnonzero(has), n[has] + 1)
+
+
+def _spelling(block, table) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the bytes of every word, and of one space behind it, as they stand after a space; and where each word's begin."""
+    lengths = block.ends - block.starts
+    bounds = np.concatenate([[0], np.cumsum(lengths + 2)])
+    data = np.full(int(bounds[-1]), 32, np.uint8)
+    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    data[inside + np.repeat(bounds[:-1] + 1, lengths)] = block.data[inside + np.repeat(block.starts, lengths)]
+    codes = np.delete(block_codes(data, bounds, table), bounds[:-1])
+    return codes, bounds - np.arange(len(bounds))
+
+
+def _spelled(codes, edge, costs) -> np.ndarray:
+    return np.diff(np.concatenate([[0.0], np.cumsum(costs[codes], dtype=np.float64)])[edge])
+
+
+def _count_pairs(batches):
+    hasher = W.Hasher(31)
+    for batch in batches:
+        folds = batch.column(1).to_numpy()
+        for block in W.blocks(batch.column(0), W.SPACES):
+            before, word, row = _tokens(hasher, block)
+            fold = folds[block.rows[row]]
+            order = np.lexsort((word, before, fold))
+            before, word, fold = before[order], word[order], fold[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (fold[1:] != fold[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fold[at].astype(np.int32)), pa.array(before[at].view(np.int64)), pa.array(word[at].view(np.int64)),
+                 pa.array(np.diff(np.append(at, len(word))))], ["fold", "v", "w", "n"])
+
+
+def _spell_words(shared):
+    def spell(batches):
+        table, hasher, costs = classes(), W.Hasher(31), shared.value
+        for batch in batches:
+            for block in W.blocks(batch.column(0), W.SPACES):
+                words, at = np.unique(hasher.words(block), return_index=True)
+                codes, edge = _spelling(block, table)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.view(np.int64)), *[pa.array(_spelled(codes, edge, c)[at]) for c in costs]],
+                    ["w", *[f"b{k}" for k in range(FOLDS + 1)]])
+    return spell
+
+
+def _pick(values, kind="double"):
+    """The value of the row's model."""
+    out = F.lit(None).cast(kind)
+    for model, value in enumerate(values):
+        out = F.when(F.col("model") == model, value).otherwise(out)
+    return out
+
+
+def word_model(texts: DataFrame, shared) -> tuple[DataFrame, list[float]]:
+    """(key, value) of all models, and minus log of what each leaves to unknown words; from (text, fold) and all byte tables.
+
+    A text's cost is the sum of its words' spelling and of that number per word and text, plus ``value`` of each of its keys.
+    """
+    counts = texts.select("text", F.col("fold").cast("int").alias("fold")).mapInArrow(_count_pairs, "fold int, v long, w long, n long")
+    part_of = F.array_compact(F.array(F.lit(0), *[F.when(F.col("fold") != k, F.lit(k + 1)) for k in range(FOLDS)]))
+    seen = base.written(counts.groupBy("fold", "v", "w").agg(F.sum("n").alias("n")).select(
+        F.explode(part_of).alias("model"), "v", "w", "n").groupBy("model", "v", "w").agg(F.sum("n").alias("n")), "pairs")
+    pairs = seen.withColumn("cut", _cut(_discounts(seen)))
+    left = base.written(pairs.groupBy("model", "v").agg((F.sum("cut") / F.sum("n")).alias("rest"), F.sum("n").alias("total")), "contexts")
+    once = base.written(pairs.groupBy("model", "w").agg(F.count("*").alias("n")), "words")
+    words = once.withColumn("cut", _cut(_discounts(once)))
+    have = {r["model"]: r for r in words.groupBy("model").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut")).collect()}
+    totals = [float(have[m]["n"]) if m in have else 1.0 for m in range(FOLDS + 1)]
+    rests = [have[m]["cut"] / have[m]["n"] if m in have else 1.0 for m in range(FOLDS + 1)]
+    spelled = texts.select("text").mapInArrow(_spell_words(shared), "w long, " + ", ".join(f"b{k} double" for k in range(FOLDS + 1)))
+    spelled = spelled.groupBy("w").agg(*[F.min(f"b{k}").alias(f"b{k}") for k in range(FOLDS + 1)])
+    spell = F.coalesce(_pick([F.col(f"b{k}") for k in range(FOLDS + 1)]), F.lit(0.0))  # the mark has no bytes
+    total, rest = _pick([F.lit(x) for x in totals]), _pick([F.lit(x) for x in rests])
+    own = F.log((F.col("n") - F.col("cut")) / total + rest * F.exp(-spell))
+    words = base.written(words.join(spelled, "w", "left").withColumn("unknown", F.log(rest) - spell).select(
+        "model", "w", F.when(F.col("n") > F.col("cut"), own).otherwise(F.col("unknown")).alias("log_p"), "unknown"), "words")
+    turn = F.shiftleft("v", 1).bitwiseOR(F.shiftrightunsigned("v", 63)).bitwiseXOR(F.col("w"))
+    tell = _pick([F.lit(m) for m in MODELS], "long")
+    lower = F.log("rest") + F.col("log_p")
+    seen_pair = F.log((F.col("n") - F.col("cut")) / F.col("total") + F.exp(lower))
+    two = pairs.join(left, ["model", "v"]).join(words, ["model", "w"]).select(
+        turn.bitwiseXOR(tell).alias("key"), F.when(F.col("n") > F.col("cut"), lower - seen_pair).otherwise(0.0).alias("value"))
+    one = words.join(left.withColumnRenamed("v", "w"), ["model", "w"], "left").select(
+        F.col("w").bitwiseXOR(F.lit(WORD)).bitwiseXOR(tell).alias("key"),
+        (F.col("unknown") - F.col("log_p") - F.coalesce(F.log("rest"), F.lit(0.0))).alias("value"))
+    return base.written(two.unionByName(one), "model"), [-float(np.log(x)) for x in rests]
+
+
+def _spelling_costs(shared, rests, size_name, cost_name):
+    """What a text costs before the join: its words' spelling, unknown words' share, and white space beyond one byte a word."""
     def score(batches):
         table, costs = classes(), shared.value
         for batch in batches:
             total, size = [], []
-            folds = batch.column("fold").to_numpy() if len(costs) > 1 else None
+            models = batch.column(batch.num_columns - 2).to_numpy()
             for block in W.blocks(batch.column(batch.num_columns - 1), W.SPACES):
-                codes = block_codes(block.data, block.bounds, table)
-                own = costs[0][codes] if folds is None else costs[np.repeat(folds[block.rows], np.diff(block.bounds)), codes]
-                sums = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
-                total.append(np.diff(sums[block.bounds]))
+                n, own = np.diff(block.first), np.zeros(len(block))
+                model, row = models[block.rows], block.word_rows()
+                codes, edge = _spelling(block, table)
+                rest = np.append(W.SPACES[block.data], False)  # white space but the one byte behind each word, if its text has one
+                ends = block.ends[~np.isin(block.ends, block.bounds)]
+                rest[ends] = False
+                rest = np.flatnonzero(rest[:-1])
+                spare = block_codes(block.data, block.bounds, table)[rest]
+                of = np.searchsorted(block.bounds, rest, "right") - 1
+                for m in np.unique(model):
+                    here = model == m
+                    mine = np.bincount(row, _spelled(codes, edge, costs[m]), len(block)) if len(row) else np.zeros(len(block))
+                    mine += np.bincount(of, costs[m][spare], len(block)) if len(of) else 0.0
+                    own[here] = (mine + np.where(n > 0, n + 1, 0) * rests[m])[here]
+                total.append(own)
                 size.append(np.diff(block.bounds))
             join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
@@ -176,15 +293,31 @@ def _score(shared, size_name, cost_name):
     return score
 
 
-def scored(docs: DataFrame, shared, size: str = "n_symbols", cost: str = "cost") -> DataFrame:
-    """Two more columns: symbols of each whole text and its summed minus log probability.
+def _keys(map_bits, shared):
+    """(tag, key, n): the different keys of each text that may be in the model."""
+    tell, shift = np.array(MODELS, np.uint64), np.uint64(64 - map_bits)
 
-    ``shared`` holds one table, or one for each value of the column ``fold``.
-    """
-    (text,) = base.unused(docs, "_text")
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{size}` long, `{cost}` double"])
-    rows = docs.select("*", F.col("text").alias(text))
-    return rows.mapInArrow(_score(shared, size, cost), schema)
+    def find(batches):
+        hasher, bits = W.Hasher(31), shared.value
+        for batch in batches:
+            tags, models = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in W.blocks(batch.column(2), W.SPACES):
+                before, word, row = _tokens(hasher, block)
+                pair = ((before << np.uint64(1)) | (before >> np.uint64(63))) ^ word
+                key, row = np.concatenate([word ^ np.uint64(WORD), pair]), np.concatenate([row, row])
+                key ^= tell[models[block.rows[row]]]
+                slot = (key >> shift).astype(np.int64)
+                may = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                key, row = key[may], row[may]
+                order = np.lexsort((key, row))
+                key, row = key[order], row[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                at = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tags[block.rows[row[at]]]), pa.array(key[at].view(np.int64)),
+                     pa.array(np.diff(np.append(at, len(key))).astype(np.int32))], ["tag", "key", "n"])
+    return find
 
 
 def _quantile(bins: DataFrame, by: list[str], quantile: float) -> DataFrame:
@@ -196,36 +329,65 @@ def _quantile(bins: DataFrame, by: list[str], quantile: float) -> DataFrame:
 
 
 class Classifier:
-    """The model, each language's mean and its threshold, fitted on the trusted rows among ``docs``.
+    """The model, each language's mean and its thresholds, fitted on the trusted rows among ``docs``.
 
     Only ``doc_id``, ``text`` and ``lang`` are read; ``trusted`` holds ids of trusted documents.  A null or empty text has
     no perplexity and is rejected.  Without any trusted text there is no threshold and every text with symbols stays.  A
     null language counts as the empty one.  Equal rows get equal results.
     """
 
-    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0):
-        self.prior = prior
+    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0,
+                 map_bits: int = 28):
+        self.prior, self.map_bits = prior, map_bits
         own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted).where("trusted").select(
-            "lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+            F.coalesce("lang", F.lit("")).alias("lang"), "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+        own = base.written(own, "trusted_texts")
         share, rows = docs.sparkSession.sparkContext.broadcast, train(counted(own)).toArrow()
-        self.cost = share(dense(rows)[None, :])
-        tables = np.empty((FOLDS, SYMBOLS**ORDER), np.float32)
-        for k in range(FOLDS):
-            tables[k] = dense(rows, k + 1)
-        others = share(tables)
+        tables = np.empty((FOLDS + 1, SYMBOLS**ORDER), np.float32)
+        for k in range(FOLDS + 1):
+            tables[k] = dense(rows, k)
+        every = share(tables)
+        self.cost = share(tables[:1].copy())
         del tables, rows
-        good = base.written(scored(own, others).drop("text"), "trusted").withColumn(
-            "lang", F.coalesce("lang", F.lit(""))).where("n_symbols > 0")
-        others.destroy()  # what it was for is written
+        self.values, self.rests = word_model(own, every)
+        self.map = share(anchor_map(self.values.select(F.col("key").alias("anchor")), map_bits))
+        both = own.select("lang", "text", F.explode(F.array(F.lit(0), F.col("fold") + 1)).alias("model"))
+        good = base.written(self._scored(both, every).where("n_symbols > 0"), "trusted")
+        every.destroy()  # what it was for is written
+        unseen = good.where("model > 0")
         mean = F.sum("cost") / F.sum("n_symbols")
-        self.means = base.written(good.groupBy("lang").agg(mean.alias("mean")), "means")
-        self.mean_all = base.written(good.agg(mean.alias("mean_all")), "mean")
-        rates = self._rated(good, "lang", "n_symbols", "cost").withColumn("bin", F.ceil(F.col("rate") * BINS))
-        binned = base.written(rates.groupBy("lang", "bin").agg(F.count("*").alias("n")), "bins")
+        self.means = base.written(unseen.groupBy("lang").agg(mean.alias("mean")), "means")
+        self.mean_all = base.written(unseen.agg(mean.alias("mean_all")), "mean")
         over = F.lit(float(np.log(slack)))
-        self.limits = base.written(_quantile(binned, ["lang"], quantile).select("lang", (F.col("limit") + over).alias("limit")), "limits")
+        rates = self._rated(good, "lang", "n_symbols", "cost")
+        self.limits, self.limit_all = self._limits(rates.where("model > 0"), F.ceil(F.col("rate") * BINS), quantile, over, "limit")
+        self.lows, self.low_all = self._limits(rates.where("model = 0"), F.floor(F.col("rate") * BINS), 1 - quantile, -over, "low")
+
+    def _limits(self, rates: DataFrame, bin_, quantile: float, over, name: str) -> tuple[DataFrame, DataFrame]:
+        binned = base.written(rates.withColumn("bin", bin_).groupBy("lang", "bin").agg(F.count("*").alias("n")), "bins")
+        by_lang = _quantile(binned, ["lang"], quantile).select("lang", (F.col("limit") + over).alias(name))
         every = binned.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("all", F.lit(1))
-        self.limit_all = base.written(_quantile(every, ["all"], quantile).select((F.col("limit") + over).alias("limit_all")), "limit")
+        for_all = _quantile(every, ["all"], quantile).select((F.col("limit") + over).alias(f"{name}_all"))
+        return base.written(by_lang, f"{name}s"), base.written(for_all, name)
+
+    def _scored(self, docs: DataFrame, shared, size: str = "n_symbols", cost: str = "cost") -> DataFrame:
+        """From the columns with ``text`` and ``model``: all but the text, and symbols and summed minus log probability of each."""
+        tag, model, text, spelled, more, own_tag = base.unused(docs, "_tag", "_model", "_text", "_spelled", "_more", "_own")
+        rows = docs.withColumns({tag: F.xxhash64("text", "model"), model: F.col("model"), text: F.col("text")})
+        sums = self._corrections(docs.select(F.xxhash64("text", "model").alias("tag"), "model", "text")).toDF(own_tag, more)
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        kept = [c for c in rows.columns if c not in ("text", text)]
+        schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{size}` long, `{spelled}` double"])
+        local = rows.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(_spelling_costs(shared, self.rests, size, spelled), schema)
+        return local.join(sums, F.col(tag) == F.col(own_tag), "left").withColumn(
+            cost, F.col(spelled) + F.coalesce(more, F.lit(0.0))).drop(tag, model, spelled, more, own_tag)
+
+    def _corrections(self, rows: DataFrame) -> DataFrame:
+        """(tag, value): what seen words and pairs change in the cost of a text, from (tag, model, text)."""
+        found = rows.mapInArrow(_keys(self.map_bits, self.map), "tag long, key long, n int")
+        sums = found.join(self.values, "key").groupBy("tag").agg(F.sum(F.col("n") * F.col("value")).alias("value"))
+        copies = rows.groupBy("tag").agg(F.count("*").alias("copies"))
+        return base.written(sums.join(copies, "tag").select("tag", F.col("value") / F.col("copies")), "costs")
 
     def _rated(self, rows: DataFrame, lang: str, size: str, cost: str) -> DataFrame:
         rows = rows.join(self.means.withColumnRenamed("lang", "_l"), F.coalesce(F.col(lang), F.lit("")) == F.col("_l"), "left")
@@ -234,28 +396,30 @@ class Classifier:
         return rows.withColumn("rate", F.when(F.col(size) > 0, (F.col(cost) + self.prior * mean) / (F.col(size) + self.prior))).drop(
             "_l", "mean", "mean_all")
 
+    def _judged(self, docs: DataFrame) -> DataFrame:
+        """doc_id, lang, tag, n_symbols, rate, most, least of (doc_id, lang, tag, text)."""
+        rows = self._rated(self._scored(docs.withColumn("model", F.lit(0)), self.cost), "lang", "n_symbols", "cost")
+        for own, every in ((self.limits, self.limit_all), (self.lows, self.low_all)):
+            rows = rows.join(own.withColumnRenamed("lang", "_l"), F.coalesce("lang", F.lit("")) == F.col("_l"), "left").drop("_l")
+            rows = rows.join(F.broadcast(every), how="left")
+        return rows.withColumns({"most": F.coalesce("limit", "limit_all"), "least": F.coalesce("low", "low_all")}).withColumn(
+            "kept", F.coalesce((F.col("rate") <= F.coalesce("most", F.lit(float("inf")))) & (F.col("rate") >= F.coalesce(
+                "least", F.lit(float("-inf")))), F.lit(False)))
+
     def judged(self, docs: DataFrame) -> DataFrame:
-        """doc_id, lang, n_symbols, perplexity, threshold, kept for every row; no text is shuffled."""
+        """doc_id, lang, n_symbols, perplexity, threshold, low_threshold, kept for every row; no text is shuffled."""
         own = base.only(docs, "doc_id", "lang", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-        rows = self._rated(scored(own, self.cost).drop("text"), "lang", "n_symbols", "cost")
-        rows = rows.join(self.limits.withColumnRenamed("lang", "_l"), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
-        rows = rows.join(F.broadcast(self.limit_all), how="left")
-        limit = F.coalesce("limit", "limit_all")
-        return rows.select(
-            "doc_id", "lang", "n_symbols", F.exp("rate").alias("perplexity"), F.exp(limit).alias("threshold"),
-            F.coalesce(F.col("rate") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept"))
+        return self._judged(own).select(
+            "doc_id", "lang", "n_symbols", F.exp("rate").alias("perplexity"), F.exp("most").alias("threshold"),
+            F.exp("least").alias("low_threshold"), "kept")
 
     def keep(self, docs: DataFrame) -> DataFrame:
-        """The documents that stay, all columns; filtered where they are read."""
-        size, cost, rate, limit, limit_all, lang = base.unused(docs, "_size", "_cost", "_rate", "_limit", "_limit_all", "_lang")
-        # Columns of the documents are set aside in one, so that none can clash.
-        rows = scored(docs, self.cost, size, cost).select(
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("lang").alias(lang), size, cost)
-        rows = self._rated(rows, lang, size, cost).withColumnRenamed("rate", rate)
-        rows = rows.join(self.limits.toDF("_l", limit), F.coalesce(F.col(lang), F.lit("")) == F.col("_l"), "left")
-        rows = rows.join(F.broadcast(self.limit_all.toDF(limit_all)), how="left")
-        most = F.coalesce(limit, limit_all, F.lit(float("inf")))
-        return rows.where(F.col(rate) <= most).select("row.*")
+        """The documents that stay, all columns.  Their text meets the verdicts by its hash and language."""
+        tag, lang = base.unused(docs, "_tag", "_lang")
+        own = base.only(docs, "lang", "text").withColumn("hash", F.xxhash64("text"))
+        kept = self._judged(own).where("kept").select(F.col("hash").alias(tag), F.coalesce("lang", F.lit("")).alias(lang)).distinct()
+        rows = docs.withColumns({tag: F.xxhash64("text"), lang: F.coalesce("lang", F.lit(""))})
+        return rows.join(kept, [tag, lang], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def trusted_ids(spark, sf_dir) -> DataFrame:

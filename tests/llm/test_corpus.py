@@ -64,6 +64,78 @@ def test_language_model_against_dictionaries(spark):
     assert np.exp(-cost.astype(float)).reshape(-1, size).sum(axis=1) == pytest.approx(1.0, abs=1e-5)
 
 
+def word_kneser_ney(texts, spell):
+    """Minus log probability of a text's words, by dictionaries; spell gives that of an unknown word's bytes."""
+    marked = [[None, *plain.words(t), None] for t in texts]
+    pairs = Counter(pair for own in marked for pair in zip(own, own[1:]))
+    after = Counter(w for _, w in pairs)
+
+    def cuts(seen):
+        c = [sum(v == k for v in seen.values()) for k in range(1, 5)]
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+        return [min(max(k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else k * 0.5, 0.1), k) for k in (1, 2, 3)]
+    two, one = cuts(pairs), cuts(after)
+    rest = sum(one[min(n, 3) - 1] for n in after.values()) / len(pairs)
+
+    def cost(text):
+        own, total = [None, *plain.words(text), None], 0.0
+        for v, w in zip(own, own[1:]):
+            p = rest * math.exp(-spell(w)) + (after[w] - one[min(after[w], 3) - 1] if after[w] else 0) / len(pairs)
+            seen = [n for (a, _), n in pairs.items() if a == v]
+            if seen:
+                n = pairs[v, w]
+                p = (n - two[min(n, 3) - 1] if n else 0) / sum(seen) + sum(two[min(k, 3) - 1] for k in seen) / sum(seen) * p
+            total -= math.log(p)
+        return total
+    return cost
+
+
+def test_word_model_against_dictionaries(spark):
+    rng = random.Random(3)
+    texts = [sentence(rng, 40, 12) for _ in range(12)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, sentence(rng, 20, 25), "en") for i in range(20)]
+    rows += [(200, rows[0][1] + " zzz zzz", "en"), (201, rows[0][1] + " zzz zzz", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = quality_lm.Classifier(docs, docs.where("doc_id < 12").select("doc_id"))
+    table, costs = quality_lm.classes(), model.cost.value[0]
+
+    def spell(word):
+        if word is None:
+            return 0.0
+        data = np.frombuffer(f" {word} ".encode(), np.uint8)
+        return float(costs[quality_lm.block_codes(data, np.array([0, len(data)]), table)][1:].sum())
+    cost = word_kneser_ney(texts, spell)
+    scored = model._scored(docs.withColumn("model", F.lit(0)), model.cost).collect()
+    assert len(scored) == len(rows)
+    assert {r["doc_id"]: r["cost"] for r in scored} == pytest.approx({i: cost(t) for i, t, _ in rows}, rel=1e-5)
+
+
+def test_classifier_sees_words_and_rejects_the_too_predictable(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)]
+    follows = {w: rng.sample(words, 6) for w in words}
+
+    def text():
+        own = [rng.choice(words)]
+        while len(own) < 80:
+            own += rng.choices(follows[own[-1]], (6, 3, 2, 2, 1, 1))
+        return " ".join(own)
+    rows = [(i, text(), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(80)), "en") for i in range(10)]     # known words in no order
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = quality_lm.Classifier(docs, docs.where("doc_id < 200").select("doc_id"))
+    got = {r["doc_id"]: r for r in model.judged(docs).collect()}
+    assert sum(got[i]["kept"] for i in range(200, 300)) >= 97 and not any(got[i]["kept"] for i in range(1000, 1010))
+    assert all(r["kept"] == (r["low_threshold"] <= r["perplexity"] <= r["threshold"]) for r in got.values())
+    pairs = Counter(p for r in rows[:200] for p in zip(r[1].split(), r[1].split()[1:]))
+    chain = [max(pairs, key=pairs.get)[0]]
+    while len(chain) < 400:  # always the most frequent follower: a short loop
+        chain.append(max(follows[chain[-1]], key=lambda w: pairs[chain[-1], w]))
+    loop = spark.createDataFrame([(1, " ".join(chain), "en")], "doc_id long, text string, lang string")
+    row = model.judged(loop).first()
+    assert row["perplexity"] < row["low_threshold"] and not row["kept"] and model.keep(loop).count() == 0
+
+
 def test_classifier_on_odd_rows(spark, odd, odd_rows, empty):
     trusted = spark.createDataFrame([(i,) for i in (*range(20), 5, 999, None)], "doc_id long")
     model = quality_lm.Classifier(odd, trusted)
