@@ -208,13 +208,13 @@ def _bucket_keys(radius: int):
                      for n, (i, j) in enumerate(itertools.combinations(range(blocks), 2))])
 
 
-def _dealt(keyed: DataFrame, shard: int) -> DataFrame:
-    """(key, i, j, shard, node): every pair of shards of every bucket with two nodes or more, from (key, node)."""
+def _dealt(keyed: DataFrame, shard: int, *more: str) -> DataFrame:
+    """(key, i, j, shard, node, *more): every pair of shards of every bucket with two nodes or more, from (key, node, *more)."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(
         "key", F.ceil(F.col("n") / shard).cast("long").alias("shards"))
     dealt = keyed.join(sizes, "key").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    return pairs.select("key", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "node")
+    return pairs.select("key", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "node", *more)
 
 
 def _linked(tasks: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
@@ -246,6 +246,7 @@ def grouped(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
 
 # Near-duplicates by similarity.  Texts of a shingle similarity of 0.8 are some 9 of 64 bits apart, too far for buckets of
 # equal blocks; their shards come from bands of minima of shingle hashes instead, and a link is verified on the shingles.
+# Bands are chance, and so is the radius: what they leave apart meets again, without loss, through prefixes of the sets.
 
 BANDS, ROWS = 12, 4
 _FACTORS = np.random.default_rng(3).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -290,7 +291,87 @@ def _band_rows(size):
     return run
 
 
-def _shingle_rows(size, map_bits, shared):
+def _shingle_counts(size, slot_bits):
+    """Shingles of a task by the first bits of their hashes: (slot, n)."""
+    def run(batches):
+        hasher, total, shift = W.Hasher(21), np.zeros(1 << slot_bits, np.int64), np.uint64(64 - slot_bits)
+        for batch in batches:
+            for block in W.blocks(batch.column(0), W.SPACES, lower=True, block_bytes=1_000_000):
+                slots, n = np.unique(_shingles(hasher, block, size)[0] >> shift, return_counts=True)
+                total[slots.astype(np.int64)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+    return run
+
+
+def _prefix_rows(size, similarity, slot_bits, shared):
+    """The shingles of each text's prefix: (node, key, n, left), n shingles in its set, left from this one on in the order."""
+    def run(batches):
+        hasher, counts, shift = W.Hasher(21), shared.value, np.uint64(64 - slot_bits)
+        for batch in batches:
+            for block in W.blocks(batch.column(1), W.SPACES, lower=True, block_bytes=1_000_000):
+                hashes, edge = _shingles(hasher, block, size)
+                keys, sizes, lefts, nodes = [], [], [], []
+                for i, (a, b) in enumerate(zip(edge, edge[1:])):
+                    own = np.unique(hashes[a:b])
+                    often = counts[(own >> shift).astype(np.int64)]
+                    n = len(own)
+                    first = np.lexsort((own, often))[:n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    left = n - np.arange(len(first))
+                    more = often[first] > 1  # what occurs once meets nothing
+                    keys.append(own[first][more])
+                    lefts.append(left[more])
+                    sizes.append(np.full(len(keys[-1]), n))
+                    nodes.append(np.full(len(keys[-1]), i))
+                row = np.concatenate(nodes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(block.rows[row])), pa.array(np.concatenate(keys).view(np.int64)),
+                     pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(lefts).astype(np.int32))],
+                    ["node", "key", "n", "left"])
+    return run
+
+
+def _verified(similarity):
+    def run(batches):
+        for batch in batches:
+            sets = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
+            yield batch.select([0, 1]).filter(pa.array([_alike(a, b, similarity) for a, b in zip(*sets)], pa.bool_()))
+    return run
+
+
+def _left_apart(own: DataFrame, roots: DataFrame, size: int, similarity: float, shard: int, map_bits: int, slot_bits: int = 20) -> DataFrame:
+    """All links (a, b) between texts that ``roots`` (node, root) has in different components; none is missed.
+
+    All shingles stand in one order: by how many shingles share their slot of a table of fixed size, then by hash.  Sets
+    alike by the similarity or more share one of the first n - ceil(similarity * n) + 1 shingles of both; from the first
+    they share, enough must be left on either side.  Any order finds all pairs; this one keeps buckets small.
+    """
+    spark = own.sparkSession
+    counts = np.zeros(1 << slot_bits, np.int64)
+    slots = own.select("text").mapInArrow(_shingle_counts(size, slot_bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    table = spark.sparkContext.broadcast(counts)
+    keyed = base.written(own.select("tag", "text").mapInArrow(
+        _prefix_rows(size, similarity, slot_bits, table), "node long, key long, n int, left int").distinct(), "prefixes")
+    rooted = keyed.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"), "n", "left")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    dealt = base.written(_dealt(rooted.join(mixed, "key"), shard, "root", "n", "left"), "apart")
+    sides = ["key", "i", "j"]
+    a = dealt.where("shard = i").select(*sides, F.struct("node", "root", "n", "left").alias("a"))
+    b = dealt.where("shard = j").select(*sides, F.struct("node", "root", "n", "left").alias("b"))
+    enough = F.least("a.left", "b.left") >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    pairs = base.written(a.join(b, sides).where((F.col("a.root") != F.col("b.root")) & enough).select(
+        F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("anchor"))
+    bits = spark.sparkContext.broadcast(anchor_map(nodes, map_bits))
+    sets = own.select("tag", "text").mapInArrow(
+        _shingle_rows(size, map_bits, bits, np.uint64), "node long, fp long, shingles binary").groupBy("node").agg(F.first("shingles").alias("s"))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return both.mapInArrow(_verified(similarity), "a long, b long")
+
+
+def _shingle_rows(size, map_bits, shared, kind=np.uint32):
     def run(batches):
         hasher, bits, shift = W.Hasher(21), shared.value, np.uint64(64 - map_bits)
         for batch in batches:
@@ -301,7 +382,7 @@ def _shingle_rows(size, map_bits, shared):
                 sets = [np.unique(hashes[a:b]) for a, b in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(block.rows)), pa.array([_set_print(own) for own in sets], pa.int64()),
-                     pa.array([np.unique(own.astype(np.uint32)).tobytes() for own in sets], pa.binary())], ["node", "fp", "shingles"])
+                     pa.array([np.unique(own.astype(kind)).tobytes() for own in sets], pa.binary())], ["node", "fp", "shingles"])
     return run
 
 
@@ -310,7 +391,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int
 
     Equal texts are one node.  Nodes meet in a bucket if one of 12 bands of four shingle minima is equal (at a
     similarity of 0.8, 998 pairs in 1,000 do), then in a BK-tree within ``radius`` bits (sets that alike are some 9 bits
-    apart, very small ones up to 20), and link if their whole shingle sets are alike.  Only texts that meet another are read a second time, found by a bit map of fixed size, whose false
+    apart, very small ones further), and link if their whole shingle sets are alike.  That joins most of what is alike; the
+    rest, whatever its bands and bits, is found among different components by ``_left_apart``.  Only texts that meet another are read a second time, found by a bit map of fixed size, whose false
     hits the join behind it drops.  Texts without words are one node's worth of equal sets.
     """
     spark = docs.sparkSession
@@ -324,6 +406,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int
     sets = read.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     tasks = dealt.join(sets, "node").select("key", "i", "j", "shard", "node", "fp", "shingles")
     roots = graph.components(_linked(tasks, radius, similarity))
+    more = _left_apart(own, roots, size, similarity, shard, map_bits)
+    roots = graph.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rows = own.select("doc_id", "tag")
     return rows.join(roots, rows["tag"] == roots["node"], "left").select("doc_id", "tag", F.coalesce("root", "tag").alias("root"))
 
