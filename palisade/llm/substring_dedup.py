@@ -1,4 +1,4 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by hashed windows behind a filter of seeds.
 
 A span is repeated when its ``length`` words also start earlier: in a document
 with a smaller id, or in the same document at a smaller place.
@@ -7,12 +7,12 @@ with a smaller id, or in the same document at a smaller place.
   run with the smallest hash in it (winnowing).  The choice depends on the
   window's words alone, so equal windows pick equal anchors, and a window whose
   anchor occurs once in the corpus cannot repeat.  About one run in seven is an anchor.
-* **Join on anchors.** Anchor hashes are counted over all documents.  Those that
+* **Filter.** Anchor hashes are counted over all documents.  Those that
   occur again go into a bit map of fixed size (``map_bits``).  It only saves work:
   a false hit costs rows and changes no result, also when the map fills up.
-* **Extend.** Round each repeated anchor the windows on both sides that picked it
-  are compared word by word (a 96-bit hash of all their words) with those of the
-  other documents; adjacent repeated windows join into maximal repeats.
+* **Windows.** The windows that picked a repeated anchor are grouped by a 96-bit hash
+  of all their words, each by itself; anchors are not joined and nothing is extended.
+  Adjacent repeated windows cover what is removed (``maximal_repeats`` joins them).
 
 A passage that many documents share costs one row per task and window: each task
 keeps its earliest place of every window and settles the others at once, so no
