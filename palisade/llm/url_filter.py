@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features.
 
 Built from DataFrame functions and Spark's own tree learner alone.  URLs that a rule fits are the labelled ones; the trees are
-trained on at most ``sample`` of them (a documented bound: those with the smallest hash) and judge the URLs no rule fits.
+trained on at most ``sample`` different ones (a documented bound: half from each label, those with the smallest hash, weighted by their rows) and judge the URLs no rule fits.
 
 Features: length, path depth, share of digits, entropy of the characters, number of query parameters, length of the host,
 and suffix statistics: the smoothed share of blocked URLs per top-level label and per last two labels of the host, counted
@@ -86,12 +86,15 @@ def judged(pages: DataFrame, rules=RULES, sample: int = 20_000, trees: int = 15,
     for suffix, name in (("top", "f_top"), ("domain", "f_domain")):
         rows = rows.join(suffix_statistics(rows, suffix, name), suffix, "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
     label = (F.col("ruled") == "block").cast("double").alias("label")
-    known = rows.where("ruled is not null").select(*FEATURES, label, F.xxhash64("url").alias("h"), "url")
-    known = base.written(known.orderBy("h", "url").limit(sample).drop("h", "url"), "labelled")
+    urls = rows.where("ruled is not null").groupBy("url").agg(
+        *[F.first(c).alias(c) for c in FEATURES], F.first(label).alias("label"), F.count("*").cast("double").alias("weight"))
+    urls = urls.withColumn("h", F.xxhash64("url"))
+    half = [urls.where(F.col("label") == x).orderBy("h", "url").limit(sample // 2).drop("h", "url") for x in (0.0, 1.0)]
+    known = base.written(half[0].unionByName(half[1]), "labelled")
     kinds = [r["label"] for r in known.select("label").distinct().collect()]
     if len(kinds) == 2:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, cacheNodeIds=False).fit(vectors.transform(known))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, cacheNodeIds=False, weightCol="weight").fit(vectors.transform(known))
         scored = model.transform(vectors.transform(rows))
         scored = scored.withColumn("blocked", F.col("prediction") == 1.0)
     else:

@@ -19,3 +19,13 @@ def test_every_pair_at_the_similarity_shares_a_root(spark):
     got = {r["doc_id"]: r["root"] for r in simhash.similar(docs).collect()}
     assert [i for i in range(3000) if got[2 * i] != got[2 * i + 1]] == []
     assert len(set(got.values())) == 3000
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    hot = [(i, "https://a.example.org/es/1") for i in range(300)]
+    rest = [(1000 + i, f"https://w{i}.org/{i}") for i in range(60)] + [(2000 + i, f"https://b.com/de/{i}?x={i}") for i in range(60)]
+    asked = [(3000, "https://w1.net/5"), (3001, "https://b.com/xx/5?x=5")]
+    for hot_url in (hot, [(i, "https://b.org/1") for i in range(300)]):
+        pages = spark.createDataFrame(hot_url + rest + asked, "page_id long, url string")
+        rows = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, sample=40, trees=3).collect()}
+        assert (rows[3000], rows[3001]) == ("allow", "block")
