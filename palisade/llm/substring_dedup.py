@@ -86,7 +86,7 @@ def _candidates(length, seed, map_bits, shared):
     def settle(parts):
         """Earliest place of each window in this task goes on; the others are repeated for certain."""
         h, check, doc, tag, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((pos, tag, doc, check, h))
+        order = np.lexsort((pos, tag, doc, doc == base.NO_ID, check, h))  # null ids come last
         h, check, doc, tag, pos = h[order], check[order], doc[order], tag[order], pos[order]
         sure = np.zeros(len(h), bool)
         sure[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])

@@ -29,3 +29,10 @@ def test_a_hot_url_does_not_fill_the_sample(spark):
         pages = spark.createDataFrame(hot_url + rest + asked, "page_id long, url string")
         rows = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, sample=40, trees=3).collect()}
         assert (rows[3000], rows[3001]) == ("allow", "block")
+
+
+def test_a_null_id_comes_last_inside_a_task_too(spark):
+    passage = sentence(random.Random(2), 30, 10**6)
+    docs = spark.createDataFrame([(None, f"{passage} x"), (7, f"y {passage}")], "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert rows == {7: 0, None: 30}
