@@ -71,14 +71,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _cooldown(key, batches, state: GroupState):
-    """Alerts of one rule and source in time order; the last one sent, and the longest gap so far, are the state.
+    """Alerts of one rule and source in time order; the last one sent is the state.  It stays: a later alert's gap may be any.
 
     An alert is sent if its second less its gap reaches the last one sent.
     """
-    if state.hasTimedOut:  # whatever comes now is later than the longest gap allows for
-        state.remove()
-        return
-    last, longest = state.get if state.exists else (-(1 << 62), 0)
+    (last,) = state.get if state.exists else (-(1 << 62),)
     rows = pd.concat(list(batches)).sort_values("second")
     seconds = rows["second"].to_numpy()
     reach = np.maximum.accumulate(seconds - rows["gap"].to_numpy())
@@ -87,9 +84,7 @@ def _cooldown(key, batches, state: GroupState):
         last = int(seconds[at])
         kept.append(last)
         at = int(np.searchsorted(reach, last))
-    longest = max(longest, int(rows["gap"].max()))
-    state.update((last, longest))
-    state.setTimeoutTimestamp(max((last + longest) * 1000, state.getCurrentWatermarkMs() + 1))
+    state.update((last,))
     yield pd.DataFrame({"config_id": key[0], "source_id": key[1], "second": pd.Series(kept, dtype="int64")})
 
 
@@ -97,15 +92,15 @@ def cooldown_stream(alerts: DataFrame, time: str = "sent_at", delay: str = "1 ho
     """Seconds at which each rule and source sends; needs ``config_id, source_id, cooldown_minutes``.
 
     Alerts of one second collapse before the stateful step, so a burst does not reach it; alerts later than the watermark are
-    dropped there.  State leaves once the watermark is a cooldown past the last alert sent.
+    dropped there.  State is one number per rule and source and does not expire.
     """
     timed = alerts.withColumns({
         "second": F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1000000).cast("bigint"),
         "gap": (F.col("cooldown_minutes") * 60).cast("bigint")})
     once = timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["config_id", "source_id", "second"])
     return once.groupBy("config_id", "source_id").applyInPandasWithState(
-        _cooldown, "config_id string, source_id string, second bigint", "last bigint, longest bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _cooldown, "config_id string, source_id string, second bigint", "last bigint", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
