@@ -134,9 +134,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks_of(benchmark: DataFrame, block_bytes: int):
-    """Items (name, text) in blocks of about ``block_bytes``, each read only when its turn comes."""
+    """Different items (name, text) in blocks of about ``block_bytes``, each read only when its turn comes."""
     own = base.only(benchmark, "item_id", "text").select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(-(-total // block_bytes)) or 1
     for k in range(n):

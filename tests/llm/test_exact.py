@@ -69,3 +69,9 @@ def test_a_longer_gap_of_a_later_alert_holds():
         batch = pd.DataFrame({"second": [second], "gap": [minutes * 60]})
         sent += [s for out in streams._cooldown((1, 1), iter([batch]), state) for s in out["second"]]
     assert sent == [0, 1900]
+
+
+def test_repeated_items_do_not_fill_a_block(spark):
+    items = spark.createDataFrame([(1, "one two three four five")] * 500 + [(i, f"item {i}") for i in range(20)], "item_id long, text string")
+    blocks = [own for _, own in decontaminate._blocks_of(items, 100)]
+    assert sum(map(len, blocks)) == 21 and max(len(t) for own in blocks for t in [" ".join(x for _, x in own)]) < 200
