@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palisade.llm import (
-    decontaminate, licenses, mixing, quality_lm, quality_rules, sharding, simhash, substring_dedup, token_counts, url_filter)
+    byte_bpe, decontaminate, licenses, mixing, quality_lm, quality_rules, sharding, simhash, substring_dedup, token_counts, url_filter)
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op13_byte_bpe": byte_bpe.op13,
 }
 
 ORACLES = {
