@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
-from array import array
 from itertools import islice
 
 import numpy as np
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.llm import base, words as W
 
-#: Pieces of a long text that are looked up together, and merged pieces in each of the two generations that a Python worker remembers.
-PIECES, MEMORY = 200_000, 250_000
+#: Bytes of text, or pieces of a longer text, that are looked up together; merged pieces that a Python worker remembers (some 60 bytes each).
+BLOCK_BYTES, PIECES, MEMORY = 4_000_000, 500_000, 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,11 +73,49 @@ class PerfectHash:
         return np.where(shift < 0, -1 - shift, self._slots(hashes, np.maximum(shift, 0)))
 
 
-def _gather(values, starts, lengths, index):
-    """values[starts[i]:starts[i] + lengths[i]] for every i of the index, end to end."""
-    n = lengths[index]
+def _places(starts, lengths, index):
+    """starts[i], ..., starts[i] + lengths[i] - 1 for every i of the index, end to end."""
+    n = lengths[index].astype(np.int64)
     ends = np.cumsum(n)
-    return values[np.repeat(starts[index] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    return np.repeat(starts[index] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _gather(values, starts, lengths, index):
+    return values[_places(starts, lengths, index)]
+
+
+class Remembered:
+    """Ids of merged pieces, in runs sorted by hash; runs of like size are joined, so a piece is looked up in few of them."""
+
+    def __init__(self):
+        self.runs = []
+
+    def find(self, pieces: pa.Array, hashes: np.ndarray):
+        """Per run: which pieces it knows, the ids of its pieces, and where and how many those of each known piece are."""
+        left = np.arange(len(hashes))
+        for known, own, ids, starts, n in self.runs:
+            at = np.minimum(np.searchsorted(known, hashes[left]), len(known) - 1)
+            hit = known[at] == hashes[left]
+            hit[hit] = pc.equal(own.take(pa.array(at[hit])), pieces.take(pa.array(left[hit]))).to_numpy(zero_copy_only=False)
+            yield left[hit], ids, starts[at[hit]], n[at[hit]]
+            left = left[~hit]
+
+    def add(self, pieces: pa.Array, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Pieces that no run has; beyond MEMORY of them everything is forgotten, which costs time and no result."""
+        if not len(hashes):
+            return
+        if sum(len(r[0]) for r in self.runs) + len(hashes) > MEMORY:
+            self.runs = []
+        self.runs.append(self._sorted(hashes, pieces, ids, np.cumsum(n) - n, n))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            b, a = self.runs.pop(), self.runs.pop()
+            self.runs.append(self._sorted(np.concatenate([a[0], b[0]]), pa.concat_arrays([a[1], b[1]]), np.concatenate([a[2], b[2]]),
+                                          np.concatenate([a[3], b[3] + len(a[2])]), np.concatenate([a[4], b[4]])))
+
+    @staticmethod
+    def _sorted(hashes, pieces, ids, starts, n):
+        order = np.argsort(hashes)
+        return hashes[order], pieces.take(pa.array(order)), ids.astype(np.int32), starts[order].astype(np.int32), n[order].astype(np.int32)
 
 
 class Vocabulary:
@@ -92,50 +129,57 @@ class Vocabulary:
         self.tokens, self.ranks = tokens.take(pa.array(back)), np.fromiter(ranks.values(), np.int64, len(ranks))[back]
         self.by_rank = np.full(int(self.ranks.max(initial=-1)) + 1, -1)
         self.by_rank[self.ranks] = np.arange(len(self.ranks))
-        self._merge_ranks, self._young, self._old = None, {}, {}
+        self._merge_ranks, self._known = None, Remembered()
 
     def __getstate__(self):
-        return self.__dict__ | {"_merge_ranks": None, "_young": {}, "_old": {}}
+        return self.__dict__ | {"_merge_ranks": None, "_known": Remembered()}
 
     def _hashes(self, pieces: pa.Array) -> np.ndarray:
         data, bounds = W.column_bytes(pieces)
         return self.hasher.words(W.Block(None, data, bounds, bounds[:-1], bounds[1:], None)) if len(pieces) else np.zeros(0, np.uint64)
 
-    def whole(self, pieces: pa.Array) -> np.ndarray:
+    def whole(self, pieces: pa.Array, hashes: np.ndarray | None = None) -> np.ndarray:
         """The rank of each piece that is a token, else -1."""
         if not len(self.tokens):
             return np.full(len(pieces), -1)
-        slots = self.perfect.slots(self._hashes(pieces))
+        slots = self.perfect.slots(self._hashes(pieces) if hashes is None else hashes)
         return np.where(pc.equal(self.tokens.take(pa.array(slots)), pieces).to_numpy(zero_copy_only=False), self.ranks[slots], -1)
 
-    def merged(self, piece: bytes) -> bytes:
-        """Ids (four bytes each) of the parts that are left when no neighbouring pair is a token; the latest pieces are remembered."""
-        ids = self._young.get(piece)
-        if ids is None:
-            if self._merge_ranks is None:
-                self._merge_ranks = dict(zip(self.tokens.to_pylist(), self.ranks.tolist()))
-            ids = self._old.get(piece)
-            if ids is None:
-                ids = array("i", merge(piece, self._merge_ranks)).tobytes()
-            if len(self._young) >= MEMORY:
-                self._young, self._old = {}, self._young
-            self._young[piece] = ids
-        return ids
+    def merged(self, pieces: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are no tokens, end to end, and the number of each; merges those not remembered."""
+        if self._merge_ranks is None:
+            self._merge_ranks = dict(zip(self.tokens.to_pylist(), self.ranks.tolist()))
+        n, parts, new = np.zeros(len(hashes), np.int64), [], np.ones(len(hashes), bool)
+        for at, ids, starts, sizes in self._known.find(pieces, hashes):
+            n[at], new[at] = sizes, False
+            parts.append((at, _gather(ids, starts, sizes, np.arange(len(at)))))
+        at = np.flatnonzero(new)
+        if len(at):
+            own = pieces.take(pa.array(at))
+            lists = [merge(p, self._merge_ranks) for p in own.to_pylist()]
+            n[at] = [len(x) for x in lists]
+            ids = np.fromiter((i for x in lists for i in x), np.int32, int(n[at].sum()))
+            parts.append((at, ids))
+            self._known.add(own, hashes[at], ids, n[at])
+        flat, starts = np.zeros(int(n.sum()), np.int32), np.cumsum(n) - n
+        for at, ids in parts:
+            flat[_places(starts, n, at)] = ids
+        return flat, n
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces end to end, and the number of ids of each piece."""
         coded = pa.array(pieces, pa.large_string()).dictionary_encode()
         different = coded.dictionary.cast(pa.large_binary()).cast(pa.binary())
-        ids = self.whole(different)
+        hashes = self._hashes(different)
+        ids = self.whole(different, hashes)
         n = np.ones(len(ids), np.int64)
         misses = np.flatnonzero(ids < 0)
-        parts = [self.merged(p) for p in different.take(pa.array(misses)).to_pylist()]
-        n[misses] = [len(p) // 4 for p in parts]
+        merged, n[misses] = self.merged(different.take(pa.array(misses)), hashes[misses])
         starts = np.cumsum(n) - n
-        flat = np.repeat(ids, n)
-        flat[np.repeat(ids < 0, n)] = np.frombuffer(b"".join(parts), np.int32)
+        flat = np.repeat(ids, n).astype(np.int32)
+        flat[np.repeat(ids < 0, n)] = merged
         index = coded.indices.to_numpy(zero_copy_only=False)
-        return _gather(flat, starts, n, index).astype(np.int32), n[index]
+        return _gather(flat, starts, n, index), n[index]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids end to end, and the number of bytes of each."""
@@ -189,11 +233,11 @@ def _binaries(data: np.ndarray, lengths) -> pa.Array:
 
 
 def _blocks(texts: pa.Array):
-    """Slices of a column of about ``BLOCK_BYTES`` of text; a longer text is a slice of its own."""
+    """Slices of a column of at most ``BLOCK_BYTES`` of text; a longer text is a slice of its own."""
     _, bounds = W.column_bytes(texts)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + W.BLOCK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES, "right")) - 1)
         yield at, to
         at = to
 
@@ -247,6 +291,12 @@ class Codec:
         key = docs.schema["doc_id"].dataType.simpleString()
         return base.only(docs, "doc_id", "text").mapInArrow(_encode(self.shared, self.pattern), f"doc_id {key}, ids array<int>")
 
+    def round_trip(self, docs: DataFrame) -> DataFrame:
+        """``decoded(encoded(docs))`` in one stage."""
+        key, encode, decode = docs.schema["doc_id"].dataType.simpleString(), _encode(self.shared, self.pattern), _decode(self.shared)
+        return base.only(docs, "doc_id", "text").mapInArrow(lambda batches: decode(encode(batches)),
+                                                            f"doc_id {key}, ids array<int>, decoded binary")
+
     def decoded(self, encoded: DataFrame) -> DataFrame:
         """doc_id, ids and decoded (binary) for every row; null ids decode to no bytes, and an id without a token is an error."""
         key = encoded.schema["doc_id"].dataType.simpleString()
@@ -257,7 +307,7 @@ def op13(spark, sf_dir):
     import public_tokenizers
 
     codec = Codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = codec.decoded(codec.encoded(base.table(spark, sf_dir, "documents")))
+    rows = codec.round_trip(base.table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

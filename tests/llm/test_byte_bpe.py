@@ -52,15 +52,18 @@ def test_merges_follow_rank_then_place(ranks, library):
             assert byte_bpe.merge(piece, ranks) == library._core_bpe.encode_single_piece(piece)
 
 
-def test_a_small_memory_changes_nothing(ranks, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "MEMORY", 3)
-    v, pieces = byte_bpe.Vocabulary(ranks), [f"zqx{i % 11}vj" for i in range(200)]
-    ids, n = v.encode(pieces)
-    assert ids.tolist() == [i for p in pieces for i in library._core_bpe.encode_single_piece(p.encode())] and n.sum() == len(ids)
+@pytest.mark.parametrize("memory", [3, 20, 1000])
+def test_what_is_remembered_changes_nothing(memory, ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMORY", memory)
+    v = byte_bpe.Vocabulary(ranks)
+    for most in (1, 11, 40, 40, 3):  # pieces known and new, side by side
+        pieces = [f"zqx{i * i % most}vj" for i in range(60)] + [" the"]
+        ids, n = v.encode(pieces)
+        assert ids.tolist() == [i for p in pieces for i in library._core_bpe.encode_single_piece(p.encode())] and n.sum() == len(ids)
 
 
 def test_odd_rows(odd, odd_rows, codec, library):
-    got = sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in codec.decoded(codec.encoded(odd)).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in codec.round_trip(odd).collect()), key=repr)
     want = sorted(((d, library.encode_ordinary(t or ""), (t or "").encode()) for d, t, _, _ in odd_rows), key=repr)
     assert got == want
 
