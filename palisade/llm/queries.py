@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palisade.llm import (
-    byte_bpe, conversation_repair, decontaminate, licenses, mixing, quality_lm, quality_rules, sharding, simhash,
+    byte_bpe, conversation_repair, decontaminate, licenses, mixing, prefix_trie, quality_lm, quality_rules, sharding, simhash,
     substring_dedup, token_counts, url_filter)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_prefix_trie": prefix_trie.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_byte_bpe": byte_bpe.op13,
 }
