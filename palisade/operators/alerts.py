@@ -148,42 +148,73 @@ def whole_seconds(time: Column, kind: str) -> Column:
 
 
 NEVER = -(1 << 62)
+#: Fixed value: the cooldown of an alert that names none.
+DEFAULT_MINUTES = 30
 
 
-def apply_cooldown(alerts: DataFrame, chunk_seconds: int = 604800, block: int = 64) -> DataFrame:
+def gap_seconds(minutes: Column) -> Column:
+    """An alert's cooldown in seconds: null is the default, 0 or less none (the alert is sent and holds no other back)."""
+    return (F.coalesce(minutes, F.lit(DEFAULT_MINUTES)) * 60).cast("bigint")
+
+
+def apply_cooldown(alerts: DataFrame, chunk_seconds: int = 604800, block: int = 64, whole: int = 200_000) -> DataFrame:
     """Alerts that are sent: each at least its own ``cooldown_minutes`` after the last one sent.
 
     Needs ``config_id, source_id, sent_at, cooldown_minutes``.  Time counts in whole seconds; of several alerts in one
-    second the one with the shortest cooldown, then the least row, stands for all.  An alert without a cooldown is sent
-    and holds no other back.
+    second the one with the shortest cooldown, then the least row, stands for all.  A null cooldown is one of half an hour; an alert
+    whose cooldown is 0 or less is sent and holds no other back.
 
-    The decision depends on the previous one, yet no key is handled by one task: its time is cut into chunks of a week,
+    The decision depends on the previous one.  A key of at most ``whole`` seconds is replayed as it is.  No larger key is handled by
+    one task: its time is cut into chunks of a week,
     at least of the key's longest cooldown, each summarised on its own as a step function; the functions of ``block`` chunks become one,
     those of the blocks are walked, then the chunks of each block, and the chunks are replayed in parallel.  The rows per
     second are written to the shared folder once and read for every step.
     """
     cols, types = alerts.columns, {f.name: f.dataType.simpleString() for f in alerts.schema}
     key = ["config_id", "source_id"]
-    free = F.col("cooldown_minutes") <= 0
+    gap = gap_seconds(F.col("cooldown_minutes"))
     rest = [c for c in cols if c not in key]
-    entry = F.struct((F.col("cooldown_minutes") * 60).cast("bigint").alias("_gap"), *rest)
+    entry = F.struct(gap.alias("_gap"), *rest)
     # Alerts without a cooldown stay apart by a number of their own; the others meet in their second.
-    own = F.when(free, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    own = F.when(gap <= 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
     seconds = alerts.withColumns({"_second": whole_seconds(F.col("sent_at"), types["sent_at"]), "_own": own})
     rows = seconds.groupBy(*key, "_second", "_own").agg(F.min(entry).alias("row")).select(
         *key, F.col("_second").alias("second"), F.col("row._gap").alias("gap"), "row", (F.col("_own") >= 0).alias("free"))
     rows = written(rows, "alerts")
-    widths = rows.where("not free").groupBy(*key).agg(F.greatest(F.lit(chunk_seconds), F.max("gap")).cast("bigint").alias("width"))
-    timed = rows.where("not free").join(widths, key).withColumn("chunk", F.floor(F.col("second") / F.col("width")).cast("bigint"))
-    slim = written(timed.select(*key, "chunk", "second", "gap", "width"), "seconds")
+    timed = rows.where("not free").select(*key, "second", "gap")
     named = ", ".join(f"{c} {types[c]}" for c in key)
+    large = timed.groupBy(*key).agg(F.count("*").alias("_n"), F.greatest(F.lit(chunk_seconds), F.max("gap")).cast("bigint").alias("width")).where(
+        F.col("_n") > whole).drop("_n")
+    large = written(large, "large")
+    once = timed.withColumn("carried", F.lit(NEVER))
+    if large.isEmpty():
+        kept = once.groupBy(*key).applyInPandas(_replay, f"{named}, second bigint")
+    else:
+        kept = once.join(large.select(*key), _same(once, large, key), "left_anti").groupBy(*key).applyInPandas(
+            _replay, f"{named}, second bigint").unionByName(_replay_in_chunks(timed, large, key, named, block))
+    kept = kept.withColumnsRenamed({c: f"_{c}" for c in key})
+    same = [rows[c].eqNullSafe(kept[f"_{c}"]) for c in key]
+    sent = rows.where("not free").join(kept.withColumnRenamed("second", "_second"), [*same, F.col("second") == F.col("_second")], "left_semi")
+    return sent.unionByName(rows.where("free")).select(*key, *[F.col(f"row.`{c}`").alias(c) for c in rest]).select(*cols)
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> list[Column]:
+    """Equality in which null meets null."""
+    return [a[c].eqNullSafe(b[c]) for c in names]
+
+
+def _replay_in_chunks(timed: DataFrame, large: DataFrame, key: list[str], named: str, block: int) -> DataFrame:
+    timed = timed.join(large, _same(timed, large, key)).select(
+        *[timed[c] for c in key], F.floor(F.col("second") / F.col("width")).cast("bigint").alias("chunk"), "second", "gap", "width")
+    slim = written(timed, "seconds")
     steps = "enter array<bigint>, leave array<bigint>"
     chunks = written(slim.groupBy(*key, "chunk").applyInPandas(_chunk_plan, f"{named}, chunk bigint, {steps}").withColumn(
         "block", F.floor(F.col("chunk") / block).cast("bigint")), "chunks")
     blocks = chunks.groupBy(*key, "block").applyInPandas(_block_plan, f"{named}, block bigint, {steps}")
     before = blocks.withColumn("carried", F.lit(NEVER)).groupBy(*key).applyInPandas(_walk("block"), f"{named}, block bigint, carried bigint")
-    carried = chunks.join(before, [*key, "block"]).groupBy(*key, "block").applyInPandas(
+    carried = chunks.join(before, [*_same(chunks, before, key), chunks["block"] == before["block"]]).select(
+        *[chunks[c] for c in (*key, "chunk", "enter", "leave", "block")], "carried").groupBy(*key, "block").applyInPandas(
         _walk("chunk"), f"{named}, chunk bigint, carried bigint")
-    kept = slim.join(carried, [*key, "chunk"]).groupBy(*key, "chunk").applyInPandas(_replay, f"{named}, second bigint")
-    sent = rows.where("not free").join(kept, [*key, "second"], "left_semi")
-    return sent.unionByName(rows.where("free")).select(*key, *[F.col(f"row.`{c}`").alias(c) for c in rest]).select(*cols)
+    replayed = slim.join(carried, [*_same(slim, carried, key), slim["chunk"] == carried["chunk"]]).select(
+        *[slim[c] for c in (*key, "chunk", "second", "gap")], "carried")
+    return replayed.groupBy(*key, "chunk").applyInPandas(_replay, f"{named}, second bigint")

@@ -264,21 +264,6 @@ def keyword_findings(text: Column, keywords) -> Column:
     return let(F.lower(text), lambda t: F.filter(F.array(*[F.lit(k) for k in words]), lambda k: F.contains(t, F.lower(k))))
 
 
-def keyword_table_findings(pages: DataFrame, keywords: DataFrame, text: str = "text", keys=("doc_id", "page_num"),
-                           block: int = 2000) -> DataFrame:
-    """(keys, keyword) for a table of keywords (column ``keyword``) of any size.
-
-    Keywords are gathered into blocks of about ``block``; every block meets every page once, which costs a row per page
-    and block and no comparison beyond keywords times pages.  Blank keywords are passed over, repeats count once.
-    """
-    words = keywords.select("keyword").where(F.length(strip(F.col("keyword"))) > 0).distinct()
-    n = max(1, -(-words.count() // block))
-    blocks = words.groupBy(F.pmod(F.xxhash64("keyword"), F.lit(n)).alias("_b")).agg(
-        F.collect_list(F.struct("keyword", F.lower("keyword").alias("low"))).alias("_words")).drop("_b")
-    hits = let(F.lower(F.col(text)), lambda t: F.filter("_words", lambda w: F.contains(t, w["low"])))
-    return pages.select(*keys, text).join(blocks).select(*keys, F.explode(hits).alias("w")).select(*keys, F.col("w.keyword").alias("keyword"))
-
-
 def custom_keyword_findings(text: Column, keywords) -> Column:
     """Keywords as findings, in the order given, at the first place each stands."""
     words = [k for k in dict.fromkeys(keywords) if k.strip()]

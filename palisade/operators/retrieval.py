@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.functions.shared import written
 from palisade.operators import store
 
 META = ("source_id", "source_name", "scan_id", "entity_name", "check_type", "risk_level", "flag_category")
@@ -126,23 +130,82 @@ def top_k_by(index: DataFrame, queries: DataFrame, on: str, k: int = 5, vector:
 
 
 def top_k_all(index: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", id_col: str = "id",
-              parts: int = 64, block: int = 256) -> DataFrame:
+              max_bytes: int = 32_000_000) -> DataFrame:
     """Many queries at once against every row of the index.
 
-    ``queries``: ``query_id, query_vector``.  Queries are gathered into blocks of about ``block`` and every block is sent to
-    every part of the index, so a task compares one part with one block after the other, by matrix products; of each
-    (part, block) only the best k rows per query leave it.
+    ``queries``: ``query_id, query_vector``.  Queries go in blocks of at most ``max_bytes`` by a count of theirs; each block is sent
+    to the tasks, which stream their part of the index past it, batch by batch, by matrix products.  A task holds the best k
+    rows per query and nothing else of the index.  Of several blocks one is there at a time, and what it found is written.
     """
-    number = F.xxhash64("query_id")
-    count = queries.count()
-    blocks = queries.groupBy(F.pmod(number, F.lit(max(1, -(-count // block)))).alias("_block")).agg(
-        F.collect_list(F.struct("query_id", "query_vector")).alias("_queries"))
-    copies = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    rows = index.where(F.col(vector).isNotNull()).select(id_col, vector, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_part"))
+    spark, asked = index.sparkSession, queries.where("query_vector IS NOT NULL").select("query_id", "query_vector")
+    numbers = asked.agg(F.sum(F.size("query_vector") * 8 + 64)).first()[0] or 0
+    parts = max(1, -(-int(numbers) * 5 // (max_bytes * 4)) if numbers > max_bytes else 1)  # a quarter's room for uneven hashes
+    rows = index.where(F.col(vector).isNotNull()).select(id_col, vector)
     ids, keys = (d.schema[c].dataType.simpleString() for d, c in ((index, id_col), (queries, "query_id")))
-    near = rows.groupBy("_part").cogroup(copies.groupBy("_part")).applyInPandas(
-        _search(k, vector, id_col), f"query_id {keys}, {id_col} {ids}, distance double, _part long")
-    return _shown(_best(near.drop("_part"), k, id_col, "query_id"))
+    found = []
+    for part in range(parts):
+        own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        block = spark.sparkContext.broadcast(_Block(own.toArrow()))
+        near = rows.mapInArrow(_stream(block, k), f"query_id {keys}, {id_col} {ids}, distance double")
+        if parts > 1:
+            near = written(near, "near")
+            block.destroy()
+        found.append(near)
+    return _shown(_best(reduce(DataFrame.unionByName, found), k, id_col, "query_id"))
+
+
+def unit_vectors(column) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Places of the vectors of each length, and those vectors at length 1; without null vectors or components and zeros."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    places, units = {}, {}
+    for size in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == size)
+        values = column.take(pa.array(at)).flatten()
+        values = pc.fill_null(values.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(len(at), size)
+        norms = np.sqrt((values * values).sum(1))
+        good = np.isfinite(norms) & (norms > 0)
+        if good.any():
+            places[size], units[size] = at[good], values[good] / norms[good, None]
+    return places, units
+
+
+class _Block:
+    """Queries of one block: ids, and the unit vectors of each length."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.ids = rows.column("query_id").combine_chunks()
+        self.places, self.units = unit_vectors(rows.column("query_vector").combine_chunks())
+
+
+def _stream(block, k: int, slab: int = 512):
+    """The best k rows of this task for each query of the block."""
+    def search(batches):
+        queries, best, names, id_type = block.value, pd.DataFrame({"q": [], "d": [], "id": []}), None, None
+        kth = np.full(len(queries.ids), np.inf)
+        for batch in batches:
+            names, id_type = batch.schema.names, batch.schema.field(0).type
+            ids = np.array(batch.column(0).to_pylist(), dtype=object)
+            places, units = unit_vectors(batch.column(1))
+            new = []
+            for size in set(places) & set(queries.places):
+                for at in range(0, len(queries.places[size]), slab):
+                    own = queries.places[size][at:at + slab]
+                    far = 1 - queries.units[size][at:at + slab] @ units[size].T
+                    most = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(own), np.inf)
+                    q, row = np.nonzero(far <= np.minimum(most, kth[own])[:, None])
+                    new.append(pd.DataFrame({"q": own[q], "d": far[q, row], "id": ids[places[size][row]]}))
+            if new:
+                best = pd.concat([best, *new]) if len(best) else pd.concat(new)
+                best = best.sort_values(["q", "d", "id"]).groupby("q").head(k)
+                full = best.groupby("q")["d"].agg(["size", "max"])
+                full = full[full["size"] == k]
+                kth[full.index.to_numpy().astype(int)] = full["max"].to_numpy()
+        if len(best):
+            yield pa.RecordBatch.from_arrays(
+                [queries.ids.take(pa.array(best["q"].to_numpy().astype(np.int64))), pa.array(best["id"].tolist(), id_type),
+                 pa.array(best["d"].to_numpy(), pa.float64())], ["query_id", names[0], "distance"])
+    return search
 
 
 def _search(k: int, vector: str, id_col: str):

@@ -23,6 +23,23 @@ def _type(check_type: Column) -> Column:
     return F.when(low.isin(*TYPES), low).otherwise("custom")
 
 
+#: What is kept per key and entity: weights, highest rank, findings, findings by type.
+PARTIALS = ("w", "r", "n", *TYPES)
+
+
+def entity_partials(results: DataFrame, keys=("source_id",)) -> DataFrame:
+    """Mergeable parts of the metrics, one row per key and entity."""
+    kind = _type(F.col("check_type"))
+    return results.groupBy(*keys, "entity_name").agg(
+        F.sum(severity_weight(F.coalesce("risk_level", F.lit("low")))).alias("w"),
+        F.max(risk.rank(F.lower("risk_level"))).alias("r"), F.count(F.lit(1)).alias("n"),
+        *[F.count_if(kind == t).alias(t) for t in TYPES])
+
+
+def merge_partials(partials: DataFrame, keys=("source_id",)) -> DataFrame:
+    return partials.groupBy(*keys, "entity_name").agg(*[(F.max if c == "r" else F.sum)(c).alias(c) for c in PARTIALS])
+
+
 def risk_metrics(results: DataFrame, totals: DataFrame | None = None, keys=("source_id",)) -> DataFrame:
     """Score, compliance, highest risk and counts per key.
 
@@ -30,12 +47,12 @@ def risk_metrics(results: DataFrame, totals: DataFrame | None = None, keys=("sou
     score zero.  Distinct entities are counted by a first aggregate on
     (key, entity), so a hot source spreads over its entities.
     """
+    return metrics_of(entity_partials(results, keys), totals, keys)
+
+
+def metrics_of(per_entity: DataFrame, totals: DataFrame | None = None, keys=("source_id",)) -> DataFrame:
+    """The same from one row of partials per key and entity."""
     keys = list(keys)
-    kind = _type(F.col("check_type"))
-    per_entity = results.groupBy(*keys, "entity_name").agg(
-        F.sum(severity_weight(F.coalesce("risk_level", F.lit("low")))).alias("w"),
-        F.max(risk.rank(F.lower("risk_level"))).alias("r"), F.count(F.lit(1)).alias("n"),
-        *[F.count_if(kind == t).alias(t) for t in TYPES])
     raw = per_entity.groupBy(*keys).agg(
         F.sum("w").alias("w"), F.max("r").alias("r"), F.sum("n").alias("total_violations"),
         F.count(F.lit(1)).alias("entities"), *[F.sum(t).alias(f"{t}_count") for t in TYPES])

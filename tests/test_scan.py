@@ -125,13 +125,6 @@ def test_keywords_in_the_scan(spark):
     assert not rows[2]["confidential_flags"]
 
 
-def test_keyword_table_in_blocks(spark):
-    from palisade.operators.detect import keyword_table_findings
-    words = spark.createDataFrame([(w,) for w in ("alpha", "BETA", " ", "", None, "alpha", "gam.ma")], "keyword string")
-    found = keyword_table_findings(pages(spark, "Alphabet and beta gamxma", "GAM.MA"), words, block=1).collect()
-    assert sorted((r["page_num"], r["keyword"]) for r in found) == [(1, "BETA"), (1, "alpha"), (2, "gam.ma")]
-
-
 def test_nested_export(spark):
     import json
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palisade import rules as R
 from palisade.functions import risk
 from palisade.functions.masking import mask_value
-from palisade.operators import detect as D
+from palisade.operators import detect as D, keywords as K
 from palisade.operators.masked import mask_pages
 from palisade.operators.encoding import detect_encoding, sample_chars, unexpected_chars
 from palisade.operators.reports import (
@@ -91,7 +91,7 @@ def _keyword_table(spark, sf):
     words = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string").unionByName(
         table(spark, sf, "nation").select(F.lower("n_name").alias("keyword"))).unionByName(
         table(spark, sf, "customer").select(F.substring(F.lower("c_mktsegment"), 1, 4).alias("keyword")))
-    return D.keyword_table_findings(document_pages(spark, sf), words, block=10)
+    return K.find_keywords(document_pages(spark, sf), words)
 
 
 register("kw_table", lambda spark, sf: _keyword_table(spark, sf).select("doc_id", "keyword"),
@@ -99,6 +99,21 @@ register("kw_table", lambda spark, sf: _keyword_table(spark, sf).select("doc_id"
          "SELECT lower(c_mktsegment)[:4] FROM customer) SELECT doc_id, keyword FROM pg JOIN k ON contains(lower(text), lower(keyword))")
 
 
+def _many_keywords(spark, sf):
+    """Every sixteenth stretch of sixteen characters of the documents: some hundred thousand keywords."""
+    docs = table(spark, sf, "documents")
+    words = docs.where("length(text) > 0").select("text", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(16))).alias("i")).select(
+        F.substr("text", "i", F.lit(16)).alias("keyword"))
+    return K.find_keywords(document_pages(spark, sf), words.where("length(keyword) = 16 AND length(lower(keyword)) = 16"))
+
+
+register("kw_many", lambda spark, sf: _many_keywords(spark, sf).select("doc_id", "keyword", "start", "n"),
+         f"WITH {S.DOCS}, k AS (SELECT DISTINCT text[i:i + 15] AS keyword FROM (SELECT text, unnest(range(1, length(text) + 1, 16)) AS i FROM documents)), "
+         f"w AS (SELECT keyword, lower(keyword) AS low FROM k WHERE length(keyword) = 16 AND length(lower(keyword)) = 16 AND {S.strip('keyword')} <> ''), "
+         "lo AS (SELECT doc_id, lower(text) AS t FROM pg), g AS (SELECT doc_id, t[i:i + 15] AS low, i FROM (SELECT doc_id, t, unnest(range(1, length(t) - 14)) AS i FROM lo)) "
+         "SELECT doc_id, keyword, CAST(min(i) - 1 AS INT) AS start, count(*) AS n FROM g JOIN w USING (low) GROUP BY doc_id, keyword")
+
+
 def _keyword_scan(spark, sf):
     rules = R.default_rules()
     rules["confidentiality"]["match_keywords"] = True

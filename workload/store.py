@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade import rules as R
 from palisade.functions import registration, risk
+from palisade.operators import near as N
 from palisade.operators import alerts as A
 from palisade.operators import external as X
 from palisade.operators import reports as RP
@@ -14,6 +15,7 @@ from palisade.operators import risk_score as RS
 from palisade.operators import store as ST
 from palisade.operators import detect as D
 from palisade.operators.classify import scan_columns
+from palisade.operators.versioned import KeyedTable
 from palisade.streaming import streams as STR
 from workload import metadata as M
 from workload import sql as S
@@ -90,15 +92,32 @@ def _fresh(spark, sf):
     return rows.unionByName(rows.withColumns({"risk_score": F.lit(50.0), "seq": F.lit(1)}))  # an earlier try of each
 
 
-register("trend_upsert", lambda spark, sf: RS.upsert_trend(trends(spark, sf), _fresh(spark, sf), F.col("seq")).select("source_id", "trend_date", "risk_score"),
+
+
+def _trend_upsert(spark, sf):
+    kept = KeyedTable(spark, shared_dir(spark, "trends"), STR.TREND_ROW, ["source_id", "trend_date"], 16)
+    kept.upsert(trends(spark, sf))
+    kept.upsert(_fresh(spark, sf), order=F.col("seq"))
+    return kept.read().select("source_id", "trend_date", "risk_score")
+
+
+register("trend_upsert", _trend_upsert,
          f"{TRENDS}, la AS (SELECT source_id, max(trend_date) AS d FROM met GROUP BY source_id) "
          "SELECT source_id, trend_date, CASE WHEN trend_date = d THEN CAST(0 AS DOUBLE) ELSE risk_score END AS risk_score FROM met JOIN la USING (source_id) "
          "UNION ALL SELECT source_id, CAST(d + 1 AS DATE), CAST(0 AS DOUBLE) FROM la")
-register("sink_upsert", lambda spark, sf: ST.upsert(
-    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"),
-    table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
+
+
+def _sink_upsert(spark, sf):
+    """The customers as a keyed table; then an upsert, which rewrites the buckets of its keys."""
+    kept = KeyedTable(spark, shared_dir(spark, "customers"), "c_custkey bigint, c_name string, c_nationkey int", ["c_custkey"], 32)
+    kept.upsert(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    kept.upsert(table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_name"), F.lit(-1).alias("c_nationkey"), "o_orderkey"),
-    "c_custkey", order=F.col("o_orderkey")),
+        order=F.col("o_orderkey"))
+    return kept.read()
+
+
+register("sink_upsert", _sink_upsert,
     "WITH n AS (SELECT o_custkey AS c_custkey, arg_max(o_orderpriority, o_orderkey) AS c_name, CAST(-1 AS INT) AS c_nationkey FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) "
     "SELECT * FROM n UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer ANTI JOIN n USING (c_custkey)")
 register("sink_insert_ignore", lambda spark, sf: ST.insert_ignore(
@@ -434,7 +453,10 @@ def _index_twice(spark, sf):
     docs = V.finding_documents(_scan_findings(spark, sf)).select("id", "text")
     changed = docs.where(F.contains("text", F.lit("Risk level: critical"))).withColumn("text", F.lit("new"))
     twice = changed.withColumn("seq", F.lit(2)).unionByName(changed.withColumns({"text": F.lit("old try"), "seq": F.lit(1)}))
-    return V.upsert_documents(docs, twice, order=F.col("seq")).groupBy((F.col("text") == "new").alias("replaced")).agg(F.count(F.lit(1)).alias("n"))
+    kept = KeyedTable(spark, shared_dir(spark, "knowledge"), "id string, text string", ["id"], 32)
+    kept.upsert(docs)
+    kept.upsert(twice, order=F.col("seq"))
+    return kept.read().groupBy((F.col("text") == "new").alias("replaced")).agg(F.count(F.lit(1)).alias("n"))
 
 
 register("rag_upsert", _index_twice, f"{RAG_SQL} SELECT risk_level = 'critical' AS replaced, count(*) AS n FROM rg GROUP BY ALL")
@@ -479,6 +501,18 @@ register("rag_topk_many", lambda spark, sf: _many(spark, sf).select("query_id",
          "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0) q) "
          "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS INT) AS place, CAST(round(far, 6) AS DOUBLE) + 0 AS distance "
          "FROM d QUALIFY place <= 5")
+
+
+def _near(spark, sf):
+    """The same queries, approximately."""
+    e = table(spark, sf, "embeddings")
+    queries = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return N.top_k_near(e, queries, 5, id_col="vec_id")
+
+
+# Which rows are missed has no SQL; that every query finds a vector equal to itself first has.
+register("rag_topk_near", lambda spark, sf: _near(spark, sf).where("place = 1").select("query_id", "place", "distance"),
+         "SELECT vec_id AS query_id, CAST(1 AS INT) AS place, CAST(0 AS DOUBLE) AS distance FROM embeddings WHERE vec_id % 20 = 0")
 register("rag_stats", lambda spark, sf: V.index_stats(V.finding_documents(_scan_findings(spark, sf))),
          f"{RAG_SQL} SELECT count(*) AS total_documents, 'compliance_knowledge' AS collection_name FROM rg")
 
@@ -563,16 +597,34 @@ register("st_dedupe", lambda spark, sf: _run(spark, STR.dedupe_stream(
     "SELECT DISTINCT event_type || '-' || user_id || '-' || strftime(ts, '%Y%m%d') AS finding_id FROM events")
 
 
+# Gaps differ inside one key; some alerts name none, some have none.
+_GAPS = (None, 0, -5, 60, 240, 1440, 30)
+
+
+def _gap_alerts(events):
+    return events.where("value >= 100").select(
+        F.lit("c0").alias("config_id"), F.col("event_type").alias("source_id"), F.col("ts").alias("sent_at"),
+        F.element_at(F.array(*[F.lit(g).cast("int") for g in _GAPS]), (F.col("user_id") % len(_GAPS) + 1).cast("int")).alias("cooldown_minutes"))
+
+
+GAP_SQL = ("WITH RECURSIVE al AS (SELECT event_type AS source_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, "
+           "60 * coalesce(list_extract([NULL, 0, -5, 60, 240, 1440, 30], CAST(user_id % 7 + 1 AS INT)), 30) AS gap FROM events WHERE value >= 100), "
+           "se AS (SELECT source_id, second, min(gap) AS gap FROM al WHERE gap > 0 GROUP BY ALL), "
+           "kept AS (SELECT source_id, min(second) AS second FROM se GROUP BY ALL UNION ALL SELECT k.source_id, min(s.second) FROM kept k "
+           "JOIN se s ON k.source_id = s.source_id AND s.second - s.gap >= k.second GROUP BY k.source_id, k.second) "
+           "SELECT 'c0' AS config_id, source_id, second FROM kept UNION ALL SELECT 'c0', source_id, second FROM al WHERE gap <= 0")
+
+
 def _st_cooldown(spark, sf):
-    alerts = _stream_results(spark, sf).where(F.col("risk_level").isin("critical", "high")).select(
-        F.lit("c0").alias("config_id"), F.col("source").alias("source_id"), F.lit(240).alias("cooldown_minutes"), F.col("ts").alias("sent_at"))
-    return _run(spark, STR.cooldown_stream(alerts), "cooldown")
+    root = shared_dir(spark, "cooldown")
+    stream = STR.cooldown_stream(_gap_alerts(_stream(spark, sf, "events")), longest_minutes=1440)
+    STR.run_available(stream, f"{root}/out", f"{root}/state", rocksdb=True)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-register("st_alert_cooldown", _st_cooldown,
-         "WITH RECURSIVE se AS (SELECT DISTINCT event_type AS source_id, CAST(floor(epoch(ts)) AS BIGINT) AS second FROM events WHERE value >= 100), kept AS (SELECT source_id, min(second) AS second "
-         "FROM se GROUP BY ALL UNION ALL SELECT k.source_id, min(s.second) FROM kept k JOIN se s ON k.source_id = s.source_id AND s.second >= k.second + 14400 GROUP BY k.source_id, k.second) "
-         "SELECT 'c0' AS config_id, source_id, second FROM kept")
+register("st_alert_cooldown", _st_cooldown, GAP_SQL)
+register("alert_cooldown_gaps", lambda spark, sf: A.apply_cooldown(_gap_alerts(table(spark, sf, "events"))).select(
+    "config_id", "source_id", A.whole_seconds(F.col("sent_at"), "timestamp_ntz").alias("second")), GAP_SQL)
 
 # SQL functions ---------------------------------------------------------------------------
 
