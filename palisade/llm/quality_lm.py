@@ -36,6 +36,8 @@ ORDER, SYMBOLS = 4, 48
 FOLDS = 2
 #: Trusted ids that are sent to every task at most (16 bytes each); beyond it the documents are shuffled to them.
 BROADCAST_IDS = 4_000_000
+#: Steps of a stored minus log probability, per unit; 32 is the largest.
+STEPS = 2048
 #: Bins of a perplexity's logarithm, per unit.
 BINS = 1000
 #: Stands before the first and behind the last word of a text; tells keys of words from those of pairs; tells models apart.
@@ -164,6 +166,16 @@ def dense(rows: pa.Table, model: int = 0) -> np.ndarray:
     return np.negative(probs, out=probs).reshape(-1)
 
 
+class Stepped:
+    """Minus log probabilities in steps of 1 / STEPS, two bytes each; read like an array of floats."""
+
+    def __init__(self, costs: np.ndarray):
+        self.steps = np.minimum(np.rint(costs * STEPS), 65535).astype(np.uint16)
+
+    def __getitem__(self, codes) -> np.ndarray:
+        return self.steps[codes] / STEPS
+
+
 def _tokens(hasher, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, word and text of every word of a block and of the mark behind each text that has words."""
     words, n = hasher.words(block), np.diff(block.first)
@@ -337,23 +349,20 @@ class Classifier:
     """
 
     def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0,
-                 map_bits: int = 28):
+                 map_bits: int = 26):
         self.prior, self.map_bits = prior, map_bits
         own = mark_trusted(base.only(docs, "doc_id", "text", "lang"), trusted).where("trusted").select(
             F.coalesce("lang", F.lit("")).alias("lang"), "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
         own = base.written(own, "trusted_texts")
         share, rows = docs.sparkSession.sparkContext.broadcast, train(counted(own)).toArrow()
-        tables = np.empty((FOLDS + 1, SYMBOLS**ORDER), np.float32)
-        for k in range(FOLDS + 1):
-            tables[k] = dense(rows, k)
-        every = share(tables)
-        self.cost = share(tables[:1].copy())
+        # Two bytes a number: 32 MB for all three, whatever the corpus is; what that rounds off averages out over a text's bytes.
+        tables = [Stepped(dense(rows, k)) for k in range(FOLDS + 1)]
+        self.cost = every = share(tables)
         del tables, rows
         self.values, self.rests = word_model(own, every)
         self.map = share(anchor_map(self.values.select(F.col("key").alias("anchor")), map_bits))
         both = own.select("lang", "text", F.explode(F.array(F.lit(0), F.col("fold") + 1)).alias("model"))
         good = base.written(self._scored(both, every).where("n_symbols > 0"), "trusted")
-        every.destroy()  # what it was for is written
         unseen = good.where("model > 0")
         mean = F.sum("cost") / F.sum("n_symbols")
         self.means = base.written(unseen.groupBy("lang").agg(mean.alias("mean")), "means")
