@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.functions.text import sql_string
 from palisade.rules import WAREHOUSE_TYPES
 
 
@@ -37,3 +38,58 @@ def column_stats(df: DataFrame, columns, position: str, exact: bool = False) ->
             F.lit(c).alias("column_name"), (1 - F.count(c) / n).alias("null_frac"), distinct.alias("n_distinct"),
             F.round(corr, 4).alias("correlation")).alias(c))
     return df.agg(*aggs).select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+
+
+def sample_columns(df: DataFrame, n: int = 100, columns=None) -> DataFrame:
+    """(column_name, value): of every column the n non-null values, as text, that are least by hash, in one scan.
+
+    The rank limit is applied on the map side, so a task passes on n values of a column at most; what is sampled depends on the
+    values alone, so it is repeatable, and the sample of a column is that of ``sample_column``.
+    """
+    names = list(columns or df.columns)
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(names)])
+    pairs = ", ".join(f"{sql_string(c)}, `_{i}`" for i, c in enumerate(names))
+    long = texts.selectExpr(f"stack({len(names)}, {pairs}) AS (column_name, value)").where("value IS NOT NULL").withColumn("_h", F.md5("value"))
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy("_h", "value"))
+    return long.withColumn("_place", place).where(F.col("_place") <= n).select("column_name", "value")
+
+
+#: Digits of the counter of distinct values (2**12 registers: about 1.6 %).
+REGISTERS = 12
+
+
+def column_sketches(df: DataFrame, columns=None) -> DataFrame:
+    """Mergeable statistics of all columns of a snapshot, one row each, in one pass: column_name, n, nulls, distinct values and,
+    of a numeric or time column, quantiles as sketches.  What is stored of a day is a few kilobytes a column."""
+    kinds = dict(df.dtypes)
+    names = list(columns or df.columns)
+    aggs = []
+    for c in names:
+        col = F.col(f"`{c}`")
+        ordered = kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or kinds[c].startswith("decimal")
+        number = col.cast("timestamp").cast("double") if kinds[c] in ("date", "timestamp", "timestamp_ntz") else col.cast("double")
+        aggs.append(F.struct(
+            F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count_if(col.isNull()).alias("nulls"),
+            F.hll_sketch_agg(col.cast("string"), REGISTERS).alias("distinct"),
+            (F.kll_sketch_agg_double(number) if ordered else F.lit(None).cast("binary")).alias("quantiles")))
+    return df.agg(F.array(*aggs).alias("s")).select(F.inline("s"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """The statistics of several snapshots together; no row of them is read again."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.hll_union_agg("distinct").alias("distinct"),
+        F.kll_merge_agg_double("quantiles").alias("quantiles"))
+
+
+def sketched_stats(sketches: DataFrame, ranks=(0.25, 0.5, 0.75)) -> DataFrame:
+    """column_name, n, null_frac, n_distinct and quantiles (array of double, null for text) from sketches.
+
+    ``n_distinct`` is within about 1.6 % (one standard error), a quantile's rank within about 1.3 %.  A column without a
+    value has no quantiles; an empty snapshot has a null ``null_frac``.
+    """
+    q = F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(r)) for r in ranks])
+    held = F.coalesce(F.kll_sketch_get_n_double("quantiles"), F.lit(0)) > 0
+    return sketches.select(
+        "column_name", "n", F.try_divide("nulls", "n").alias("null_frac"), F.hll_sketch_estimate("distinct").alias("n_distinct"),
+        F.when(held, q).alias("quantiles"))

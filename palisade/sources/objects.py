@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import json
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from palisade.sources.heads import ObjectHeads
 
 # --- fixed values: sampled file types ----------------------------------------
 SAMPLED = "*.{json,csv,txt,log,ndjson}"
@@ -39,16 +43,15 @@ def inventory(objects: DataFrame) -> DataFrame:
 def sample_objects(spark: SparkSession, root: str, n: int = 100, head: int = 2048, keep: int = 500) -> DataFrame:
     """Leading text of up to n objects of a text type, by path; bad bytes become replacement characters.
 
-    The n paths come from the listing (n is the size of the sample, so they fit the driver).  Only those objects are
-    opened, as lines and not as wholes, and of each only the lines of its first split that begin in the first ``head`` bytes stay.
+    The n paths come from the listing (n is the size of the sample, so they fit the driver).  Of each object only the first
+    ``head`` bytes are read, by a ranged read in a partition of its own; an object may be one long line.  The stores are those that
+    pyarrow knows by their scheme (local, HDFS, S3, GCS).  A final line end is no part of the text.
+    An object without a byte is not listed by Spark and has no row.
     """
     chosen = [r["path"] for r in list_objects(spark, root, SAMPLED).select("path").orderBy("path").limit(n).collect()]
     if not chosen:
         return spark.createDataFrame([], "path string, sample string")
-    lines = spark.read.text(chosen).select("value", "_metadata.file_path", "_metadata.file_block_start").where(
-        "file_block_start = 0").select(F.col("file_path").alias("path"), F.monotonically_increasing_id().alias("n"), "value")
-    before = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    first = lines.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < head).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("n", F.substring(F.col("value").cast("binary"), 1, head).cast("string").alias("value")))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda line: line["value"]), "\n").cast("binary")
-    return first.select("path", F.substring(F.make_valid_utf8(F.substring(text, 1, head).cast("string")), 1, keep).alias("sample"))
+    spark.dataSource.register(ObjectHeads)
+    heads = spark.read.format("object_heads").option("paths", json.dumps(chosen)).option("bytes", head).load()
+    whole = F.when((F.col("size") <= head) & F.endswith("head", F.lit(b"\n")), F.substring("head", 1, F.length("head") - 1)).otherwise(F.col("head"))
+    return heads.select("path", F.substring(F.make_valid_utf8(whole.cast("string")), 1, keep).alias("sample"))

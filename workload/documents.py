@@ -8,6 +8,7 @@ from palisade import rules as R
 from palisade.functions import risk
 from palisade.functions.masking import mask_value
 from palisade.operators import detect as D, keywords as K
+from palisade.operators.language import LanguageModel
 from palisade.operators.masked import mask_pages
 from palisade.operators.encoding import detect_encoding, sample_chars, unexpected_chars
 from palisade.operators.reports import (
@@ -179,6 +180,16 @@ for _name, _cat in (("enc_non_ascii", "NON_ASCII_CHARS"), ("enc_scripts", "MULTI
     register(_name, lambda spark, sf, cat=_cat: _enc(spark, sf, cat),
              f"WITH {S.DOCS}, {ENC_CTE} SELECT * FROM enc WHERE category = {S.lit(_cat)}")
 
+
+
+def _language(spark, sf):
+    """Profiles of the even documents; the language of every document."""
+    docs = table(spark, sf, "documents")
+    return LanguageModel(docs.where("doc_id % 2 = 0")).detected(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "language")
+
+
+# A model has no SQL; its accuracy on texts it has not seen is tested.
+register("enc_language_model", _language)
 register("enc_image_only",
          lambda spark, sf: _long(detect_encoding(conversation_pages(spark, sf), ENC), "encoding")
          .where(F.col("category") == "IMAGE_ONLY_PAGE").select("doc_id", "page_num", "category", "risk_level", "note"),

@@ -7,6 +7,8 @@ realistic size.  Row counts come from the line items of those parts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from palisade import rules as R
@@ -405,6 +407,30 @@ register("src_col_stats",
          "unnest([1 - count(o_custkey) / count(*), 1 - count(o_orderstatus) / count(*), 1 - count(o_totalprice) / count(*), 1 - count(o_orderpriority) / count(*)]) AS nf, "
          "unnest([count(DISTINCT o_custkey), count(DISTINCT o_orderstatus), count(DISTINCT o_totalprice), count(DISTINCT o_orderpriority)]) AS nd, "
          "unnest([round(corr(CAST(o_custkey AS DOUBLE), o_orderkey), 4), NULL, round(corr(o_totalprice, o_orderkey), 4), NULL]) AS co FROM orders)")
+_CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+register("src_col_sample_all", lambda spark, sf: cols.sample_columns(table(spark, sf, "customer"), 40, _CUSTOMER),
+         "WITH l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM customer" for c in _CUSTOMER) + ") "
+         "SELECT column_name, value FROM l WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY md5(value), value) <= 40")
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _merged_stats(spark, sf):
+    """Sketches of four snapshots, merged; a distinct count holds if it is within 6 % of the exact one, a median if within 3 % of the ranks."""
+    o = table(spark, sf, "orders").select(*_ORDERS)
+    parts = [cols.column_sketches(o.where(F.pmod("o_orderkey", F.lit(4)) == k)) for k in range(4)]
+    found = cols.sketched_stats(cols.merge_sketches(reduce(lambda a, b: a.unionByName(b), parts)), (0.47, 0.53))
+    exact = o.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("exact"), (
+        F.percentile(F.col(c).cast("double"), 0.5) if c in ("o_orderkey", "o_custkey", "o_totalprice") else F.lit(None).cast("double")).alias("median"))
+        for c in _ORDERS]).alias("s")).select(F.inline("s"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.06 * F.col("exact"))
+    between = F.col("median").isNull() | F.col("median").between(F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1)))
+    return found.join(exact, "column_name").select("column_name", "n", "null_frac", near.alias("distinct_holds"), between.alias("median_holds"))
+
+
+register("src_col_stats_merged", _merged_stats,
+         "SELECT * FROM (" + " UNION ALL ".join(
+             f"SELECT '{c}' AS column_name, count(*) AS n, 1 - count({c}) / count(*) AS null_frac, true AS distinct_holds, true AS median_holds FROM orders"
+             for c in _ORDERS) + ")")
 register("src_type_norm",
          lambda spark, sf: table(spark, sf, "part").select("p_partkey", cols.normalize_type(
              pick(tuple(R.WAREHOUSE_TYPES) + ("Geometry", "HLL"), F.col("p_partkey"))).alias("label")),
