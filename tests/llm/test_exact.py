@@ -1,11 +1,8 @@
-"""No pair, row or alert may get lost by chance, order or expiry."""
+"""No pair or row may get lost by chance or order."""
 
 import random
 
-import pandas as pd
-
 from palisade.llm import decontaminate, simhash, substring_dedup, url_filter
-from palisade.streaming import streams
 from tests.llm.conftest import sentence
 
 
@@ -38,39 +35,6 @@ def test_a_null_id_comes_last_inside_a_task_too(spark):
     assert rows == {7: 0, None: 30}
 
 
-class State:
-    """One key's state over batches, which times out once the watermark passes what was set."""
-
-    value, limit, watermark, hasTimedOut = None, None, 0, False
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutTimestamp(self, ms):
-        self.limit = ms
-
-    def getCurrentWatermarkMs(self):
-        return self.watermark
-
-
-def test_a_longer_gap_of_a_later_alert_holds():
-    state, sent = State(), []
-    for second, minutes in ((0, 5), (1200, 30), (1900, 30)):
-        state.watermark = second * 1000 - 1
-        if state.limit is not None and state.limit <= state.watermark and state.exists:
-            state.hasTimedOut = True
-            list(streams._cooldown((1, 1), iter(()), state))
-            state.hasTimedOut = False
-        batch = pd.DataFrame({"second": [second], "gap": [minutes * 60]})
-        sent += [s for out in streams._cooldown((1, 1), iter([batch]), state) for s in out["second"]]
-    assert sent == [0, 1900]
-
-
 def test_repeated_items_do_not_fill_a_block(spark):
     items = spark.createDataFrame([(1, "one two three four five")] * 500 + [(i, f"item {i}") for i in range(20)], "item_id long, text string")
     blocks = [own for _, own in decontaminate._blocks_of(items, 100)]
