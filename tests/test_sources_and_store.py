@@ -205,7 +205,7 @@ def test_retrieval_defines_odd_vectors(spark):
     queries = spark.createDataFrame([("q", [1.0, 0.0, 5.0], 0), ("z", [0.0, 0.0, 0.0], 0)], "query_id string, query_vector array<double>, label int")
     by_label = V.top_k_by(index, queries, "label", 2).collect()
     assert [(r["query_id"], r["id"], r["place"]) for r in sorted(by_label, key=lambda r: r["place"])] == [("q", 1, 1), ("q", 2, 2)]
-    every = V.top_k_all(index, queries.drop("label"), 2, parts=3, block=1).collect()
+    every = V.top_k_all(index, queries.drop("label"), 2, max_bytes=80).collect()
     assert sorted((r["query_id"], r["id"], r["place"], r["distance"]) for r in every) == [("q", 1, 1, 0.0), ("q", 6, 2, 0.0)]
 
 
