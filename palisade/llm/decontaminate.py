@@ -176,6 +176,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
     Only ``doc_id`` and ``text``, and ``item_id`` and ``text`` of the benchmark, are read; whole texts, however long.
     A null or empty text has no words, and as an item no window.  A null item id is an item named by the empty text;
     items of one id count once.  Equal rows get equal results.
+    No document gives no row; without items nothing is hit.
     """
     spark = docs.sparkSession
     out = base.only(docs, "doc_id", "text").select(

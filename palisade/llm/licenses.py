@@ -220,7 +220,7 @@ def scanned(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, bases (start, label), spans (label, start, n_words, share) for every row; nothing is shuffled.
 
     Only ``doc_id`` and ``text`` are read, texts whole.  A null or empty text has no words, bases or spans.  Equal rows
-    get equal results.
+    get equal results; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(phrases, templates))
     own = base.only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -98,7 +98,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: int = 42, fit_w
 
     ``copies`` (0 to ``most``) says how often a row is taken.  Only ``doc_id``, ``text`` and ``source`` are read.  A null
     or empty text has size 0 and is not taken.  A null source is a source of its own.  Equal rows are told
-    apart only by how many of them are taken.
+    apart only by how many of them are taken.  A long text is counted whole; an empty table gives an empty one.
     """
     size, source_size, target, copies, span, hashed = names = base.unused(
         docs, "size", "source_size", "target", "copies", "_span", "_hash")

@@ -345,7 +345,8 @@ class Classifier:
 
     Only ``doc_id``, ``text`` and ``lang`` are read; ``trusted`` holds ids of trusted documents.  A null or empty text has
     no perplexity and is rejected.  Without any trusted text there is no threshold and every text with symbols stays.  A
-    null language counts as the empty one.  Equal rows get equal results.
+    null language counts as the empty one.  Equal rows get equal results.  A perplexity that equals a threshold stays.  Texts are read
+    whole, in blocks; an empty table gives an empty one.
     """
 
     def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior: float = 100.0,

@@ -192,7 +192,8 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: fl
 
     Only ``doc_id`` and ``text``, and ``doc_id`` and ``label``, are read.  A null or empty text has no words and fails.
     Labels of documents that are missing, null labels and null ids are passed over; of a repeated id the larger label
-    counts.  Without labels of both kinds every text counts as good.
+    counts.  Without labels of both kinds every text counts as good.  A probability equal to the threshold stays.  Equal rows get
+    equal results.  Texts are read whole; an empty table gives an empty one.
     """
     own = base.only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     model = docs.sparkSession.sparkContext.broadcast(train(own, labels, sample))

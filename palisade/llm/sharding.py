@@ -73,6 +73,7 @@ def sharded(docs: DataFrame, shards: int = 40, bits: int = 5):
 
     Only ``doc_id``, ``text``, ``lang`` and ``source`` are read.  A null text has no bytes; null metadata is a value of
     its own, behind all others.  Equal rows get slots of their own.  With fewer rows than shards some shards are empty.
+    A long text counts with all its bytes; an empty table gives an empty one.
     """
     size, curve, shard, slot, octave, span, hashed, place = base.unused(
         docs, "size", "curve", "shard", "slot", "_octave", "_span", "_hash", "_place")

@@ -232,7 +232,8 @@ def grouped(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, tag, fp, root, component_id for every row; component_id is the smallest id of the component root.
 
     Only ``doc_id`` and ``text`` are read.  Null and empty texts have fingerprint zero and link like any other; null
-    ids are grouped but never name a component (a component of nothing but null ids has a null name).
+    ids are grouped but never name a component (a component of nothing but null ids has a null name).  Repeated rows stay
+    and share a component.  Texts are read whole, however long; an empty table gives an empty one.
     """
     prints = base.written(fingerprints(base.only(docs, "doc_id", "text"), size), "fingerprints")
     nodes = base.written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
@@ -415,7 +416,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, with one row of each group of near-duplicates: that with the smallest id, equal rows once.
 
-    A group of nothing but null ids keeps the row with the smallest text hash.
+    A group of nothing but null ids keeps the row with the smallest text hash.  Texts are read whole; of an empty table none stays.
     """
     key, tag = base.unused(docs, "key", "tag")
     groups = similar(base.only(docs, "doc_id", "text"), size, similarity)

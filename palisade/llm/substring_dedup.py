@@ -208,7 +208,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, **settings) -> DataFrame:
 
     Only ``doc_id`` and ``text`` are read.  A null or empty text has no words.  Equal rows are one document and
     get the same result; rows of one id with other texts are told apart; a null id comes after all others.  Words are
-    runs of anything but ASCII white space; a text under ``length`` words is never touched.  Long texts are read whole.
+    runs of anything but ASCII white space; a text under ``length`` words is never touched.  Long texts are read whole; an empty
+    table gives an empty one.
     """
     own = keyed(base.only(docs, "doc_id", "text"))
     spans = repeated_windows(own, length, **settings).groupBy("doc", "tag").agg(

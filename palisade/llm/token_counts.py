@@ -92,7 +92,7 @@ def counted(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> Da
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
     Only ``doc_id`` and ``text`` are read.  A null text counts as the empty one (0 bytes, 0 tokens).  Equal texts get
-    one count; special strings in a text are handled as the library does by default; nothing is truncated or padded.
+    one count; special strings in a text are handled as the library does by default; nothing is truncated or padded.  An empty table gives an empty one.
     The tokenizer's path must be readable on every executor.
     """
     own = base.only(docs, "doc_id", "text")

@@ -80,7 +80,7 @@ def judged(pages: DataFrame, rules=RULES, sample: int = 20_000, trees: int = 15,
 
     Only ``page_id`` and ``url`` are read.  A null URL, or one without ``://``, has an empty host and path and is left to
     the trees.  Equal URLs get equal verdicts.  If the rules label nothing, or only one way, there are no trees and
-    what no rule fits gets ``allow`` (or the one verdict there is).
+    what no rule fits gets ``allow`` (or the one verdict there is).  A long URL is read whole; an empty table gives an empty one.
     """
     rows = features(pages, rules)
     for suffix, name in (("top", "f_top"), ("domain", "f_domain")):

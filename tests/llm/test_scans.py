@@ -41,6 +41,17 @@ def test_licenses_against_brute_force(spark):
             text, licenses.PHRASES)
 
 
+def test_licenses_on_odd_rows(odd, odd_rows, empty):
+    """Columns of clashing names, nulls, repeated rows, very long texts, an empty table."""
+    def row(key, text):
+        n, _, first, last, labels = plain.phrases(text, licenses.PHRASES)
+        return repr((key, n, first, last, labels))
+    got = [repr((r["doc_id"], r["n_words"], min((b["start"] for b in r["bases"]), default=None), max((b["start"] for b in r["bases"]), default=None),
+                 ",".join(sorted({b["label"] for b in r["bases"]})))) for r in licenses.scanned(odd).collect()]
+    assert sorted(got) == sorted(row(key, text) for key, text, _, _ in odd_rows)
+    assert licenses.scanned(empty).collect() == []
+
+
 def test_template_spans(spark):
     template = next(t for t, label in licenses.TEMPLATES if label == "mit-text")
     own = template.split()
