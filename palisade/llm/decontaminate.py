@@ -205,31 +205,56 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes
         return run
     parts = None
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for _, items in _blocks_of(benchmark, block_bytes):
-        found = own.mapInArrow(locate(docs.sparkSession.sparkContext.broadcast(TestIndex(items, window))),
-                               "doc_id long, item_id string, start long, item_start long, n_words long")
+    for last, items in _blocks_of(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(TestIndex(items, window))
+        found = own.mapInArrow(locate(shared), "doc_id long, item_id string, start long, item_start long, n_words long")
+        if not last:
+            found = base.written(found, "matches")
+            shared.destroy()
         parts = found if parts is None else parts.unionByName(found)
     return parts
 
 
-def _clean(shared, text):
+def _clean(shared, text, hit=False):
+    """The rows without a window, or (``hit``) those with one."""
     def run(batches):
         index = shared.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
+            keep = np.full(batch.num_rows, not hit)
             for block in W.blocks(batch.column(text), W.NON_WORD, lower=True, block_bytes=SHARD_BYTES):
                 at, _ = index.hits(block)
-                keep[block.rows[np.unique(np.searchsorted(block.first, at, "right") - 1)]] = False
+                keep[block.rows[np.unique(np.searchsorted(block.first, at, "right") - 1)]] = hit
             yield batch.filter(pa.array(keep))
     return run
 
 
+def _text_key(text):
+    """96 bits of a text by which verdicts meet documents."""
+    return F.xxhash64(text), F.hash(text)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
-    """The documents, all columns, without those that hold a window; nothing is shuffled."""
-    text = docs.columns.index("text")
-    for _, items in _blocks_of(benchmark, block_bytes):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(TestIndex(items, window)), text), docs.schema)
-    return docs
+    """The documents, all columns, without those that hold a window.
+
+    A benchmark of one block filters where the documents are read.  Of several blocks one is sent at a time: the hashes of the texts
+    it hits are written and it is released, and documents meet those hashes at the end; their text is never shuffled before that.
+    """
+    spark, hits = docs.sparkSession, None
+    own = base.only(docs, "text")
+    for last, items in _blocks_of(benchmark, block_bytes):
+        shared = spark.sparkContext.broadcast(TestIndex(items, window))
+        if last:
+            docs = docs.mapInArrow(_clean(shared, docs.columns.index("text")), docs.schema)
+        else:
+            found = own.mapInArrow(_clean(shared, 0, True), "text string")
+            found = base.written(found.select(*[k.alias(n) for k, n in zip(_text_key("text"), ("_a", "_b"))]).distinct(), "hits")
+            shared.destroy()
+            hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return docs
+    names = base.unused(docs, "_a", "_b")
+    keyed = docs.withColumns(dict(zip(names, _text_key("text"))))
+    return keyed.join(hits.toDF(*names), names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(spark, sf_dir):

@@ -39,3 +39,31 @@ def test_repeated_items_do_not_fill_a_block(spark):
     items = spark.createDataFrame([(1, "one two three four five")] * 500 + [(i, f"item {i}") for i in range(20)], "item_id long, text string")
     blocks = [own for _, own in decontaminate._blocks_of(items, 100)]
     assert sum(map(len, blocks)) == 21 and max(len(t) for own in blocks for t in [" ".join(x for _, x in own)]) < 200
+
+
+def test_blocks_of_a_benchmark_are_sent_one_at_a_time(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, sentence(rng, 12, 10**6)) for i in range(9)]
+    texts = [(i, f"{sentence(rng, 8, 10**6)} {items[i % 9][1] if i % 2 else ''} end") for i in range(40)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame([(*t, "a", "b") for t in texts], "doc_id long, text string, _a string, key string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    live, most, plain_broadcast = set(), [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        shared = plain_broadcast(value)
+        if isinstance(value, decontaminate.TestIndex):
+            live.add(id(shared))
+            most.append(len(live))
+            destroy = shared.destroy
+            shared.destroy = lambda *a: (live.discard(id(shared)), destroy(*a))
+        return shared
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    for call in (decontaminate.clean, decontaminate.matches):
+        live.clear(), most.clear()
+        out = call(docs, benchmark, block_bytes=70)
+        assert len(most) > 5 and max(most) == 1
+        if call is decontaminate.clean:
+            assert out.columns == docs.columns
+            assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out.collect()) == sorted([(False, i) for i in range(0, 40, 2)] + [(True, None), (False, 7)])
+        else:
+            assert sorted({r["doc_id"] for r in out.collect()}) == list(range(1, 40, 2))
