@@ -29,6 +29,27 @@ def encoding_profile(content: Column) -> Column:
     return F.struct(name.alias("detected_encoding"), score.alias("encoding_confidence"))
 
 
+def byte_encoding(content: Column) -> Column:
+    """Encoding name and confidence of raw bytes, single-byte encodings told apart by how their high bytes stand together.
+
+    Bytes that are ASCII or valid UTF-8 are that.  Else the share of high bytes that stand next to another one decides: letters
+    of Cyrillic words do (windows-1251), accents among Latin letters do not; Latin text with bytes 0x80 to 0x9F, which are
+    printed signs in windows-1252 and controls in iso-8859-1, is the former unless it has one of the five that it lacks.  The
+    confidence is that share, or what it leaves, drawn to 0 where there are few high bytes to go by.
+    """
+    text = content.cast("string")
+    chars = F.decode(content, "ISO-8859-1")
+    high = F.regexp_count(chars, F.lit(r"[\x80-\xFF]"))
+    alone = F.regexp_count(chars, F.lit(r"(?<![\x80-\xFF])[\x80-\xFF](?![\x80-\xFF])"))
+    together = F.try_divide(high - alone, high)
+    latin = F.when(chars.rlike(r"[\x80-\x9F]") & ~chars.rlike(r"[\x81\x8D\x8F\x90\x9D]"), "windows-1252").otherwise("iso-8859-1")
+    name = F.when(F.octet_length(content) == 0, "unknown").when(high == 0, "ascii").when(F.is_valid_utf8(text), "utf-8").when(
+        together >= 0.6, "windows-1251").otherwise(latin)
+    score = F.when(name == "unknown", 0.0).when(name == "ascii", 1.0).when(name == "utf-8", 0.99).otherwise(
+        F.greatest(together, 1 - together) * high / (high + 1))
+    return F.struct(name.alias("detected_encoding"), score.alias("encoding_confidence"))
+
+
 def as_pages(df: DataFrame, doc_id: str, text: str, page_num: Column | None = None,
              images: Column | None = None) -> DataFrame:
     """The canonical page table from any table with a text column."""

@@ -407,6 +407,27 @@ register("src_col_stats",
          "unnest([1 - count(o_custkey) / count(*), 1 - count(o_orderstatus) / count(*), 1 - count(o_totalprice) / count(*), 1 - count(o_orderpriority) / count(*)]) AS nf, "
          "unnest([count(DISTINCT o_custkey), count(DISTINCT o_orderstatus), count(DISTINCT o_totalprice), count(DISTINCT o_orderpriority)]) AS nd, "
          "unnest([round(corr(CAST(o_custkey AS DOUBLE), o_orderkey), 4), NULL, round(corr(o_totalprice, o_orderkey), 4), NULL]) AS co FROM orders)")
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_CYRILLIC = "".join(chr(0xE0 + i) for i in range(26))
+
+
+def _encoded(spark, sf):
+    """Documents of more than ten words of three letters, as bytes of four encodings in turn: UTF-8, Latin-1, windows-1252 with its
+    quotation marks, and windows-1251, whose small Cyrillic letters stand for the Latin ones."""
+    one = F.regexp_replace("text", r"[^\x00-\x7F\xA0-\xFF]", "?")
+    wrapped = F.concat(F.lit("\x93 "), one, F.lit(" \x94"))
+    k = F.pmod("doc_id", F.lit(4))
+    single = F.when(k == 1, one).when(k == 2, wrapped).otherwise(F.translate(F.regexp_replace(one, r"[^\x00-\x7F]", "?"), _LOWER, _CYRILLIC))
+    docs = table(spark, sf, "documents").where("regexp_count(text, '[a-z]{3}') > 10")
+    return docs.select("doc_id", P.byte_encoding(F.when(k == 0, F.encode("text", "UTF-8")).otherwise(F.encode(single, "ISO-8859-1"))).alias("p"))
+
+
+register("src_encoding_bytes", lambda spark, sf: _encoded(spark, sf).select(
+    "doc_id", F.col("p.detected_encoding").alias("name"), (F.col("p.encoding_confidence") > 0.3).alias("sure")),
+    "WITH d AS (SELECT doc_id, text, regexp_matches(text, '[^\\x00-\\x7F]') AS wide, regexp_matches(text, '[\\x{A0}-\\x{FF}]') AS latin FROM documents "
+    "WHERE len(regexp_extract_all(text, '[a-z]{3}')) > 10) "
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN wide THEN 'utf-8' ELSE 'ascii' END WHEN 1 THEN CASE WHEN latin THEN 'iso-8859-1' ELSE 'ascii' END "
+    "WHEN 2 THEN 'windows-1252' ELSE 'windows-1251' END AS name, true AS sure FROM d")
 _CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 register("src_col_sample_all", lambda spark, sf: cols.sample_columns(table(spark, sf, "customer"), 40, _CUSTOMER),
          "WITH l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM customer" for c in _CUSTOMER) + ") "
