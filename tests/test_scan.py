@@ -134,3 +134,15 @@ def test_nested_export(spark):
     assert sorted((r["kind"], r["page_num"]) for r in rows) == [("page", 1), ("page", 2), ("summary", 0)]
     body = {(r["kind"], r["page_num"]): json.loads(r["json"]) for r in rows}
     assert body["summary", 0]["total_flags"] == 1 and body["page", 1]["pii_flags"][0]["category"] == "EMAIL"
+
+
+def test_a_file_of_rules_overlays_the_defaults(spark, tmp_path):
+    import json
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps({"pii": {"enabled": False}, "confidentiality": {"match_keywords": True, "custom_keywords": ["ünternehmen x"]},
+                                "own": {"a": 1}, "ignored": 3}), encoding="utf-8")
+    rules = R.load_rules(str(path))
+    assert rules["pii"] == R.default_rules()["pii"] | {"enabled": False} and rules["own"] == {"a": 1} and "ignored" not in rules
+    assert R.load_rules() == R.default_rules()
+    row = scan_pages(pages(spark, "Mail jane@example.com about ÜNTERNEHMEN X"), rules).collect()[0]
+    assert not row["pii_flags"] and [f["value"] for f in row["confidential_flags"]] == ["ünternehmen x"]
