@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from palisade.functions.shared import written
 from palisade.functions.text import strip
 
 #: Lengths of leads that are tried, longest first; one character always fits (there are some 10**6 of them).
@@ -70,7 +71,7 @@ def _finder(shared, longest: int):
 
 
 def find_keywords(pages: DataFrame, keywords: DataFrame, text: str = "text", keys=("doc_id", "page_num"),
-                  max_chars: int = 2_000_000) -> DataFrame:
+                  max_chars: int = 4_000_000) -> DataFrame:
     """(keys, keyword, start, n) for every keyword of the table (column ``keyword``) that a page holds, whatever their case.
 
     ``start`` is the first place in the lowered text, ``n`` the number of places, overlapping ones included.  Blank and null
@@ -78,19 +79,20 @@ def find_keywords(pages: DataFrame, keywords: DataFrame, text: str = "text", key
     text holds none.  ``max_chars`` bounds what is collected and sent; it changes no result.
     """
     spark = pages.sparkSession
-    words = keywords.select("keyword").where(F.length(strip(F.col("keyword"))) > 0).distinct().withColumn("low", F.lower("keyword"))
-    chars, longest, *sizes = words.agg(F.sum(F.length("low")), F.max(F.length("low")), *[
-        F.count_distinct(F.substring("low", 1, q)) * q for q in LEADS]).first()
+    words = keywords.select("keyword").where(F.length(strip(F.col("keyword"))) > 0).distinct()
+    words = written(words.withColumn("low", F.lower("keyword")), "keywords")
+    chars, longest = words.agg(F.sum(F.length("low")), F.max(F.length("low"))).first()
     whole = (chars or 0) <= max_chars
-    # At most max_chars characters, by the counts above, are collected and sent.
+    # At most max_chars characters, by these counts, are collected and sent.
     if whole:
         sent = words.groupBy("low").agg(F.collect_list("keyword").alias("names"))
     else:
+        sizes = words.agg(*[F.count_distinct(F.substring("low", 1, q)) * q for q in LEADS]).first()
         lead = next((q for q, size in zip(LEADS, sizes) if size <= max_chars), LEADS[-1])
         words = words.withColumn("name", F.substring("low", 1, lead))
         sent = words.select(F.col("name").alias("low"), F.array("name").alias("names")).distinct()
-    sent = sent.collect()
-    shared = spark.sparkContext.broadcast(_Matcher([r["low"] for r in sent], [r["names"] for r in sent]))
+    sent = sent.select("low", "names").toArrow()
+    shared = spark.sparkContext.broadcast(_Matcher(*[c.to_pylist() for c in sent.columns]))
     fields = ", ".join(f"`{k}`: {pages.schema[k].dataType.simpleString()}" for k in keys)
     found = pages.select(F.struct(*keys).alias("key"), F.lower(F.col(text)).alias("text")).mapInArrow(
         _finder(shared, 0 if whole else longest), f"key struct<{fields}>, name string, stretch string, start int, n bigint")
