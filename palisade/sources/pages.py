@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.functions.text import strip
+from palisade.functions.text import let, strip
 
 
 def image_marker(text: Column, page_num: Column, images: Column) -> Column:
@@ -32,8 +32,11 @@ def encoding_profile(content: Column) -> Column:
 def byte_encoding(content: Column) -> Column:
     """Encoding name and confidence of raw bytes, single-byte encodings told apart by how their high bytes stand together.
 
-    Bytes that are ASCII or valid UTF-8 are that.  Else the share of high bytes that stand next to another one decides: letters
-    of Cyrillic words do (windows-1251), accents among Latin letters do not; Latin text with bytes 0x80 to 0x9F, which are
+    Bytes that are ASCII or valid UTF-8 are that.  Else the share of high bytes that stand next to another one comes first: letters
+    of Cyrillic words do (windows-1251), most accents among Latin letters do not.  Latin words with two accents side by side, told
+    often enough, reach that share too, so the different words must agree, each counted once: more of them have two high bytes
+    together and no small ASCII letter than have both, and at least a quarter as many as have small ASCII letters alone, or one of
+    them is five high bytes long.  Latin text with bytes 0x80 to 0x9F, which are
     printed signs in windows-1252 and controls in iso-8859-1, is the former unless it has one of the five that it lacks.  The
     confidence is that share, or what it leaves, drawn to 0 where there are few high bytes to go by.
     """
@@ -42,9 +45,19 @@ def byte_encoding(content: Column) -> Column:
     high = F.regexp_count(chars, F.lit(r"[\x80-\xFF]"))
     alone = F.regexp_count(chars, F.lit(r"(?<![\x80-\xFF])[\x80-\xFF](?![\x80-\xFF])"))
     together = F.try_divide(high - alone, high)
+    words = F.array_distinct(F.regexp_extract_all(chars, F.lit(r"[A-Za-z\x80-\xFF]+"), F.lit(0)))
+
+    def agree(found):
+        def n(test):
+            return F.size(F.filter(found, test))
+        mixed = n(lambda w: w.rlike(r"[\x80-\xFF]") & w.rlike("[a-z]"))
+        plain = n(lambda w: ~w.rlike(r"[\x80-\xFF]") & w.rlike("[a-z]"))
+        return let(n(lambda w: w.rlike(r"[\x80-\xFF]{2}") & ~w.rlike("[a-z]")), lambda cyrillic: (cyrillic > mixed) & (
+            (4 * cyrillic >= plain) | F.exists(found, lambda w: w.rlike(r"^[\x80-\xFF]{5,}$"))))
+
     latin = F.when(chars.rlike(r"[\x80-\x9F]") & ~chars.rlike(r"[\x81\x8D\x8F\x90\x9D]"), "windows-1252").otherwise("iso-8859-1")
     name = F.when(F.octet_length(content) == 0, "unknown").when(high == 0, "ascii").when(F.is_valid_utf8(text), "utf-8").when(
-        together >= 0.6, "windows-1251").otherwise(latin)
+        (together >= 0.6) & let(words, agree), "windows-1251").otherwise(latin)
     score = F.when(name == "unknown", 0.0).when(name == "ascii", 1.0).when(name == "utf-8", 0.99).otherwise(
         F.greatest(together, 1 - together) * high / (high + 1))
     return F.struct(name.alias("detected_encoding"), score.alias("encoding_confidence"))

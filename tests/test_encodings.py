@@ -17,3 +17,18 @@ def test_known_encodings(spark):
     got = {r["i"]: r["p"] for r in rows.select("i", byte_encoding(rows["content"]).alias("p")).collect()}
     assert [got[i]["detected_encoding"] for i in range(len(CASES))] == [name for _, _, name in CASES]
     assert got[0]["encoding_confidence"] == 0 and got[5]["encoding_confidence"] > 0.9 > got[7]["encoding_confidence"] == pytest.approx(0.5)
+
+
+LATIN = [
+    ("Le chat dort bien. " + "\u00e9\u00e9tion " * 40, "latin-1", "iso-8859-1"), ("onon sur le pain avec du lait, on \u00e8\u00ea", "latin-1", "iso-8859-1"),
+    ("\u201c Wir haben heute zu viel Zeit. " + "\u00e4\u00df " * 60 + "\u201d", "cp1252", "windows-1252"),
+    ("version two of Spark: \u041f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440, \u043c\u0438\u0440, \u043c\u0438\u0440", "cp1251", "windows-1251"),
+]
+
+
+def test_accents_side_by_side_are_no_cyrillic(spark):
+    """Repeated Latin words with two high bytes together, or only one such word among many plain ones."""
+    rows = spark.createDataFrame([(i, bytearray(t.encode(e))) for i, (t, e, _) in enumerate(LATIN)], "i int, content binary")
+    got = {r["i"]: r["p"] for r in rows.select("i", byte_encoding(rows["content"]).alias("p")).collect()}
+    assert [got[i]["detected_encoding"] for i in range(len(LATIN))] == [name for _, _, name in LATIN]
+    assert all(p["encoding_confidence"] > 0.3 for p in got.values())
