@@ -550,9 +550,9 @@ register("rag_state_context", _state,
 
 
 def _stream(spark, sf, name):
-    """A table's file as a stream."""
+    """A table as a stream, whether it is one file or a folder of them: by a pattern, since a stream takes a plain path for a folder."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(spark, stream, name):
