@@ -54,3 +54,21 @@ def test_a_hundred_thousand_keywords(spark):
     got = found(spark, texts, words)
     assert [(d, w) for d, w, _, _ in got] == sorted((k, f"code {i:06d};") for k, own in held.items() for i in own)
     assert found(spark, texts, words, max_chars=5000) == got
+
+
+def test_many_keywords_under_one_lead_in_little_memory(spark, monkeypatch):
+    """Neither a lead that many keywords share nor a text full of it makes rows of pairs; pieces of texts meet."""
+    texts = [(k, "the same beginning of all " * 40 + f"the same beginning of all keywords {k:04d} " * 3) for k in range(20)]
+    words = [f"the same beginning of all keywords {k:04d}" for k in range(300)] + ["the same beginning of all", "beginning of all keywords 0003 the same b"]
+    monkeypatch.setattr(K, "PIECE", 100)
+    monkeypatch.setattr(K, "ROWS", 7)
+    plain_finder = K._finder
+
+    def watched(search):
+        def counted(text):
+            rows = list(search(text))
+            assert len(rows) <= 3, len(rows)
+            return rows
+        return plain_finder(counted)
+    monkeypatch.setattr(K, "_finder", watched)
+    assert found(spark, texts, words, max_chars=500) == plain(texts, words)
