@@ -114,3 +114,18 @@ def test_encoding_cases(spark):
     assert got[2] == {"LOW_ENCODING_CONFIDENCE": "high"}
     assert got[3] == {}
     assert got[4] == {"LOW_ENCODING_CONFIDENCE": "medium", "NON_UTF8_ENCODING": "high"}
+
+
+def test_tests_on_the_digits_turn_no_hit_away(spark):
+    """Every rule finds the same with its cheap test and without, over digits and signs put together at random."""
+    import random
+
+    rnd = random.Random(5)
+    parts = ["1", "22", "333", "4444", "4111", "987654321", "-", " ", "\u00a0", ".", "/", "(", ")", "+91", "A", "AB", "GB29", "ABCDE", "born ", "DOB: ", "\u0665\u0666", "x", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(3, 40))) for _ in range(3000)] + list(SNIPPETS)
+    pages = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = [r for r in R.PII_RULES if (r.guard or "").startswith("near:")]
+    assert len(near) == 10
+    one, other = (D.locate_matches(pages, {"x": (rules, 20)}).select("doc_id", "x").collect() for rules in (
+        near, [r._replace(guard="lit:") for r in near]))
+    assert one == other and {m["rule_order"] for r in one for m in r["x"]} == set(range(10))
