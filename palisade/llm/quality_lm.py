@@ -2,14 +2,15 @@
 
 The model is of pairs of words; what it leaves to words it has not seen goes by their bytes.
 
-* **Word counts.** Words are 8-byte hashes; a mark stands at both ends of a text.  The words of all texts are dealt to shards by
-  the word before them, not as rows of keys but as packed arrays: of each block of texts and shard its different words once, and
-  of each text the places of its pairs in that list, some three bytes a pair.  A shard has all pairs of its contexts, so it counts
-  them; how many contexts a word follows is summed over shards by word.  Discounts follow from counts of counts.
-* **Count joins.** Words' probabilities are joined by word to the shards that have the word, and meet the pairs' counts, the
-  contexts' totals and the texts' pairs there, sharded on the context.  What seen pairs and words change in a text's summed
-  logarithm is summed per text and shard, then per text.  A shard holds the pairs of SHARD_BYTES of trusted text; there are as
-  many shards as that takes.  The corpus is scored in the pass that its model is fitted in, trusted texts by two models at once.
+* **Word counts.** Words are 56-bit hashes; a mark stands at both ends of a text.  The pairs of all texts are dealt to shards by
+  their second word, not as rows of keys but as packed arrays: of each block of texts and shard its different words once, and of
+  each text the places of its pairs in that list, some three bytes a pair.  A shard has all pairs that end in its words, so it
+  counts them and how many contexts each word follows.  Discounts follow from counts of counts.
+* **Count joins.** What a shard counts of each context is sent to the context's own shard, summed there and sent back to all shards
+  that have pairs of it; there contexts' totals, words' probabilities and pairs' counts meet the texts' pairs.  What seen pairs
+  and words change in a text's summed logarithm is summed per text and shard, then per text.  A shard holds the pairs of
+  SHARD_BYTES of trusted text; there are as many shards as that takes.  The corpus is scored in the pass that its model is fitted
+  in, trusted texts by two models at once.
 * **Unknown words** are spelled by a model of four byte classes (small letters, one class for capitals, digits, spaces, line
   ends, kinds of punctuation, lead and trailing bytes of other letters; at most SYMBOLS**ORDER n-grams), built the same
   way.  So is white space beyond one byte behind each word.
@@ -39,17 +40,21 @@ FOLDS = 2
 #: Trusted ids that are sent to every task at most (16 bytes each); beyond it the documents are shuffled to them.
 BROADCAST_IDS = 4_000_000
 #: A shard holds the pairs of so many bytes of trusted text; there are SHARDS at least.
-SHARD_BYTES, SHARDS = 32_000_000, 8
+SHARD_BYTES, SHARDS = 24_000_000, 8
 #: Words of texts that are packed together.
 BLOCK_WORDS = 2_500_000
+#: So many of its contexts a block names by frequency.
+HOT = 4096
 #: Steps of a stored minus log probability, per unit; 32 is the largest.
 STEPS = 2048
 #: Bins of a perplexity's logarithm, per unit.
 BINS = 1000
 #: Stands before the first and behind the last word of a text.
-MARK = int(np.random.default_rng(4).integers(1, 2**63, dtype=np.int64))
-#: What is done with a text's pairs, in the order in which shards meet them; words with their probabilities come first.
-WORDS, COUNT, BOTH, SCORE = range(4)
+MARK = int(np.random.default_rng(4).integers(1, 2**56, dtype=np.int64))
+#: What is done with a text's pairs, in the order in which shards meet them; what is known of contexts comes first.
+CONTEXTS, COUNT, BOTH, SCORE = range(4)
+#: What shards tell of a context by model: its pairs, different ones, those that stand there once, and twice.
+TOLD = 4 * (FOLDS + 1)
 
 
 def classes() -> np.ndarray:
@@ -201,29 +206,45 @@ def _squeezed(*arrays: np.ndarray) -> bytes:
     """Whole numbers in the fewest bytes that hold the largest, equal bytes of neighbours side by side, compressed."""
     parts = []
     for a in arrays:
-        if a.dtype.kind != "f":
-            a = a.astype(np.min_scalar_type(a.max() if len(a) else 0))
-        parts.append((a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()))
+        a = a.astype(np.min_scalar_type(a.max() if len(a) else 0))
+        if a.dtype.itemsize == 8:  # numbers of 56 bits have seven bytes
+            wide = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), 8)
+            while wide.shape[1] > 5 and not wide[:, -1].any():
+                wide = wide[:, :-1]
+            parts.append((a.dtype.str, np.ascontiguousarray(wide.T).tobytes(), wide.shape[1]))
+            continue
+        parts.append((a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), a.itemsize))
     raw = pickle.dumps(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _squeezed_names(names: np.ndarray) -> bytes:
+    """Ascending numbers, by their steps."""
+    return _squeezed(np.diff(names, prepend=np.zeros(1, np.uint64)))
+
+
+def _unsqueezed_names(data: bytes) -> np.ndarray:
+    (steps,) = _unsqueezed(data)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _unsqueezed(data: bytes) -> list[np.ndarray]:
     out = []
-    for kind, planes in pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)):
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1))
+    for kind, planes, size in pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)):
+        planes = np.frombuffer(planes, np.uint8).reshape(size, -1)
+        wide = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+        wide[:, :size] = planes.T
+        out.append(wide.view(kind).reshape(-1))
     return out
 
 
-def _tokens(hasher, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, word and text of every word of a block and of the mark behind each text that has words."""
-    words, n = hasher.words(block), np.diff(block.first)
+def _tokens(hasher, block) -> tuple[np.ndarray, np.ndarray]:
+    """Word and text of every word of a block and of the mark behind each text that has words; each follows the one before it."""
+    words, n = hasher.words(block) >> np.uint64(8), np.diff(block.first)
     has = n > 0
     word = np.full(len(words) + int(has.sum()), MARK, np.uint64)
     word[np.arange(len(words)) + (np.cumsum(has) - 1)[block.word_rows()]] = words
-    before = np.concatenate([np.full(1, MARK, np.uint64), word])[:len(word)]  # the mark behind one text stands before the next
-    return before, word, np.repeat(np.flatnonzero(has), n[has] + 1)
+    return word, np.repeat(np.flatnonzero(has), n[has] + 1)
 
 
 def _spelling(block, table) -> tuple[np.ndarray, np.ndarray]:
@@ -241,50 +262,71 @@ def _spelled(codes, edge, costs) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(costs[codes], dtype=np.float64)])[edge])
 
 
-def _packed(parts, shards: int):
+def _hot_first(often: np.ndarray, size: int) -> np.ndarray:
+    """All places below ``size``: the frequent ones first, so that most are small numbers, then the others in order."""
+    rest = np.ones(size, bool)
+    rest[often] = False
+    return np.concatenate([often.astype(np.int64), np.flatnonzero(rest)])
+
+
+def _packed(parts, shards: int, spelled: bool):
     """One row per shard of the texts of ``parts``: kind, different words, and each text's pairs as places among them."""
-    before, word, row, tags, models, kinds = (np.concatenate(x) for x in zip(*parts))
-    names, at = np.unique(np.concatenate([before, word]), return_inverse=True)
-    v, w = at[:len(before)].astype(np.int64), at[len(before):].astype(np.int64)
-    shard = (names % np.uint64(shards)).astype(np.int64)[v]
+    word, row, tags, models, kinds, *costs = (np.concatenate(x) for x in zip(*parts))
+    names, first_at, w = np.unique(word, return_index=True, return_inverse=True)
+    w, mark = w.astype(np.int64), np.searchsorted(names, np.uint64(MARK))
+    v = np.append(mark, w[:-1])  # the mark behind one text stands before the next
+    shard = (names % np.uint64(shards)).astype(np.int64)
+    spell = [np.where(np.arange(len(names)) == mark, 0, c[first_at]) for c in costs]  # the mark has no bytes
     n_bits, r_bits = (max(1, int(x).bit_length()) for x in (len(names), len(tags)))
-    for k in range(shards):
-        own = np.flatnonzero(shard == k)
-        own_kinds = kinds[row[own]]
-        for kind in np.unique(own_kinds):
-            mine = own[own_kinds == kind]
-            code = (row[mine] << (2 * n_bits)) | (v[mine] << n_bits) | w[mine]
-            assert r_bits + 2 * n_bits < 64
-            code, n = np.unique(code, return_counts=True)
-            r, x, y = code >> (2 * n_bits), (code >> n_bits) & ((1 << n_bits) - 1), code & ((1 << n_bits) - 1)
-            texts, first = np.unique(r, return_index=True)
-            contexts, x = np.unique(x, return_inverse=True)
-            step = np.diff(x, prepend=0)
-            step[first] = x[first]  # contexts of a text ascend
-            followers, y, often = np.unique(y, return_inverse=True, return_counts=True)
-            rank = np.argsort(-often, kind="stable")  # the most frequent first: small numbers
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            yield (k, int(kind), _squeezed(names[contexts], names[followers[rank]]),
-                   _squeezed(tags[texts], models[texts], np.diff(np.append(first, len(r))), step, place[y], n - 1))
-
-
-def _deal(shards: int):
-    """(shard, kind, words, pairs) of rows (tag, model, kind, text)."""
+    assert r_bits + 2 * n_bits < 64
+    code = (row.astype(np.int64) << (2 * n_bits)) | (w << n_bits) | v
+    part = shard[w] * (SCORE + 1) + kinds[row]
+    order = np.argsort(part.astype(np.uint16 if shards < 2**13 else np.uint32), kind="stable")
+    del word, row, w, v
+    edge = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+    for a, b in zip(edge, edge[1:]):
+        k, kind = divmod(int(part[order[a]]), SCORE + 1)
+        own, n = np.unique(code[order[a:b]], return_counts=True)
+        r, x, y = own >> (2 * n_bits), (own >> n_bits) & ((1 << n_bits) - 1), own & ((1 << n_bits) - 1)
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        followers, x = np.unique(x, return_inverse=True)
+        step = np.diff(x, prepend=0)
+        step[first] = x[first]  # followers of a text ascend
+        contexts, y, often = np.unique(y, return_inverse=True, return_counts=True)
+        often = np.argsort(-often, kind="stable")[:HOT]
+        back = _hot_first(often, len(contexts))
+        place = np.empty(len(back), np.int64)
+        place[back] = np.arange(len(back))
+        told = [s[followers] for s in spell] if spelled else []
+        yield (k, kind, _squeezed_names(names[followers]), _squeezed_names(names[contexts]), _squeezed(
+            tags[r[first]], models[r[first]], np.diff(np.append(first, len(r))), step, place[y], n - 1, often, *told))
+
+
+def _deal(shards: int, shared=None):
+    """(shard, kind, followers, contexts, pairs) of rows (tag, model, kind, text); with byte tables, also what words' spelling costs."""
     def deal(batches):
-        hasher, parts, size, texts = W.Hasher(31), [], 0, 0
+        hasher, table, parts, size, texts = W.Hasher(31), classes(), [], 0, 0
 
         def rows():
-            out = list(zip(*_packed(parts, shards)))
+            out = list(zip(*_packed(parts, shards, shared is not None)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (
-                pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "kind", "words", "pairs"])
+                pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "kind", "followers", "contexts", "pairs"])
         for batch in batches:
             tags, models, kinds = (batch.column(i).to_numpy() for i in range(3))
             for block in W.blocks(batch.column(3), W.SPACES):
-                before, word, row = _tokens(hasher, block)
+                word, row = _tokens(hasher, block)
                 if not len(word):
                     continue
-                parts.append((before, word, row + texts, tags[block.rows].view(np.uint64), models[block.rows], kinds[block.rows]))
+                costs = []
+                if shared is not None:
+                    codes, edge = _spelling(block, table)
+                    real = np.diff(row, append=-1) == 0  # all but the marks
+                    for steps in shared.value:
+                        cost = np.zeros(len(word), np.int64)
+                        cost[real] = np.diff(np.concatenate([[0], np.cumsum(steps.steps[codes], dtype=np.int64)])[edge])
+                        costs.append(cost)
+                parts.append((word, (row + texts).astype(np.int32), tags[block.rows].view(np.uint64), models[block.rows],
+                              kinds[block.rows], *costs))
                 size, texts = size + len(word), texts + len(block)
                 if size >= BLOCK_WORDS:
                     yield rows()
@@ -294,83 +336,114 @@ def _deal(shards: int):
     return deal
 
 
-def _unpacked(words: bytes, pairs: bytes):
-    """Contexts, followers; tag and model of each text; of each pair its text, context, follower and how often it stands there."""
-    contexts, followers = _unsqueezed(words)
-    tags, models, size, step, y, n = _unsqueezed(pairs)
-    row = np.repeat(np.arange(len(tags)), size)
-    climb = np.cumsum(step, dtype=np.int64)
-    first = np.cumsum(size, dtype=np.int64) - size
-    x = climb - (climb[first] - step[first])[row]
-    return contexts.astype(np.uint64), followers.astype(np.uint64), tags.astype(np.uint64), models.astype(np.int64), row, x, y.astype(np.int64), n.astype(np.int64) + 1
+class _Pairs:
+    """What a task dealt to a shard: names of followers and contexts; tag and model of each text; of each pair its text, follower,
+    context and how often it stands there; what followers' spelling costs, if that was dealt too."""
+
+    def __init__(self, followers: bytes, contexts: bytes, pairs: bytes):
+        self.followers, self.contexts = _unsqueezed_names(followers), _unsqueezed_names(contexts)
+        tags, models, size, step, y, n, often, *self.spelled = _unsqueezed(pairs)
+        self.tags, self.models = tags.astype(np.uint64), models.astype(np.int64)
+        self.row = np.repeat(np.arange(len(tags)), size)
+        climb = np.cumsum(step, dtype=np.int64)
+        first = np.cumsum(size, dtype=np.int64) - size
+        self.x = climb - (climb[first] - step[first].astype(np.int64))[self.row]
+        self.y, self.n = _hot_first(often, len(self.contexts))[y], n.astype(np.int64) + 1
 
 
 class _Counts:
-    """The different pairs of a shard's trusted text: ``names`` are its words, ``code`` context * len(names) + follower, ``n`` by model."""
-
-    def __init__(self, packed: list[tuple[bytes, bytes]]):
-        self.names = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [x.astype(np.uint64) for words, _ in packed for x in _unsqueezed(words)]))
-        size, codes, often = max(1, len(self.names)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for words, pairs in packed:
-            contexts, followers, _, models, row, x, y, n = _unpacked(words, pairs)
-            code = (np.searchsorted(self.names, contexts)[x] * size + np.searchsorted(self.names, followers)[y]) * FOLDS + models[row] - 1
+    """The different pairs of a shard's trusted text: ``names`` are its words, ``code`` follower * len(names) + context, ``n`` by model."""
+
+    def __init__(self, dealt: list[tuple[bytes, bytes, bytes]]):
+        self.names = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unsqueezed_names(x) for d in dealt for x in d[:2])]))
+        size, codes, often = max(1, len(self.names)), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.spelled = np.zeros((FOLDS + 1, len(self.names)), np.int64)
+        for d in dealt:
+            p = _Pairs(*d)
+            w = np.searchsorted(self.names, p.followers)
+            for m, cost in enumerate(p.spelled):
+                self.spelled[m, w] = cost
+            code = (w[p.x] * size + np.searchsorted(self.names, p.contexts)[p.y]) * FOLDS + p.models[p.row] - 1
             order = np.argsort(code)
-            new = np.flatnonzero(np.diff(code[order], prepend=-1))
-            codes.append(code[order][new])
-            often.append(np.add.reduceat(n[order], new))
+            code = code[order]
+            new = np.flatnonzero(np.diff(code, prepend=-1))
+            codes.append(code[new])
+            often.append(np.add.reduceat(p.n[order], new).astype(np.int32))
         codes, often = np.concatenate(codes), np.concatenate(often)
         order = np.argsort(codes)
-        pair = codes[order] // FOLDS
+        codes, often = codes[order], often[order]
+        pair, fold = codes // FOLDS, codes % FOLDS
         new = np.flatnonzero(np.diff(pair, prepend=-1))
         self.code = pair[new]
-        fold, often = codes[order] % FOLDS, often[order]
         by_fold = [np.add.reduceat(np.where(fold == k, often, 0), new) if len(new) else often for k in range(FOLDS)]
         self.n = [sum(by_fold), *[sum(x for j, x in enumerate(by_fold) if j != k) for k in range(FOLDS)]]
 
     def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """Follower and context of each pair."""
         return np.divmod(self.code, max(1, len(self.names)))
 
 
 def _shards(batches):
-    """Of each shard, whose rows come sorted by shard and kind: its number, and (kind, words, pairs) one by one."""
+    """Each shard, whose rows come sorted by shard and kind, and its further columns row by row."""
     def rows():
         for batch in batches:
             for i in range(batch.num_rows):
-                yield batch.column(0)[i].as_py(), (batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
-    return ((k, (r for _, r in own)) for k, own in itertools.groupby(rows(), lambda r: r[0]))
-
-
-def _count_pairs(batches):
-    """(shard, w, c0, c1, ...): contexts that the word follows in the shard, by model; and in shard -1 how many pairs stand there w times."""
-    columns = ["shard", "w", *[f"c{m}" for m in range(FOLDS + 1)]]
-    for shard, rows in _shards(batches):
-        counts = _Counts([(words, pairs) for _, words, pairs in rows])
-        _, w = counts.split()
-        after = [np.bincount(w[n > 0], minlength=len(counts.names)) for n in counts.n]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts.names), shard, np.int32)), pa.array(counts.names.view(np.int64)),
-                                          *[pa.array(x.astype(np.int64)) for x in after]], columns)
-        few = [np.bincount(n[n <= 4], minlength=5)[1:5] for n in counts.n]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(4, -1, np.int32)), pa.array(np.arange(1, 5)),
-                                          *[pa.array(x.astype(np.int64)) for x in few]], columns)
-
-
-def _pack_words(batches):
-    """Rows (shard, w, p0, d0, p1, ...) of a task in one row per shard."""
-    for batch in batches:
-        shard = batch.column(0).to_numpy()
-        order = np.argsort(shard, kind="stable")
-        edge = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
-        at = [order[a:b] for a, b in zip(edge, edge[1:])]
-        rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(shard[x[0]]) for x in at], pa.int32()), pa.array([WORDS] * len(at), pa.int32()),
-             pa.array([_squeezed(rest[0][x].view(np.uint64)) for x in at], pa.binary()),
-             pa.array([_squeezed(*[c[x].astype(np.float32) for c in rest[1:]]) for x in at], pa.binary())],
-            ["shard", "kind", "words", "pairs"])
+                yield tuple(c[i].as_py() for c in batch.columns)
+    return itertools.groupby(rows(), lambda r: r[0])
+
+
+def _bincount(at, n: int, weights=None) -> np.ndarray:
+    return np.rint(np.bincount(at, weights, n)).astype(np.int64)
+
+
+def _count_pairs(shards: int):
+    """(home, shard, names, told): what each shard has of the contexts whose own shard is ``home``; with its own words' spelling.
+
+    In home -1 stand counts of counts: of pairs and of words' contexts, by model, and the sum of the latter.
+    """
+    def count(batches):
+        for shard, rows in _shards(batches):
+            counts = _Counts([r[2:] for r in rows])
+            w, v = counts.split()
+            size, told, few = len(counts.names), [], []
+            for n in counts.n:
+                after = np.bincount(w[n > 0], minlength=size)
+                few += [*np.bincount(n[n <= 4], minlength=5)[1:5], *np.bincount(after[after <= 4], minlength=5)[1:5], after.sum(),
+                        (after > 0).sum()]
+                told += [_bincount(v, size, n), np.bincount(v[n > 0], minlength=size), np.bincount(v[n == 1], minlength=size),
+                         np.bincount(v[n == 2], minlength=size)]
+            home = (counts.names % np.uint64(shards)).astype(np.int64)
+            out = [(-1, shard, b"", _squeezed(np.array(few)))]
+            for h in np.unique(home):
+                own = home == h
+                spelled = [c[own] for c in counts.spelled] if h == shard else []
+                out.append((int(h), shard, _squeezed_names(counts.names[own]), _squeezed(*[t[own] for t in told], *spelled)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["home", "shard", "names", "told"])
+    return count
+
+
+def _sum_contexts(batches):
+    """(shard, home, told): sums over all shards, for each shard in the order of the names that it sent."""
+    for home, rows in _shards(batches):
+        rows = list(rows)
+        if home >= 0:
+            names = [_unsqueezed_names(r[2]) for r in rows]
+            every = np.unique(np.concatenate(names))
+            at, total = [np.searchsorted(every, x) for x in names], np.zeros((TOLD, len(every)), np.int64)
+            told = [_unsqueezed(r[3]) for r in rows]
+            for place, own in zip(at, told):
+                for i in range(TOLD):
+                    total[i, place] += own[i].astype(np.int64)
+            sent = [_squeezed(*total[:, place], *own[TOLD:]) for place, own in zip(at, told)]
+        else:
+            sent = [r[3] for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([home] * len(rows), pa.int32()),
+                                          pa.array(sent, pa.binary())], ["shard", "home", "told"])
 
 
 def _place(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of words in a sorted list, -1 for those it lacks."""
+    """Places of numbers in a sorted list, -1 for those it lacks."""
     if not len(names):
         return np.full(len(wanted), -1)
     at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
@@ -380,128 +453,99 @@ def _place(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class _Values:
     """What seen words (``one``) and pairs (``two``) of a shard change in a text's cost, by model."""
 
-    def __init__(self, counts: _Counts, listed: list[tuple[bytes, bytes]], cuts: dict[int, list[float]]):
+    def __init__(self, shard: int, counts: _Counts, listed: dict[int, bytes], law: tuple):
         self.names, self.code, self.one, self.two = counts.names, counts.code, [], []
-        if not len(self.names):
-            self.one = self.two = [np.zeros(0)] * (FOLDS + 1)
-            return
-        names = np.concatenate([_unsqueezed(words)[0].astype(np.uint64) for words, _ in listed])
-        logs = [np.concatenate(x).astype(np.float64) for x in zip(*[_unsqueezed(pairs) for _, pairs in listed])]
-        order = np.argsort(names)
-        at = order[np.searchsorted(names[order], self.names)]
-        v, w = counts.split()
+        shards, cuts, word_cuts, totals, rests = law
+        home = (self.names % np.uint64(shards)).astype(np.int64)
+        told, spelled = np.zeros((TOLD, len(self.names))), np.zeros((FOLDS + 1, len(self.names)))
+        for h in np.unique(home):
+            own, got = home == h, _unsqueezed(listed[h])
+            told[:, own] = got[:TOLD]
+            if h == shard:
+                spelled[:, own] = got[TOLD:]
+        w, v = counts.split()
         for m, n in enumerate(counts.n):
-            cut = np.array([0.0, *cuts[m]])[np.minimum(n, 3)]
-            total, left = (np.bincount(v, x, len(self.names)) for x in (n, cut))
+            total, different, once, twice = told[4 * m:4 * m + 4]
+            one, two, three = cuts[m]
+            cut = np.array([0.0, one, two, three])[np.minimum(n, 3)]
+            after = np.bincount(w[n > 0], minlength=len(self.names))
+            word_cut = np.array([0.0, *word_cuts[m]])[np.minimum(after, 3)]
             with np.errstate(divide="ignore", invalid="ignore"):
-                rest = np.log(left / total)
-                self.one.append(np.where(total > 0, logs[2 * m + 1][at] - rest, 0.0))
-                lower = rest[v] + logs[2 * m][at][w]
+                rest = np.log((one * once + two * twice + three * (different - once - twice)) / total)
+                unknown = np.log(rests[m]) - spelled[m] / STEPS
+                known = np.where(after > word_cut, np.log((after - word_cut) / totals[m] + np.exp(unknown)), unknown)
+                self.one.append(np.where(after > 0, unknown - known - np.where(total > 0, rest, 0.0), 0.0))
+                lower = rest[v] + known[w]
                 self.two.append(np.where(n > cut, lower - np.log((n - cut) / total[v] + np.exp(lower)), 0.0))
 
-    def of(self, words: bytes, pairs: bytes):
+    def of(self, p: _Pairs):
         """(tag, model, value) of the texts of a block."""
-        contexts, followers, tags, models, row, x, y, n = _unpacked(words, pairs)
-        v, w = _place(self.names, contexts)[x], _place(self.names, followers)[y]
-        pair = np.full(len(v), -1)
-        both = np.flatnonzero((v >= 0) & (w >= 0))
-        pair[both] = _place(self.code, v[both] * len(self.names) + w[both])
-        for m in np.unique(np.append(models, 0)):
-            own = np.flatnonzero((v >= 0) & ((models[row] == m) | (m == 0)))
-            value = self.one[m][v[own]]
-            seen = np.flatnonzero(pair[own] >= 0)
-            value[seen] += self.two[m][pair[own][seen]]
-            sums = np.bincount(row[own], value * n[own], len(tags))
-            here = np.unique(row[own])
-            yield tags[here], np.full(len(here), m), sums[here]
-
-
-def _score(cuts):
+        w, v = _place(self.names, p.followers)[p.x], _place(self.names, p.contexts)[p.y]
+        seen = np.flatnonzero((v >= 0) & (w >= 0))
+        pair = _place(self.code, w[seen] * len(self.names) + v[seen])
+        seen, pair = seen[pair >= 0], pair[pair >= 0]
+        for m in np.unique(np.append(p.models, 0)):
+            own = (p.models[p.row] == m) | (m == 0)
+            value = np.zeros(len(w))
+            if len(self.names):
+                value = np.where(w >= 0, self.one[m][w], 0.0)
+            value[seen] += self.two[m][pair]
+            here = (p.models == m) | (m == 0)
+            sums = np.bincount(p.row[own], (value * p.n)[own], len(p.tags)).astype(np.float64)
+            here &= sums != 0
+            yield pa.RecordBatch.from_arrays([pa.array(p.tags[here].view(np.int64)), pa.array(np.full(int(here.sum()), m, np.int32)),
+                                              pa.array(sums[here])], ["tag", "model", "value"])
+
+
+def _score(law):
     """(tag, model, value): what seen words and pairs change in the cost of each text, by shard."""
     def score(batches):
-        for _, rows in _shards(batches):
-            listed, trusted, values = [], [], None
-            for kind, words, pairs in rows:
-                if kind == WORDS:
-                    listed.append((words, pairs))
+        for shard, rows in _shards(batches):
+            listed, trusted, values = {}, [], None
+            for _, kind, *dealt in rows:
+                if kind == CONTEXTS:
+                    listed[int.from_bytes(dealt[0], "big")] = dealt[2]
                 elif kind != SCORE:
-                    trusted.append((kind, words, pairs))
+                    trusted.append((kind, dealt))
                 else:
-                    values = values or _Values(_Counts([t[1:] for t in trusted]), listed, cuts)
-                    yield from _sums(values.of(words, pairs))
-            values = values or _Values(_Counts([t[1:] for t in trusted]), listed, cuts)
-            for kind, words, pairs in trusted:
+                    values = values or _Values(shard, _Counts([d for _, d in trusted]), listed, law)
+                    yield from values.of(_Pairs(*dealt))
+            values = values or _Values(shard, _Counts([d for _, d in trusted]), listed, law)
+            for kind, dealt in trusted:
                 if kind == BOTH:
-                    yield from _sums(values.of(words, pairs))
+                    yield from values.of(_Pairs(*dealt))
     return score
 
 
-def _sums(parts):
-    for tag, model, value in parts:
-        yield pa.RecordBatch.from_arrays([pa.array(tag.view(np.int64)), pa.array(model.astype(np.int32)), pa.array(value.astype(np.float64))],
-                                         ["tag", "model", "value"])
-
-
-def _spell_words(shared):
-    def spell(batches):
-        table, hasher, costs = classes(), W.Hasher(31), shared.value
-        for batch in batches:
-            for block in W.blocks(batch.column(0), W.SPACES):
-                words, at = np.unique(hasher.words(block), return_index=True)
-                codes, edge = _spelling(block, table)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.view(np.int64)), *[pa.array(_spelled(codes, edge, c)[at]) for c in costs]],
-                    ["w", *[f"b{k}" for k in range(FOLDS + 1)]])
-    return spell
-
-
-def _pick(values, kind="double"):
-    """The value of the row's model."""
-    out = F.lit(None).cast(kind)
-    for model, value in enumerate(values):
-        out = F.when(F.col("model") == model, value).otherwise(out)
-    return out
-
-
-DEALT = "shard int, kind int, words binary, pairs binary"
+DEALT = "shard int, kind int, followers binary, contexts binary, pairs binary"
 
 
-def _by_shard(dealt: DataFrame, shards: int) -> DataFrame:
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+def _by_shard(rows: DataFrame, shards: int, *order: str) -> DataFrame:
+    return rows.repartition(shards, order[0]).sortWithinPartitions(*order)
 
 
-def word_model(texts: DataFrame, shared, shards: int) -> tuple[DataFrame, dict[int, list[float]], list[float]]:
-    """Words of each shard with their probabilities under all models, packed; discounts of pairs; minus log of what each model
-    leaves to unknown words; from (tag, model, kind, text) of trusted texts and all byte tables.
+def word_model(texts: DataFrame, shared, shards: int) -> tuple[DataFrame, tuple, list[float]]:
+    """What shards are told of their contexts; what holds for all shards; minus log of what each model leaves to unknown words;
+    from (tag, model, kind, text) of trusted texts and all byte tables.
 
     A text's cost is the sum of its words' spelling and of that number per word and text, plus what its seen words and pairs
     change.
     """
-    models = range(FOLDS + 1)
-    parts = base.written(_by_shard(texts.mapInArrow(_deal(shards), DEALT), shards).mapInArrow(
-        _count_pairs, "shard int, w long, " + ", ".join(f"c{m} long" for m in models)), "pairs")
-    few = parts.where("shard < 0").groupBy("w").agg(*[F.sum(f"c{m}").alias(f"c{m}") for m in models]).collect()
-    cuts = _discounts_of({(m, r["w"]): r[f"c{m}"] for r in few for m in models})
-    parts = parts.where("shard >= 0")
-    once = base.written(parts.groupBy("w").agg(*[F.sum(f"c{m}").alias(f"c{m}") for m in models]), "words")
-    long = once.select("w", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"c{m}").alias("n")) for m in models])).alias(
-        "own")).select("w", "own.*").where("n > 0")
-    words = long.withColumn("cut", _cut(_discounts(long)))
-    have = {r["model"]: r for r in words.groupBy("model").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut")).collect()}
-    totals = [float(have[m]["n"]) if m in have else 1.0 for m in models]
-    rests = [have[m]["cut"] / have[m]["n"] if m in have else 1.0 for m in models]
-    spelled = texts.select("text").mapInArrow(_spell_words(shared), "w long, " + ", ".join(f"b{k} double" for k in models))
-    spelled = spelled.groupBy("w").agg(*[F.min(f"b{k}").alias(f"b{k}") for k in models])
-    spell = F.coalesce(_pick([F.col(f"b{k}") for k in models]), F.lit(0.0))  # the mark has no bytes
-    total, rest = _pick([F.lit(x) for x in totals]), _pick([F.lit(x) for x in rests])
-    unknown = F.log(rest) - spell
-    log_p = F.when(F.col("n") > F.col("cut"), F.log((F.col("n") - F.col("cut")) / total + rest * F.exp(-spell))).otherwise(unknown)
-    words = words.join(spelled, "w", "left").withColumn("p", log_p).withColumn("d", unknown - log_p)
-    words = base.written(words.groupBy("w").agg(*[F.max(F.when(F.col("model") == m, F.col(c))).cast("float").alias(f"{c}{m}")
-                                                  for m in models for c in ("p", "d")]), "words")
-    numbers = [F.coalesce(f"{c}{m}", F.lit(0.0)).cast("float").alias(f"{c}{m}") for m in models for c in ("p", "d")]
-    listed = parts.select("shard", "w").join(words, "w").select("shard", "w", *numbers).mapInArrow(_pack_words, DEALT)
-    return base.written(listed, "listed"), cuts, [-float(np.log(x)) for x in rests]
+    counts = _by_shard(texts.mapInArrow(_deal(shards, shared), DEALT), shards, "shard").mapInArrow(
+        _count_pairs(shards), "home int, shard int, names binary, told binary")
+    told = base.written(_by_shard(counts, shards, "home", "shard").mapInArrow(_sum_contexts, "shard int, home int, told binary"), "contexts")
+    few = np.zeros((FOLDS + 1, 10))
+    for row in told.where("home < 0").toLocalIterator():  # a hundred bytes a shard
+        few += _unsqueezed(row["told"])[0].reshape(FOLDS + 1, 10)
+    pairs, words = (_discounts_of({(m, k + 1): float(few[m, at + k]) for m in range(FOLDS + 1) for k in range(4)}) for at in (0, 4))
+    totals, rests = [], []
+    for m, (*_, a, b, c, d, total, different) in enumerate(few):
+        d1, d2, d3 = words[m]
+        totals.append(total or 1.0)
+        rests.append((d1 * a + d2 * b + d3 * (different - a - b)) / total if total else 1.0)
+    listed = told.where("home >= 0").select("shard", F.lit(CONTEXTS).alias("kind"), F.unhex(F.lpad(F.hex("home"), 8, "0")).alias("followers"),
+                                            F.lit(None).cast("binary").alias("contexts"), F.col("told").alias("pairs"))
+    return listed, (shards, pairs, words, totals, rests), [-float(np.log(x)) for x in rests]
 
 
 def _spelling_costs(shared, rests, size_name, cost_name):
@@ -566,7 +610,7 @@ class Classifier:
         tables = [Stepped(dense(rows, k)) for k in range(FOLDS + 1)]
         self.cost = every = share(tables)
         del tables, rows
-        self.listed, self.cuts, self.rests = word_model(own, every, self.shards)
+        self.listed, self.law, self.rests = word_model(own, every, self.shards)
         # Trusted texts are counted and scored in one pass with all others: by the model of all folds, and by that of the other fold.
         both = marked.select("doc_id", "lang", tag.alias("hash"), "trusted", "text", F.explode(
             F.when(F.col("trusted"), F.array(F.lit(0), fold + 1)).otherwise(F.array(F.lit(0)))).alias("model"))
@@ -612,7 +656,7 @@ class Classifier:
     def _corrections(self, rows: DataFrame) -> DataFrame:
         """(tag, model, value): what seen words and pairs change in the cost of a text by model 0 and its own, from (tag, model, kind, text)."""
         dealt = rows.mapInArrow(_deal(self.shards), DEALT).unionByName(self.listed)
-        sums = _by_shard(dealt, self.shards).mapInArrow(_score(self.cuts), "tag long, model int, value double").groupBy(
+        sums = _by_shard(dealt, self.shards, "shard", "kind").mapInArrow(_score(self.law), "tag long, model int, value double").groupBy(
             "tag", "model").agg(F.sum("value").alias("value"))
         copies = rows.where(F.col("kind") != COUNT).select("tag", F.explode(F.array_distinct(F.array(F.lit(0), "model"))).alias(
             "model")).groupBy("tag", "model").agg(F.count("*").alias("copies"))
