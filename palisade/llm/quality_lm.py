@@ -40,9 +40,9 @@ FOLDS = 2
 #: Trusted ids that are sent to every task at most (16 bytes each); beyond it the documents are shuffled to them.
 BROADCAST_IDS = 4_000_000
 #: A shard holds the pairs of so many bytes of trusted text; there are SHARDS at least.
-SHARD_BYTES, SHARDS = 24_000_000, 8
+SHARD_BYTES, SHARDS = 12_000_000, 8
 #: Words of texts that are packed together.
-BLOCK_WORDS = 2_500_000
+BLOCK_WORDS = 3_000_000
 #: So many of its contexts a block names by frequency.
 HOT = 4096
 #: Steps of a stored minus log probability, per unit; 32 is the largest.
@@ -269,23 +269,27 @@ def _hot_first(often: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([often.astype(np.int64), np.flatnonzero(rest)])
 
 
-def _packed(parts, shards: int, spelled: bool):
-    """One row per shard of the texts of ``parts``: kind, different words, and each text's pairs as places among them."""
-    word, row, tags, models, kinds, *costs = (np.concatenate(x) for x in zip(*parts))
+def _packed(parts, shards: int, kind: int):
+    """One row per shard of the texts of ``parts``, which is emptied: kind, different words, and each text's pairs as places among them."""
+    word, row, tags, models, *costs = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     names, first_at, w = np.unique(word, return_index=True, return_inverse=True)
-    w, mark = w.astype(np.int64), np.searchsorted(names, np.uint64(MARK))
-    v = np.append(mark, w[:-1])  # the mark behind one text stands before the next
-    shard = (names % np.uint64(shards)).astype(np.int64)
+    mark = np.searchsorted(names, np.uint64(MARK))
     spell = [np.where(np.arange(len(names)) == mark, 0, c[first_at]) for c in costs]  # the mark has no bytes
+    del word, costs
     n_bits, r_bits = (max(1, int(x).bit_length()) for x in (len(names), len(tags)))
     assert r_bits + 2 * n_bits < 64
-    code = (row.astype(np.int64) << (2 * n_bits)) | (w << n_bits) | v
-    part = shard[w] * (SCORE + 1) + kinds[row]
-    order = np.argsort(part.astype(np.uint16 if shards < 2**13 else np.uint32), kind="stable")
-    del word, row, w, v
-    edge = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+    code = row.astype(np.int64) << n_bits
+    code |= w
+    code <<= n_bits
+    code[1:] |= w[:-1]  # the mark behind one text stands before the next
+    code[0] |= mark
+    part = (names % np.uint64(shards)).astype(np.uint16 if shards < 2**16 else np.uint32)[w]
+    del row, w
+    order = np.argsort(part, kind="stable")
+    edge = np.append(np.flatnonzero(np.diff(part[order].astype(np.int32), prepend=-1)), len(order))
     for a, b in zip(edge, edge[1:]):
-        k, kind = divmod(int(part[order[a]]), SCORE + 1)
+        k = int(part[order[a]])
         own, n = np.unique(code[order[a:b]], return_counts=True)
         r, x, y = own >> (2 * n_bits), (own >> n_bits) & ((1 << n_bits) - 1), own & ((1 << n_bits) - 1)
         first = np.flatnonzero(np.diff(r, prepend=-1))
@@ -297,42 +301,46 @@ def _packed(parts, shards: int, spelled: bool):
         back = _hot_first(often, len(contexts))
         place = np.empty(len(back), np.int64)
         place[back] = np.arange(len(back))
-        told = [s[followers] for s in spell] if spelled else []
         yield (k, kind, _squeezed_names(names[followers]), _squeezed_names(names[contexts]), _squeezed(
-            tags[r[first]], models[r[first]], np.diff(np.append(first, len(r))), step, place[y], n - 1, often, *told))
+            tags[r[first]], models[r[first]], np.diff(np.append(first, len(r))), step, place[y], n - 1, often, *[c[followers] for c in spell]))
 
 
 def _deal(shards: int, shared=None):
     """(shard, kind, followers, contexts, pairs) of rows (tag, model, kind, text); with byte tables, also what words' spelling costs."""
     def deal(batches):
-        hasher, table, parts, size, texts = W.Hasher(31), classes(), [], 0, 0
+        hasher, table = W.Hasher(31), classes()
+        parts, size, texts = {}, {}, {}
 
-        def rows():
-            out = list(zip(*_packed(parts, shards, shared is not None)))
+        def rows(kind):
+            out = list(zip(*_packed(parts[kind], shards, kind)))
+            size[kind] = texts[kind] = 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (
                 pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "kind", "followers", "contexts", "pairs"])
         for batch in batches:
-            tags, models, kinds = (batch.column(i).to_numpy() for i in range(3))
-            for block in W.blocks(batch.column(3), W.SPACES):
-                word, row = _tokens(hasher, block)
-                if not len(word):
-                    continue
-                costs = []
-                if shared is not None:
-                    codes, edge = _spelling(block, table)
-                    real = np.diff(row, append=-1) == 0  # all but the marks
-                    for steps in shared.value:
-                        cost = np.zeros(len(word), np.int64)
-                        cost[real] = np.diff(np.concatenate([[0], np.cumsum(steps.steps[codes], dtype=np.int64)])[edge])
-                        costs.append(cost)
-                parts.append((word, (row + texts).astype(np.int32), tags[block.rows].view(np.uint64), models[block.rows],
-                              kinds[block.rows], *costs))
-                size, texts = size + len(word), texts + len(block)
-                if size >= BLOCK_WORDS:
-                    yield rows()
-                    parts, size, texts = [], 0, 0
-        if parts:
-            yield rows()
+            every = batch.column(2).to_numpy()
+            for kind in (int(x) for x in np.unique(every)):
+                own = batch.filter(pa.array(every == kind))
+                tags, models = (own.column(i).to_numpy() for i in range(2))
+                for block in W.blocks(own.column(3), W.SPACES):
+                    word, row = _tokens(hasher, block)
+                    if not len(word):
+                        continue
+                    costs = []
+                    if shared is not None:
+                        codes, edge = _spelling(block, table)
+                        real = np.diff(row, append=-1) == 0  # all but the marks
+                        for steps in shared.value:
+                            cost = np.zeros(len(word), np.int32)
+                            cost[real] = np.diff(np.concatenate([[0], np.cumsum(steps.steps[codes], dtype=np.int64)])[edge])
+                            costs.append(cost)
+                    parts.setdefault(kind, []).append((word, (row + texts.get(kind, 0)).astype(np.int32),
+                                                       tags[block.rows].view(np.uint64), models[block.rows], *costs))
+                    size[kind], texts[kind] = size.get(kind, 0) + len(word), texts.get(kind, 0) + len(block)
+                    if size[kind] >= BLOCK_WORDS:
+                        yield rows(kind)
+        for kind in parts:
+            if parts[kind]:
+                yield rows(kind)
     return deal
 
 
@@ -356,31 +364,28 @@ class _Counts:
 
     def __init__(self, dealt: list[tuple[bytes, bytes, bytes]]):
         self.names = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unsqueezed_names(x) for d in dealt for x in d[:2])]))
-        size, codes, often = max(1, len(self.names)), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        self.spelled = np.zeros((FOLDS + 1, len(self.names)), np.int64)
+        size, codes = max(1, len(self.names)), [np.zeros(0, np.int64)]
+        self.spelled = np.zeros((FOLDS + 1, len(self.names)), np.int32)
         for d in dealt:
             p = _Pairs(*d)
             w = np.searchsorted(self.names, p.followers)
             for m, cost in enumerate(p.spelled):
                 self.spelled[m, w] = cost
             code = (w[p.x] * size + np.searchsorted(self.names, p.contexts)[p.y]) * FOLDS + p.models[p.row] - 1
-            order = np.argsort(code)
-            code = code[order]
-            new = np.flatnonzero(np.diff(code, prepend=-1))
-            codes.append(code[new])
-            often.append(np.add.reduceat(p.n[order], new).astype(np.int32))
-        codes, often = np.concatenate(codes), np.concatenate(often)
-        order = np.argsort(codes)
-        codes, often = codes[order], often[order]
-        pair, fold = codes // FOLDS, codes % FOLDS
-        new = np.flatnonzero(np.diff(pair, prepend=-1))
-        self.code = pair[new]
-        by_fold = [np.add.reduceat(np.where(fold == k, often, 0), new) if len(new) else often for k in range(FOLDS)]
+            codes.append(np.repeat(code, p.n))
+        codes = np.concatenate(codes)
+        codes.sort()
+        fold = (codes % FOLDS).astype(np.int8)
+        codes //= FOLDS
+        new = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.code = codes[new]
+        del codes
+        by_fold = [np.add.reduceat((fold == k).astype(np.int32), new) if len(new) else np.zeros(0, np.int32) for k in range(FOLDS)]
         self.n = [sum(by_fold), *[sum(x for j, x in enumerate(by_fold) if j != k) for k in range(FOLDS)]]
 
     def split(self) -> tuple[np.ndarray, np.ndarray]:
         """Follower and context of each pair."""
-        return np.divmod(self.code, max(1, len(self.names)))
+        return tuple(x.astype(np.int32) for x in np.divmod(self.code, max(1, len(self.names))))
 
 
 def _shards(batches):
@@ -467,7 +472,7 @@ class _Values:
         for m, n in enumerate(counts.n):
             total, different, once, twice = told[4 * m:4 * m + 4]
             one, two, three = cuts[m]
-            cut = np.array([0.0, one, two, three])[np.minimum(n, 3)]
+            cuts_of = np.array([0.0, one, two, three])
             after = np.bincount(w[n > 0], minlength=len(self.names))
             word_cut = np.array([0.0, *word_cuts[m]])[np.minimum(after, 3)]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -475,8 +480,11 @@ class _Values:
                 unknown = np.log(rests[m]) - spelled[m] / STEPS
                 known = np.where(after > word_cut, np.log((after - word_cut) / totals[m] + np.exp(unknown)), unknown)
                 self.one.append(np.where(after > 0, unknown - known - np.where(total > 0, rest, 0.0), 0.0))
-                lower = rest[v] + known[w]
-                self.two.append(np.where(n > cut, lower - np.log((n - cut) / total[v] + np.exp(lower)), 0.0))
+                self.two.append(np.zeros(len(n), np.float32))
+                for at in range(0, len(n), 500_000):
+                    own = slice(at, at + 500_000)
+                    cut, lower = cuts_of[np.minimum(n[own], 3)], rest[v[own]] + known[w[own]]
+                    self.two[m][own] = np.where(n[own] > cut, lower - np.log((n[own] - cut) / total[v[own]] + np.exp(lower)), 0.0)
 
     def of(self, p: _Pairs):
         """(tag, model, value) of the texts of a block."""

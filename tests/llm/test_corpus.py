@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,32 @@ def test_word_model_against_dictionaries(spark):
     assert {r["doc_id"]: r["cost"] for r in scored} == pytest.approx({i: cost(t) for i, t, _ in rows}, rel=1e-5)
 
 
+def test_pairs_are_dealt_in_few_bytes():
+    rng = random.Random(31)
+    texts = [sentence(rng, rng.randrange(1, 900), 3000) for _ in range(300)] + ["", " ", "a", "a a a a", None]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([1000 + i for i in range(len(texts))]), pa.array([i % 3 for i in range(len(texts))], pa.int32()),
+        pa.array([quality_lm.BOTH if i % 3 else quality_lm.SCORE for i in range(len(texts))], pa.int32()), pa.array(texts)],
+        ["tag", "model", "kind", "text"])
+    hasher = quality_lm.W.Hasher(31)
+    (block,) = quality_lm.W.blocks(pa.array(texts), quality_lm.W.SPACES)
+    words = iter((hasher.words(block) >> np.uint64(8)).tolist())
+    want = Counter()
+    for i, text in enumerate(texts):
+        own = [quality_lm.MARK, *[next(words) for _ in plain.words(text or "")], quality_lm.MARK]
+        want.update((1000 + i, i % 3, v, w) for v, w in zip(own, own[1:]) if len(own) > 2)
+    got, size = Counter(), 0
+    for out in quality_lm._deal(5)([batch]):
+        for shard, kind, *dealt in zip(*[c.to_pylist() for c in out.columns]):
+            p = quality_lm._Pairs(*dealt)
+            assert all(w % 5 == shard for w in p.followers.tolist()) and (kind == quality_lm.BOTH) == bool(p.models.any())
+            for r, x, y, n in zip(p.row, p.x, p.y, p.n):
+                got[int(p.tags[r]), int(p.models[r]), int(p.contexts[y]), int(p.followers[x])] += int(n)
+            size += sum(len(d) for d in dealt)
+    assert got == want
+    assert size < 5 * sum(want.values())  # a row of key, text and count took 20
+
+
 def test_classifier_sees_words_and_rejects_the_too_predictable(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)]
