@@ -15,14 +15,15 @@ def image_marker(text: Column, page_num: Column, images: Column) -> Column:
     return F.when((strip(text) == "") & (images > 0), note).otherwise(text)
 
 
-def encoding_profile(content: Column) -> Column:
+def encoding_profile(content: Column, is_text: Column | None = None) -> Column:
     """Encoding name and confidence of raw bytes, by rule.
 
-    Empty bytes are unknown; all-ASCII, valid UTF-8 and everything else are
-    told apart exactly.
+    Empty bytes are unknown, but for rows of which ``is_text`` says that they hold a known text: an empty one is ASCII.
+    All-ASCII, valid UTF-8 and everything else are told apart exactly.
     """
     text = content.cast("string")
-    name = F.when(F.octet_length(content) == 0, "unknown") \
+    known = F.lit(False) if is_text is None else is_text
+    name = F.when((F.octet_length(content) == 0) & ~known, "unknown") \
         .when(~F.is_valid_utf8(text), "iso-8859-1") \
         .when(F.octet_length(content) == F.length(text), "ascii").otherwise("utf-8")
     score = F.when(name == "unknown", 0.0).when(name == "ascii", 1.0).when(name == "utf-8", 0.99).otherwise(0.73)
