@@ -23,7 +23,7 @@ def odd(spark, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("name", ["src_encoding_profile"])
+@pytest.mark.parametrize("name", ["src_encoding_profile", "agg_corpus", "enc_low_confidence", "enc_non_utf8"])
 def test_empty_and_missing_texts(spark, odd, name):
     ok, message = compare(spark, connect(odd), odd, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, message
