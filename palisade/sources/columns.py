@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.text import sql_string
@@ -40,6 +42,29 @@ def column_stats(df: DataFrame, columns, position: str, exact: bool = False) ->
     return df.agg(*aggs).select(F.explode(F.array(*columns)).alias("s")).select("s.*")
 
 
+def median_between(value: Column, low: Column, high: Column) -> Column:
+    """Aggregate: does the exact median lie from ``low`` to ``high``, each one value for all rows?  Null without a value.
+
+    The counts on either side of each bound tell, and the values next to it where the two middle values lie apart; no value is gathered.
+    """
+    n, below, upto = F.count(value), F.count_if(value < low), F.count_if(value <= high)
+    first, last = F.floor((n - 1) / 2), F.floor(n / 2)  # places of the middle values, from 0
+
+    def mean(test):
+        """Of the largest value that passes and the smallest that does not."""
+        return (F.max(F.when(test, value)) + F.min(F.when(~test, value))) / 2
+
+    not_below = F.when(below <= first, True).when(below > last, False).otherwise(mean(value < low) >= F.max(low))
+    not_above = F.when(upto > last, True).when(upto <= first, False).otherwise(mean(value <= high) <= F.max(high))
+    return F.when(n > 0, not_below & not_above)
+
+
+def exact_distinct(df: DataFrame, columns) -> DataFrame:
+    """(column_name, exact): different non-null values.  Each column is read alone, so a shuffled row holds one value."""
+    return reduce(DataFrame.unionByName, [
+        df.select(F.col(f"`{c}`").alias("value")).distinct().agg(F.lit(c).alias("column_name"), F.count("value").alias("exact")) for c in columns])
+
+
 def sample_columns(df: DataFrame, n: int = 100, columns=None) -> DataFrame:
     """(column_name, value): of every column the n non-null values, as text, that are least by hash, in one scan.
 
