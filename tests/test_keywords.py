@@ -72,3 +72,28 @@ def test_many_keywords_under_one_lead_in_little_memory(spark, monkeypatch):
         return plain_finder(counted)
     monkeypatch.setattr(K, "_finder", watched)
     assert found(spark, texts, words, max_chars=500) == plain(texts, words)
+
+
+def test_more_keywords_than_one_map_holds(spark, monkeypatch):
+    """Keywords go to several maps, and few places that hold none pass."""
+    rnd = random.Random(5)
+
+    def letters(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    words = [letters(rnd.choice((16, 16, 16, 20))) for _ in range(20_000)]
+    held = {k: sorted(rnd.sample(range(20_000), 9)) for k in range(30)}
+    texts = [(k, letters(900).join(["", *(words[i] for i in own), ""])) for k, own in held.items()]
+    monkeypatch.setattr(K, "MAP_BITS", (15, 15))
+    plain_finder = K._finder
+
+    def watched(search):
+        def counted(text):
+            rows = list(search(text))
+            assert len(rows) <= 0.05 * len(text), (len(rows), len(text))
+            return rows
+        return plain_finder(counted)
+    monkeypatch.setattr(K, "_finder", watched)
+    got = found(spark, texts, words, max_chars=1000)
+    assert {(d, w) for d, w, _, _ in got} >= {(k, words[i]) for k, own in held.items() for i in own}
+    monkeypatch.undo()
+    assert got == found(spark, texts, words, max_chars=2_000_000)
